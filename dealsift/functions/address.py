@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from dealsift import rules
-from dealsift.functions.text import capture, matches
+from dealsift.functions.text import capture, matches, once
 
 _STATE_CODES = "|".join(code for code, _, _ in rules.US_STATES)
 
@@ -68,10 +68,19 @@ def address_status(address: Column, city: Column, state: Column) -> Column:
 
 
 def hardware_state(text: Column) -> Column:
-    """State code of the first listed state whose name or code occurs as a word."""
-    return F.coalesce(*[
-        F.when(matches(text, rf"\b{name}\b|\b{code}\b"), F.lit(code)) for name, code in rules.HARDWARE_STATE_NAMES
-    ])
+    """State code of the first listed state whose name or code occurs as a word.
+
+    One scan collects all state words of the text; the table order then decides.
+    """
+    words = [w for pair in rules.HARDWARE_STATE_NAMES for w in pair]
+    spoken = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:" + "|".join(words) + r")\b"), F.lit(0))
+
+    def first_listed(found: Column) -> Column:
+        return F.when(F.size(found) > 0, F.coalesce(*[
+            F.when(F.array_contains(found, name.upper()) | F.array_contains(found, code), F.lit(code))
+            for name, code in rules.HARDWARE_STATE_NAMES]))
+
+    return once(F.transform(spoken, F.upper), first_listed)
 
 
 def broker_company(text: Column, strict: bool = True) -> Column:

@@ -6,7 +6,7 @@ from re import escape
 from pyspark.sql import Column, functions as F
 
 from dealsift import rules
-from dealsift.functions.text import capture, contains_any, matches, squeeze
+from dealsift.functions.text import capture, contains_any, matches, once, squeeze
 
 
 def number(text: Column) -> Column:
@@ -94,7 +94,7 @@ def price_status(text: Column, price: Column) -> Column:
 def osm_voltage_kv(value: Column) -> Column:
     """Kilovolts from the first entry of a voltage list given in volts or kilovolts."""
     first = F.trim(F.regexp_extract(value, "^([^;,]*)", 1)).try_cast("double")
-    return F.when(first > 1000, F.round(first / 1000, 3)).otherwise(first)
+    return once(first, lambda v: F.when(v > 1000, F.round(v / 1000, 3)).otherwise(v))
 
 
 def manufacturer_model(text: Column, category: Column) -> Column:
@@ -104,12 +104,11 @@ def manufacturer_model(text: Column, category: Column) -> Column:
 
     steps = []
     for pattern, maker in rules.MAKER_MODEL_PATTERNS:
-        found = F.trim(capture(text, pattern, 1))
-        steps.append((found.isNotNull(), pair(F.lit(maker) if maker else found, squeeze(capture(text, pattern, 2)))))
-    memory = capture(text, rules.MEMORY_MODEL_PATTERN)
-    steps.append(((category == "memory") & memory.isNotNull(), pair(F.lit(None), F.upper(memory))))
-    storage = capture(text, rules.STORAGE_MODEL_PATTERN)
-    steps.append(((category == "storage") & storage.isNotNull(), pair(F.lit(None), storage)))
+        named = F.lit(maker) if maker else F.trim(capture(text, pattern, 1))
+        steps.append((matches(text, pattern), pair(named, squeeze(capture(text, pattern, 2)))))
+    memory, storage = rules.MEMORY_MODEL_PATTERN, rules.STORAGE_MODEL_PATTERN
+    steps.append(((category == "memory") & matches(text, memory), pair(F.lit(None), F.upper(capture(text, memory)))))
+    steps.append(((category == "storage") & matches(text, storage), pair(F.lit(None), capture(text, storage))))
     chain = reduce(lambda acc, step: acc.when(*step), steps, F)
     return chain.otherwise(pair(F.lit(None), F.lit(None).cast("string")))
 
@@ -146,4 +145,4 @@ def generation(text: Column) -> Column:
 def configuration(text: Column) -> Column:
     """The distinct ones among the first eight specification terms."""
     specs = F.regexp_extract_all(text, F.lit("(?i)" + rules.SPEC_PATTERN), F.lit(0))
-    return F.when(F.size(specs) > 0, F.array_join(F.array_distinct(F.slice(specs, 1, 8)), ", "))
+    return once(specs, lambda s: F.when(F.size(s) > 0, F.array_join(F.array_distinct(F.slice(s, 1, 8)), ", ")))

@@ -1,19 +1,19 @@
 """Text matching helpers."""
 
-import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 
-def alternation(tokens: Iterable[str]) -> str:
-    """One regular expression that matches any of the literal tokens."""
-    return "|".join(re.escape(token) for token in tokens)
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed a single time, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def contains_any(text: Column, tokens: Iterable[str]) -> Column:
     """True when the text holds one of the tokens anywhere, also inside words."""
-    return text.rlike(alternation(tokens))
+    return reduce(Column.__or__, [text.contains(token) for token in tokens])
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
@@ -26,7 +26,8 @@ def blank_to_null(text: Column) -> Column:
 
 def capture(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
     """One group of the first match, null when there is none."""
-    return blank_to_null(F.regexp_extract(text, ("(?i)" if ignore_case else "") + pattern, group))
+    found = F.regexp_extract(text, ("(?i)" if ignore_case else "") + pattern, group)
+    return once(found, lambda x: F.when(x != "", x))
 
 
 def squeeze(text: Column) -> Column:
@@ -46,7 +47,7 @@ def text_of(title: Column, description: Column) -> Column:
 def slice_after(text: Column, label: str, length: int) -> Column:
     """Text from the first occurrence of the label (any case), empty when absent."""
     at = F.locate(label.lower(), F.lower(text))
-    return F.when(at > 0, F.substring(text, at, F.lit(length))).otherwise(F.lit(""))
+    return once(at, lambda i: F.when(i > 0, F.substring(text, i, F.lit(length))).otherwise(F.lit("")))
 
 
 def between(text: Column, start: str, end: str) -> Column:

@@ -6,7 +6,7 @@
 from pyspark.sql import Column, functions as F
 
 from dealsift import rules
-from dealsift.functions.text import capture, contains_any, squeeze
+from dealsift.functions.text import capture, contains_any, once, squeeze
 
 
 def as_timestamp(value) -> Column:
@@ -30,7 +30,7 @@ def iso_datetime(text: Column) -> Column:
 def zone_name(raw: Column) -> Column:
     """Known zone code at the end of a raw time, else null."""
     code = capture(F.trim(raw), r"\b([A-Z]{2,4})$", 1, ignore_case=False)
-    return F.when(code.isin(*rules.ZONE_OFFSET_HOURS), code)
+    return once(code, lambda c: F.when(c.isin(*rules.ZONE_OFFSET_HOURS), c))
 
 
 def parse_zoned(raw: Column) -> Column:
@@ -38,11 +38,8 @@ def parse_zoned(raw: Column) -> Column:
     zone = capture(raw, r"^.+\s+([A-Z]{2,4})$", 1, ignore_case=False)
     local = F.initcap(squeeze(capture(raw, r"^(.+)\s+[A-Z]{2,4}$", 1, ignore_case=False)))
     local = F.regexp_replace(local, r"(?i)([ap])m$", "$1M")
-    parsed = F.coalesce(
-        F.try_to_timestamp(local, F.lit("MMM d, yyyy h:mm a")),
-        F.try_to_timestamp(local, F.lit("MMMM d, yyyy h:mm a")),
-        F.try_to_timestamp(local, F.lit("M/d/yyyy h:mm a")),
-    )
+    parsed = once(local, lambda t: F.coalesce(*[
+        F.try_to_timestamp(t, F.lit(f)) for f in ("MMM d, yyyy h:mm a", "MMMM d, yyyy h:mm a", "M/d/yyyy h:mm a")]))
     offsets = F.create_map(*[F.lit(x) for pair in rules.ZONE_OFFSET_HOURS.items() for x in pair])
     return F.timestamp_add("HOUR", -F.try_element_at(offsets, zone), parsed)
 
@@ -54,18 +51,16 @@ def absolute_end_raw(text: Column) -> Column:
 def countdown_minutes(text: Column) -> Column:
     """Minutes in a countdown; null when it names no unit."""
     lowered = F.lower(text)
-    found = [capture(lowered, p, 1, ignore_case=False).try_cast("bigint") for p, _ in rules.COUNTDOWN_UNITS]
-    total = sum(
-        (F.coalesce(value, F.lit(0)) * minutes for value, (_, minutes) in zip(found, rules.COUNTDOWN_UNITS)),
-        start=F.lit(0).cast("bigint"),
-    )
-    return F.when(F.coalesce(*found).isNotNull(), total)
+    found = F.array_compact(F.array(*[
+        capture(lowered, p, 1, ignore_case=False).try_cast("bigint") * minutes for p, minutes in rules.COUNTDOWN_UNITS]))
+    return once(found, lambda parts: F.when(
+        F.size(parts) > 0, F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, b: a + b)))
 
 
 def countdown_raw(text: Column) -> Column:
     """First countdown phrase that yields a time above zero."""
     candidates = [F.trim(capture(text, p)) for p in rules.COUNTDOWN_PATTERNS]
-    return F.coalesce(*[F.when(countdown_minutes(c) > 0, c) for c in candidates])
+    return F.coalesce(*[once(c, lambda x: F.when(countdown_minutes(x) > 0, x)) for c in candidates])
 
 
 def status_from_end(end: Column, now: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from dealsift import rules
-from dealsift.functions.text import blank_to_null, capture
+from dealsift.functions.text import capture, once
 
 _SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -44,8 +44,7 @@ def _raw_param(query_text: Column, name: str) -> Column:
 
 def param(query_text: Column, name: str) -> Column:
     """First non-empty value of a query parameter, decoded."""
-    raw = _raw_param(query_text, name)
-    return F.coalesce(F.try_url_decode(raw), raw)
+    return once(_raw_param(query_text, name), lambda raw: F.coalesce(F.try_url_decode(raw), raw))
 
 
 def encode(value: Column) -> Column:
@@ -55,60 +54,56 @@ def encode(value: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """Scheme, bare host, trimmed path and the identifying parameters only."""
-    site, where, asked = domain(url), trim_slashes(path(url)), query(url)
-    item = capture(where, r"/itm/(?:[^/]+/)?(\d{10,})", 1, ignore_case=False)
-    where = F.when(
-        site.contains("ebay.com") & item.isNotNull(), F.concat(F.lit("/itm/"), item)
-    ).otherwise(where)
-    where = F.when(where.startswith("/"), where).otherwise(F.concat(F.lit("/"), where))
-    kept = F.array_join(F.array_compact(F.array(*[
-        F.concat(F.lit(f"{name}="), encode(param(asked, name))) for name in rules.URL_KEPT_PARAMS
-    ])), "&")
-    return F.concat(
-        F.coalesce(blank_to_null(scheme(url)), F.lit("https")), F.lit("://"), site, where,
-        F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")),
-    )
+    def assemble(u: Column) -> Column:
+        item = F.regexp_extract(u["path"], r"/itm/(?:[^/]+/)?(\d{10,})", 1)
+        where = F.when(u["site"].contains("ebay.com") & (item != ""), F.concat(F.lit("/itm/"), item)).otherwise(u["path"])
+        kept = F.array_join(F.array_compact(F.array(*[
+            F.concat(F.lit(f"{name}="), encode(param(u["query"], name))) for name in rules.URL_KEPT_PARAMS])), "&")
+        asks = u["query"].rlike("(?:^|&)(?:" + "|".join(rules.URL_KEPT_PARAMS) + ")=[^&]")
+        tail = F.when(asks, F.concat(F.lit("?"), kept)).otherwise(F.lit(""))
+        rooted = once(where, lambda w: F.when(w.startswith("/"), w).otherwise(F.concat(F.lit("/"), w)))
+        named = F.when(u["scheme"] != "", u["scheme"]).otherwise(F.lit("https"))
+        return F.concat(named, F.lit("://"), u["site"], rooted, tail)
+
+    return once(F.struct(
+        scheme(url).alias("scheme"), domain(url).alias("site"), trim_slashes(path(url)).alias("path"),
+        query(url).alias("query")), assemble)
 
 
 def key_of(canonical_url: Column, seller: Column, title: Column, model: Column, state: Column) -> Column:
     """Identity of a listing: host, path and query, else seller, title, model and state."""
-    asked = query(canonical_url)
-    located = F.concat(
-        domain(canonical_url), trim_slashes(path(canonical_url)),
-        F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(F.lit("")),
-    )
+    asked = once(query(canonical_url), lambda a: F.when(a != "", F.concat(F.lit("?"), a)).otherwise(F.lit("")))
+    located = F.concat(domain(canonical_url), trim_slashes(path(canonical_url)), asked)
     described = F.array_join(F.transform(
         F.filter(F.array(seller, title, model, state), lambda p: p.isNotNull() & (p != "")),
         lambda p: F.trim(F.lower(p)),
     ), "|")
-    return F.when(located != "", located).otherwise(described)
+    return once(located, lambda k: F.when(k != "", k).otherwise(described))
 
 
 def without_query(url: Column) -> Column:
     """Scheme, bare host and trimmed path."""
-    start = F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(F.lit(""))
-    site = domain(url)
-    slashes = F.when(site != "", F.lit("//")).otherwise(F.lit(""))
-    return F.concat(start, slashes, site, trim_slashes(path(url)))
+    start = once(scheme(url), lambda s: F.when(s != "", F.concat(s, F.lit(":"))).otherwise(s))
+    site = once(domain(url), lambda d: F.when(d != "", F.concat(F.lit("//"), d)).otherwise(d))
+    return F.concat(start, site, trim_slashes(path(url)))
 
 
 def root(url: Column) -> Column:
     """Scheme and host, or the whole text when either is missing."""
-    return F.when(
-        (scheme(url) != "") & (host(url) != ""), F.concat(scheme(url), F.lit("://"), host(url))
-    ).otherwise(url)
+    return once(F.struct(scheme(url).alias("s"), host(url).alias("h")), lambda u: F.when(
+        (u["s"] != "") & (u["h"] != ""), F.concat(u["s"], F.lit("://"), u["h"])).otherwise(url))
 
 
 def listing_id(url: Column) -> Column:
     """Last path segment, at most 80 characters."""
-    where = trim_slashes(path(url))
-    return F.when(where != "", F.substring(F.element_at(F.split(where, "/"), -1), 1, 80))
+    return once(trim_slashes(path(url)), lambda w: F.when(
+        w != "", F.substring(F.element_at(F.split(w, "/"), -1), 1, 80)))
 
 
 def unwrap_redirect(url: Column, name: str = "uddg") -> Column:
     """Target of a redirect link that carries it in a query parameter."""
     absolute = F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
-    return F.coalesce(param(query(absolute), name), absolute)
+    return once(absolute, lambda u: F.coalesce(param(query(u), name), u))
 
 
 def resolve(base: Column, link: Column) -> Column:

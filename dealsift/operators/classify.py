@@ -15,13 +15,8 @@ def has_lot_language(lowered: Column) -> Column:
     return matches(lowered, "(?:" + "|".join(rules.PAGE_LOT_PATTERNS) + ")")
 
 
-def hardware_page(source: Column, page_url: Column, title: Column, description: Column) -> Column:
-    """Struct of page type and reason.  The first rule that holds decides."""
-    site, asked = url.domain(page_url), url.query(page_url)
-    where = F.lower(url.path(page_url))
-    text = F.lower(text_of(title, description))
-    lot = has_lot_language(text)
-
+def _page_verdict(source: Column, site: Column, where: Column, asked: Column, text: Column, lot: Column) -> Column:
+    """Reason of the first rule that holds; the reasons of ``rules.PAGE_REASONS``."""
     def asks(*names) -> Column:
         return asked.rlike("(?:^|&)(?:" + "|".join(names) + ")=[^&]")
 
@@ -39,26 +34,37 @@ def hardware_page(source: Column, page_url: Column, title: Column, description:
         | contains_any(text, rules.PAGE_COLLECTION_TEXT)
     )
     landing = contains_any(where, rules.PAGE_SOURCE_PATHS) | (contains_any(text, rules.PAGE_SOURCE_TEXT) & ~lot)
-
-    def verdict(kind: str, reason: str) -> Column:
-        return F.struct(F.lit(kind).alias("page_type"), F.lit(rules.PAGE_REASONS[reason]).alias("classification_reason"))
-
     return (
-        F.when(blocked, verdict("irrelevant", "blocked"))
-        .when(news, verdict("news_or_article", "news"))
-        .when(specific, verdict("specific_listing", "specific"))
-        .when(collection, verdict("listing_collection", "collection"))
-        .when(landing, verdict("source_page", "source"))
-        .when(lot & source.isin(rules.MARKETPLACES), verdict("specific_listing", "marketplace"))
-        .otherwise(verdict("irrelevant", "none"))
+        F.when(blocked, F.lit("blocked")).when(news, F.lit("news")).when(specific, F.lit("specific"))
+        .when(collection, F.lit("collection")).when(landing, F.lit("source"))
+        .when(lot & source.isin(rules.MARKETPLACES), F.lit("marketplace")).otherwise(F.lit("none"))
     )
 
 
+# Page type per deciding rule
+_PAGE_TYPES = {
+    "blocked": "irrelevant", "news": "news_or_article", "specific": "specific_listing",
+    "collection": "listing_collection", "source": "source_page", "marketplace": "specific_listing",
+    "none": "irrelevant",
+}
+
+
 def classify_hardware_pages(hits: DataFrame) -> DataFrame:
-    verdict = hardware_page(*[F.col(c) for c in ("source_name", "source_url", "original_title", "original_description")])
-    return hits.withColumn("_page", verdict).withColumns({
-        "page_type": F.col("_page.page_type"), "classification_reason": F.col("_page.classification_reason"),
-    }).drop("_page")
+    """Add page type and reason.  Url parts and text are columns of their own, computed once per hit."""
+    link, c = F.col("source_url"), F.col
+    staged = hits.withColumns({
+        "_site": url.domain(link), "_where": F.lower(url.path(link)), "_asked": url.query(link),
+        "_text": F.lower(text_of(c("original_title"), c("original_description"))),
+    }).withColumn("_lot", has_lot_language(F.col("_text")))
+    judged = staged.withColumn("_verdict", _page_verdict(
+        c("source_name"), c("_site"), c("_where"), c("_asked"), c("_text"), c("_lot")))
+
+    def lookup(table: dict) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c("_verdict"))
+
+    return judged.withColumns({
+        "page_type": lookup(_PAGE_TYPES), "classification_reason": lookup(rules.PAGE_REASONS),
+    }).drop("_site", "_where", "_asked", "_text", "_lot", "_verdict")
 
 
 def specific_only(hits: DataFrame) -> DataFrame:
@@ -71,20 +77,22 @@ def _haystack(*parts: str) -> Column:
 
 def hardware_relevance(hits: DataFrame) -> DataFrame:
     """Drop blocked hits, keep those that mention any hardware token."""
-    text = _haystack("original_title", "original_description", "domain")
-    return hits.filter(~contains_any(text, rules.HARDWARE_BLOCKED) & contains_any(text, rules.HARDWARE_WANTED))
+    text = F.col("_text")
+    staged = hits.withColumn("_text", _haystack("original_title", "original_description", "domain"))
+    return staged.filter(
+        ~contains_any(text, rules.HARDWARE_BLOCKED) & contains_any(text, rules.HARDWARE_WANTED)).drop("_text")
 
 
 def category_relevance(hits: DataFrame) -> DataFrame:
     """Keep hits that mention a token of their own category; two categories have vetoes."""
-    text = F.lower(text_of(F.col("original_title"), F.col("original_description")))
-    category = F.col("category")
+    staged = hits.withColumn("_text", F.lower(text_of(F.col("original_title"), F.col("original_description"))))
+    text, category = F.col("_text"), F.col("category")
     wanted = F.lit(False)
     for name, tokens in rules.CATEGORY_TOKENS.items():
         wanted = wanted | ((category == name) & contains_any(text, tokens))
     veto = ((category == "storage") & contains_any(text, rules.STORAGE_VETO)) | (
         (category == "cpu") & contains_any(text, rules.CPU_VETO) & ~contains_any(text, rules.CPU_VETO_UNLESS))
-    return hits.filter(~veto & wanted)
+    return staged.filter(~veto & wanted).drop("_text")
 
 
 def site_relevance(hits: DataFrame) -> DataFrame:

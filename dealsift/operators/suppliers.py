@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsift import rules
 from dealsift.functions import address, url
-from dealsift.functions.text import blank_to_null, contains_any, strings, text_of, token_labels
+from dealsift.functions.text import contains_any, once, strings, text_of, token_labels
 from dealsift.schemas import SUPPLIER_HIT_EXTRAS, with_missing
 
 
@@ -12,7 +12,8 @@ def company_name(title: Column, source_url: Column) -> Column:
     """Title without its descriptive tail, else the host, else the url."""
     short = F.trim(F.regexp_replace(F.regexp_replace(title, "(?i)" + rules.COMPANY_TAIL_PATTERN, ""), r"\s*\|.*$", ""))
     host = F.regexp_replace(url.host(source_url), r"^www\.", "")
-    return F.coalesce(blank_to_null(F.substring(short, 1, 120)), blank_to_null(host), source_url)
+    named = once(F.substring(short, 1, 120), lambda x: F.when(x != "", x))
+    return F.coalesce(named, once(host, lambda x: F.when(x != "", x)), source_url)
 
 
 def company_type(lowered: Column) -> Column:

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM never compiles methods above 8000 bytes; Spark then splits long rule chains into small ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
