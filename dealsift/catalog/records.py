@@ -53,6 +53,16 @@ SELECT event_id, concat(cast(user_id AS varchar(20)), '|', event_type) AS opport
   cast(floor(value / 50) AS bigint) * 50 AS total_price_usd,
   cast(event_id % 3 AS int) AS quantity,
   CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'active' WHEN 2 THEN 'ending_soon' ELSE 'ended' END AS listing_status
+FROM {events}""",
+    # listings in every status, with and without an end time
+    "tracked": """
+SELECT event_id, concat(cast(user_id AS varchar(20)), '|', event_type) AS opportunity_key, cast(ts AS timestamp) AS observed_at,
+  cast(floor(value / 50) AS bigint) * 50 AS total_price_usd, cast(event_id % 3 AS int) AS quantity,
+  CASE event_id % 9 WHEN 0 THEN 'active' WHEN 1 THEN 'ending_soon' WHEN 2 THEN 'ended' WHEN 3 THEN 'sold' WHEN 4 THEN 'removed'
+    WHEN 5 THEN 'unavailable' WHEN 6 THEN 'needs_manual_review' ELSE 'unknown' END AS listing_status,
+  CASE WHEN event_id % 4 < 2 THEN cast(ts AS timestamp) + INTERVAL '1' HOUR * cast(event_id % 400 AS int) END AS end_time_utc,
+  CASE WHEN event_id % 5 < 4 THEN cast(ts AS timestamp) END AS last_status_check_at, cast(ts AS timestamp) AS first_seen_at,
+  event_id % 11 = 0 AS needs_manual_review, event_id % 5 AS status_check_attempts
 FROM {events}""",
     "site": """
 SELECT c.c_custkey AS site_id, n.n_name AS state, c.c_acctbal AS asking_price_usd,

@@ -42,7 +42,7 @@ def city_state_zip(text: Column) -> Column:
 
 def city_after_address(text: Column, address: Column) -> Column:
     """City of up to three words between the address and a state code."""
-    tail = F.substring(text, F.locate(address, text) + F.length(address), F.length(text))
+    tail = F.substring(text, F.position(address, text) + F.length(address), F.length(text))
     pattern = rf"^\s+({rules.CITY_WORD}(?:\s+{rules.CITY_WORD}){{0,2}}),?\s+({_STATE_CODES})\b"
     return F.when(
         address.isNotNull() & (address != ""), clean_city(capture(tail, pattern, 1, ignore_case=False))

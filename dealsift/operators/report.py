@@ -23,7 +23,7 @@ def listing_lines() -> Column:
     amount = F.coalesce(F.nullif(c("quantity"), F.lit(0).cast("bigint")).cast("string"), F.lit("unknown"))
 
     def whole(value: Column) -> Column:
-        return F.format_number(value, "0")
+        return F.format_number(value, 0)
 
     return F.concat_ws(
         "\n",

@@ -195,9 +195,9 @@ def source_conflict(assets: DataFrame, tolerance_miles: float, asset_id: str = "
         "verification_status",
         F.when(F.col("_contradicted").isNull(), F.lit("estimated"))
         .when(F.col("_contradicted"), F.lit("conflicting")).otherwise(F.lit("source_confirmed")))
-    same = [assets[c].eqNullSafe(joined[c]) for c in reading]
-    return assets.join(joined.select(*reading, "verification_status"), reduce(Column.__and__, same)).select(
-        *[assets[c] for c in assets.columns], "verification_status")
+    verdicts = joined.select(*[F.col(c).alias(f"_r_{c}") for c in reading], "verification_status")
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in reading]
+    return assets.join(verdicts, reduce(Column.__and__, same)).select(*assets.columns, "verification_status")
 
 
 def _same_place(readings: DataFrame, others: DataFrame, tolerance: float) -> DataFrame:
