@@ -4,29 +4,30 @@ from pyspark.sql import DataFrame, functions as F
 
 from dealsift import rules
 from dealsift.catalog.records import cte, record
-from dealsift.catalog.registry import distinct_list, has, joined, joined_sql, label_list, num, q, query, rx
+from dealsift.catalog.registry import distinct_list, flags, has, joined, joined_sql, label_list, num, q, query, rx
 from dealsift.operators import requests as R
 
 _REQ = f"WITH {cte('request')}, t AS (SELECT *, lower(request_text) AS low FROM request)"
-_STATES = "states(ord, code, name) AS (VALUES " + ", ".join(f"({i}, '{c}', {q(n)})" for i, (c, n, _) in enumerate(rules.US_STATES)) + ")"
-_ALIASES = "aliases(code, alias) AS (VALUES " + ", ".join(
-    f"('{c}', {q(a.lower())})" for c, n, zh in rules.US_STATES for a in [n, *zh]) + ")"
 
 
-def _match(text: str) -> str:
-    """State s is named in the text."""
-    return (f"(regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}_])' || s.code || '($|[^\\p{{L}}\\p{{N}}_])') OR upper(regexp_replace(trim({text}), '^[,.;:，。；：]+|[,.;:，。；：]+$', '', 'g')) = s.code "
-            f"OR EXISTS (SELECT 1 FROM aliases a WHERE a.code = s.code AND contains(lower({text}), a.alias)))")
+def _states(label: int) -> str:
+    """List of the names (1) or codes (0) of the states named in the text, in table order."""
+    stripped = "upper(regexp_replace(trim(request_text), '^[,.;:，。；：]+|[,.;:，。；：]+$', '', 'g'))"
+    pairs = []
+    for code, name, aliases in rules.US_STATES:
+        word = f"regexp_matches(request_text, '(^|[^\\p{{L}}\\p{{N}}_]){code}($|[^\\p{{L}}\\p{{N}}_])')"
+        pairs.append((f"{word} OR {stripped} = '{code}' OR {has('low', [a.lower() for a in [name, *aliases]])}", (code, name)[label]))
+    return flags(pairs)
 
 
-_NAMED = f"""{_STATES}, {_ALIASES}, named AS (SELECT request_id, list(s.name ORDER BY ord) AS states, list(s.code ORDER BY ord) AS codes FROM {{src}} JOIN states s ON {{cond}} GROUP BY request_id)"""
+_NAMED = f"named AS (SELECT *, {_states(1)} AS states, {_states(0)} AS codes FROM t)"
 
 
 def asked(spark, sf) -> DataFrame:
     return record(spark, sf, "request")
 
 
-@query("alias_match", f"{_REQ}, {_STATES}, {_ALIASES} SELECT request_id, s.code AS state_code, s.name AS state_name FROM t JOIN states s ON {_match('request_text')}")
+@query("alias_match", f"{_REQ}, {_NAMED} SELECT request_id, unnest(codes) AS state_code, unnest(states) AS state_name FROM named")
 def _(spark, sf):
     return R.alias_match(asked(spark, sf), "request_text").select("request_id", "state_code", "state_name")
 
@@ -56,7 +57,7 @@ _ZIPLIST = distinct_list(f"regexp_extract_all(request_text, {q(rules.ZIP_PATTERN
 _TYPES = label_list("low", rules.PROPERTY_TYPE_TOKENS)
 _DEALS = label_list("low", [("for lease", ["租", "lease"]), ("for sale", ["买", "售", "sale"])])
 _USE = "CASE " + " ".join(f"WHEN {has('low', t)} THEN '{u}'" for u, t in rules.PROJECT_USE_TOKENS) + " END"
-_CRITERIA = f"""SELECT request_id, coalesce(array_to_string(states, '|'), '') AS states, {joined_sql(_ZIPLIST)} AS zip_codes,
+_CRITERIA = f"""SELECT request_id, array_to_string(states, '|') AS states, {joined_sql(_ZIPLIST)} AS zip_codes,
   round(coalesce({_n(_FIG + r'\s*(?:英里|mile|miles|mi)')}, round({_n(_FIG + r'\s*(?:公里|km)')} * 0.6214, 2)), 4) AS radius_miles,
   coalesce({_n(_FIG + r'\s*(?:\+|以上|至少|英亩|acres?)')}, round({_n(_FIG + r'\s*亩')} * 0.1647, 2)) AS min_land_acres,
   coalesce({_n(_COM + r'\s*(?:sqft|square feet|平方英尺)')}, round({_n(_COM + r'\s*(?:平方米|平米)')} * 10.7639, 2)) AS min_building_sqft,
@@ -65,10 +66,10 @@ _CRITERIA = f"""SELECT request_id, coalesce(array_to_string(states, '|'), '') AS
   array_to_string(CASE WHEN len({_TYPES}) > 0 THEN {_TYPES} ELSE ['industrial property', 'industrial land'] END, '|') AS property_types,
   array_to_string(CASE WHEN len({_DEALS}) > 0 THEN {_DEALS} ELSE ['for sale'] END, '|') AS transaction_types, {_USE} AS project_use,
   CASE WHEN {_A} IS NOT NULL THEN 'coordinates' WHEN len({_ZIPLIST}) = 1 THEN 'zip_code' END AS anchor_type, CASE WHEN {_SWAP} THEN {_B} ELSE {_A} END AS anchor_lat,
-  CASE WHEN {_A} IS NULL AND len({_ZIPLIST}) = 1 THEN {_ZIPLIST}[1][1:5] END AS anchor_zip FROM t LEFT JOIN named USING (request_id)"""
+  CASE WHEN {_A} IS NULL AND len({_ZIPLIST}) = 1 THEN {_ZIPLIST}[1][1:5] END AS anchor_zip FROM named"""
 
 
-@query("extract_criteria", f"{_REQ}, {_NAMED.format(src='t', cond=_match('request_text'))} {_CRITERIA}")
+@query("extract_criteria", f"{_REQ}, {_NAMED} {_CRITERIA}")
 def _(spark, sf):
     found = R.extract_criteria(asked(spark, sf))
     return found.select(
@@ -143,7 +144,7 @@ def _found(spark, sf) -> DataFrame:
 _CRIT = f"""crit AS ({_CRITERIA}), c AS (SELECT request_id, string_split(states, '|') AS states, states = '' AS no_state, string_split(property_types, '|') AS types, string_split(transaction_types, '|')[1] AS deal, anchor_type, anchor_lat, anchor_zip,
   CASE WHEN min_land_acres <> 0 THEN ' ' || CASE WHEN min_land_acres = floor(min_land_acres) THEN cast(cast(min_land_acres AS bigint) AS varchar) ELSE cast(min_land_acres AS varchar) END || '+ acres' ELSE '' END || CASE WHEN max_price_usd <> 0 THEN ' under $' || format('{{:,.0f}}', max_price_usd) ELSE '' END AS tail FROM crit),
 terms AS (SELECT *, list_concat(types, flatten(list_transform(types, lambda p: {_TERMS}))) AS raw_terms FROM c)"""
-_BASE = f"{_REQ}, {_NAMED.format(src='t', cond=_match('request_text'))}, {_CRIT}"
+_BASE = f"{_REQ}, {_NAMED}, {_CRIT}"
 _STD = f"""{_BASE}, tt AS (SELECT *, ({distinct_list('raw_terms')})[1:8] AS terms8 FROM terms WHERE anchor_type IS NULL AND NOT no_state),
 raw AS (SELECT request_id, s.i AS si, t.j AS tj, states[s.i] AS state, trim(terms8[t.j] || ' ' || deal || ' ' || states[s.i] || tail) AS query, 'property_market' AS source_group FROM tt, unnest(range(1, len(states) + 1)) AS s(i), unnest(range(1, len(terms8) + 1)) AS t(j)
   UNION ALL SELECT request_id, s.i, 100 + g.k, states[s.i], g.lead || states[s.i], g.grp FROM tt, unnest(range(1, len(states) + 1)) AS s(i), (VALUES (1, 'economic development available sites ', 'economic_development'), (2, 'industrial park available buildings ', 'industrial_park'),
@@ -204,7 +205,7 @@ _SUP_REGIONS = "regions(ro, po, region_name, phrase) AS (VALUES " + ", ".join(
     f"({i}, {j}, {q(r[2])}, {q(p)})" for i, r in enumerate(rules.SUPPLIER_REGIONS) for j, p in enumerate(r[4][:2])) + ")"
 _SUP_WIDE = "wide(k, query) AS (VALUES " + ", ".join(f"({i}, {q(t)})" for i, t in enumerate(rules.SUPPLIER_STATEWIDE_QUERIES)) + ")"
 _DEFAULTS = "[" + ", ".join(q(t) for t in rules.DEFAULT_SUPPLIER_TYPES) + "]"
-_SUPPLIER_GRID = f"""{_SUPPLIER}, {_NAMED.format(src='t', cond=_match('request_text'))}, {_SUP_REGIONS}, {_SUP_WIDE}, s0 AS (SELECT request_id, coalesce(states, ['United States']) AS states, coalesce(codes[1], '') AS code, list_concat({label_list('low', [(t, [x.lower() for x in w]) for t, w in rules.SUPPLIER_TYPE_TOKENS])}, {_DEFAULTS}) AS raw_terms FROM t LEFT JOIN named USING (request_id)),
+_SUPPLIER_GRID = f"""{_SUPPLIER}, {_NAMED}, {_SUP_REGIONS}, {_SUP_WIDE}, s0 AS (SELECT request_id, CASE WHEN len(states) > 0 THEN states ELSE ['United States'] END AS states, coalesce(codes[1], '') AS code, list_concat({label_list('low', [(t, [x.lower() for x in w]) for t, w in rules.SUPPLIER_TYPE_TOKENS])}, {_DEFAULTS}) AS raw_terms FROM named),
 s1 AS (SELECT *, {distinct_list('raw_terms')} AS terms FROM s0),
 raw AS (SELECT request_id, ro, po, u.j AS tj, region_name, terms[u.j] || ' ' || phrase AS query FROM s1 CROSS JOIN regions, unnest(range(1, 6)) AS u(j) WHERE code = 'TX' UNION ALL SELECT request_id, 999, k, 0, 'Statewide', wide.query FROM s1 CROSS JOIN wide WHERE code = 'TX'
   UNION ALL SELECT request_id, v.i, 0, u.j, NULL, terms[u.j] || ' ' || states[v.i] FROM s1, unnest(range(1, len(states) + 1)) AS v(i), unnest(range(1, least(8, len(terms)) + 1)) AS u(j) WHERE code <> 'TX'),

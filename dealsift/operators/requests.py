@@ -61,7 +61,7 @@ def _given(df: DataFrame, name: str, found: Column, kind: str) -> Column:
 def _counties(text: Column) -> Column:
     english = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z\s.'-]+)\s+County"), F.lit(1))
     chinese = F.regexp_extract_all(text, F.lit(r"([\x{4e00}-\x{9fff}A-Za-z\s.'-]+)县"), F.lit(1))
-    return F.filter(F.array_distinct(F.transform(F.concat(english, chinese), F.trim)), lambda c: c != "")
+    return F.filter(F.array_distinct(F.transform(F.concat(english, chinese), lambda c: F.trim(c))), lambda c: c != "")
 
 
 def _miles(text: Column, lead: str = "") -> Column:
@@ -191,7 +191,7 @@ def hardware_grid(requests: DataFrame, keep: list[str]) -> DataFrame:
     ``state_names`` is an array of state names or codes; empty means no state.
     """
     names = F.create_map(*[F.lit(x) for name, code in rules.HARDWARE_STATE_NAMES for x in (code, name)])
-    cleaned = F.filter(F.transform(F.col("state_names"), F.trim), lambda s: s != "")
+    cleaned = F.filter(F.transform(F.col("state_names"), lambda s: F.trim(s)), lambda s: s != "")
     suffixes = F.transform(cleaned, lambda s: F.coalesce(F.try_element_at(names, F.upper(s)), s))
     suffixes = F.when(F.size(suffixes) > 0, suffixes).otherwise(F.array(F.lit("")))
     cells = F.array(*[
