@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from dealsift.catalog import history as V
 from dealsift.catalog.hardware import ORDER
 from dealsift.catalog.records import cte, record
-from dealsift.catalog.registry import joined_sql, query
+from dealsift.catalog.registry import joined_sql, query, stamp, stamp_sql
 from dealsift.operators.snapshot import price_delta
 from dealsift.session import STATE_STORE, shared_folder
 from dealsift.sources.tables import read_snapshot
@@ -35,14 +35,20 @@ def _(spark, sf):
     return flows.run_to_table(spark, found, "changes").select("opportunity_key", "event_id", "total_price_usd", "listing_status", "change_types")
 
 
-@query("stream_status_aging")
+_AGED = f"""{V._OBS}, latest AS (SELECT *, CASE WHEN event_id % 4 < 2 THEN observed_at + INTERVAL 1 HOUR * cast(event_id % 100 AS int) END AS end_time FROM (SELECT *, row_number() OVER (PARTITION BY opportunity_key ORDER BY observed_at DESC, event_id DESC) AS rn FROM observation) WHERE rn = 1),
+moves AS (SELECT opportunity_key, end_time - INTERVAL 24 HOUR AS moved, 'ending_soon' AS listing_status FROM latest WHERE end_time IS NOT NULL UNION ALL SELECT opportunity_key, end_time, 'ended' FROM latest WHERE end_time IS NOT NULL
+  UNION ALL SELECT opportunity_key, observed_at + INTERVAL 48 HOUR, 'needs_manual_review' FROM latest WHERE end_time IS NULL AND event_id % 3 = 0)
+SELECT opportunity_key, {stamp_sql('moved')} AS moved_at, listing_status FROM moves WHERE moved <= (SELECT max(observed_at) - INTERVAL 1 HOUR FROM observation)"""
+
+
+@query("stream_status_aging", _AGED)
 def _(spark, sf):
     _stateful(spark)
     c = F.col
     aging = _source(spark, sf).withColumns({
         "end_time_utc": F.when(c("event_id") % 4 < 2, F.timestamp_add("HOUR", (c("event_id") % 100).cast("int"), c("observed_at"))),
         "listing_status": F.when(c("event_id") % 3 == 0, F.lit("unknown")).otherwise(F.lit("active"))})
-    return flows.run_to_table(spark, changes.stream_status_aging(aging), "aging").select("opportunity_key", "moved_at", "listing_status")
+    return flows.run_to_table(spark, changes.stream_status_aging(aging), "aging").select("opportunity_key", stamp("moved_at"), "listing_status")
 
 
 @query("stream_dedupe", "SELECT count(*) AS keys FROM (SELECT DISTINCT user_id, event_type FROM events)")

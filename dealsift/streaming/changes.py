@@ -38,8 +38,9 @@ class ChangeDetector(StatefulProcessor):
             None if pd.isna(status) else status))
         frame["change_types"] = kinds
         out = frame[frame["change_types"] != ""].assign(opportunity_key=key[0])
-        yield out[["opportunity_key", "event_id", "observed_at", "total_price_usd", "quantity", "listing_status",
-                   "change_types"]]
+        if len(out):
+            yield out[["opportunity_key", "event_id", "observed_at", "total_price_usd", "quantity", "listing_status",
+                       "change_types"]]
 
     def close(self) -> None:
         pass
@@ -67,7 +68,7 @@ class StatusAging(StatefulProcessor):
         latest = pd.concat(list(rows)).sort_values(["observed_at", "event_id"], kind="stable").iloc[-1]
         seen = int(latest["observed_at"].timestamp() * 1000)
         if self.plan.exists() and self.plan.get()[2] > seen:
-            return
+            return iter(())
         end = None if pd.isna(latest["end_time_utc"]) else int(latest["end_time_utc"].timestamp() * 1000)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -80,7 +81,7 @@ class StatusAging(StatefulProcessor):
             due = [seen + 48 * _HOUR]
         for at in due:
             self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame({"opportunity_key": [], "moved_at": pd.to_datetime([]), "listing_status": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         status, end, seen = self.plan.get()
