@@ -6,7 +6,7 @@ from dealsift import rules
 from dealsift.catalog.records import cte, record
 from dealsift.catalog.registry import (AS_OF, distinct_list, domain_sql, flags, has, hit, in_list, joined, joined_sql,
                                        label_case, label_list, num, path_sql, q, query, rx, stamp, stamp_sql, url_part)
-from dealsift.operators import classify, dedupe, hardware, lifecycle
+from dealsift.operators import classify, dedupe, funnel, hardware, lifecycle
 from dealsift.plans import scans
 from dealsift.sources.hits import as_hits
 
@@ -369,13 +369,14 @@ UNION ALL SELECT 'report', opportunity_key, opportunity_score FROM (SELECT * FRO
 UNION ALL SELECT 'history', opportunity_key, opportunity_score FROM (SELECT * FROM scored WHERE dead ORDER BY {TRAIL} LIMIT 80)""")
 def _(spark, sf):
     scan = scans.hardware_scan(hits_of(spark, sf), AS_OF, ORDER)
-    ranked = hardware.rank_opportunities(scan.current, *ORDER)
-    parts = [ranked.limit(n).withColumn("list_name", F.lit(name)) for name, n in (("current", 120), ("top", 20), ("report", 8))]
-    parts.append(scan.history.orderBy(*ORDER).limit(80).withColumn("list_name", F.lit("history")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("list_name", "opportunity_key", "opportunity_score")
+    rows = scan.listings.withColumn("last_seen_at", F.lit(AS_OF).cast("timestamp"))
+    lists = funnel.ranked_lists(rows, AS_OF, {"top": 120, "history": 80}, tuple(ORDER))
+    # the shorter lists are the head of the long one
+    best, place = F.col("list_name") == "top", F.col("position")
+    names = F.array_compact(F.array(
+        F.when(best, F.lit("current")), F.when(best & (place <= 20), F.lit("top")), F.when(best & (place <= 8), F.lit("report")),
+        F.when(~best, F.lit("history"))))
+    return lists.select(F.explode(names).alias("list_name"), "opportunity_key", "opportunity_score")
 
 
 _SORTS = {"price": "coalesce(current_total_cost, -1) DESC", "risk": "risk_score DESC", "score": "opportunity_score DESC"}

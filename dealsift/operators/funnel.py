@@ -1,6 +1,6 @@
 """Counters of a run: funnels, region counts, run and recheck summaries."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dealsift.operators.lifecycle import is_current, is_history, is_in_review
 
@@ -20,36 +20,39 @@ def _changed(kind: str) -> Column:
     return F.array_contains("change_types", kind)
 
 
-def hardware_funnel(raw: DataFrame, listings: DataFrame, normalized_count: DataFrame, runs: DataFrame, as_of,
-                    cap: int = 120, order: tuple[str, ...] = ("opportunity_key",)) -> DataFrame:
+def hardware_funnel(raw: DataFrame, listings: DataFrame, runs: DataFrame, as_of, cap: int = 120) -> DataFrame:
     """The counters of a hardware scan as (metric, value) rows.
 
-    ``listings`` are deduplicated, scored and carry change types; ``normalized_count`` has
-    one column ``normalized_listings`` with the number of listings before deduplication.
+    ``listings`` are deduplicated, scored and carry change types.  Every specific hit becomes one
+    listing before deduplication.  The shown list is the best ``cap`` current listings by score, so
+    its counters follow from counts alone and nothing is sorted.
     """
     kind = F.col("page_type")
     pages = raw.agg(F.count(F.lit(1)).alias("raw_results"), *_counts(
         specific_listings=kind == "specific_listing", listing_collections=kind == "listing_collection",
         source_pages=kind == "source_page", news_or_articles=kind == "news_or_article",
-        irrelevant=kind == "irrelevant"))
+        irrelevant=kind == "irrelevant", normalized_listings=kind == "specific_listing"))
     status, current = F.col("listing_status"), is_current(as_of)
     counted = listings.agg(
         F.count(F.lit(1)).alias("deduplicated"),
         *_counts(
-            new_opportunities=current & _changed("NEW"), changed_opportunities=current & (F.size("change_types") > 0) & ~_changed("NEW"),
+            new_opportunities=current & _changed("NEW"),
+            changed_opportunities=current & (F.size("change_types") > 0) & ~_changed("NEW"),
             price_changes=_changed("PRICE_CHANGED"), quantity_changes=_changed("QUANTITY_CHANGED"),
             status_changes=_changed("STATUS_CHANGED"), active_opportunities=status == "active",
             ending_soon=status == "ending_soon", expired_removed=is_history(), unavailable_links=status == "unavailable",
-            needs_manual_review=is_in_review(as_of)))
-    best = listings.filter(current).orderBy(F.desc("opportunity_score"), F.asc("risk_score"), *order).limit(cap)
-    final = best.agg(F.count(F.lit(1)).alias("final_opportunities"), *_counts(high_score_opportunities=F.col("opportunity_score") >= 60))
+            needs_manual_review=is_in_review(as_of)),
+        F.least(F.lit(cap), F.count_if(current)).alias("final_opportunities"),
+        F.least(F.lit(cap), F.count_if(current & (F.col("opportunity_score") >= 60))).alias("high_score_opportunities"))
     failed = runs.agg(*_counts(failed_sources=F.col("status").isin(_FAILED)))
-    rows = _long(pages).unionByName(_long(normalized_count)).unionByName(_long(counted)).unionByName(_long(final)).unionByName(_long(failed))
+    rows = _long(pages).unionByName(_long(counted)).unionByName(_long(failed))
     # duplicates are what normalisation produced beyond the deduplicated listings
     signed = F.when(F.col("metric") == "normalized_listings", F.col("value")).when(
         F.col("metric") == "deduplicated", -F.col("value"))
-    duplicates = rows.agg(F.sum(signed).alias("duplicates_removed"))
-    return rows.filter(F.col("metric") != "deduplicated").unionByName(_long(duplicates))
+    value = F.when(F.col("metric") == "deduplicated", F.lit("duplicates_removed")).when(
+        F.col("metric") == "normalized_listings", F.lit("duplicates_removed"))
+    duplicates = rows.filter(value.isNotNull()).groupBy(value.alias("metric")).agg(F.sum(signed).alias("value"))
+    return rows.filter(F.col("metric") != "deduplicated").unionByName(duplicates)
 
 
 def site_funnel(judged: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -112,15 +115,26 @@ def dashboard_totals(listings: DataFrame, as_of) -> DataFrame:
         needs_review_opportunities=is_in_review(as_of)))
 
 
+def ranked_lists(listings: DataFrame, as_of, sizes: dict[str, int], order: tuple[str, ...] = ("opportunity_key",)) -> DataFrame:
+    """The first rows of the lists ``top`` (best score), ``history`` and ``needs_review`` (seen last), in one pass.
+
+    A listing is copied to each list it belongs to; the rank limit also applies before the shuffle.
+    """
+    member = {"top": is_current(as_of), "history": is_history(), "needs_review": is_in_review(as_of)}
+    names = F.array_compact(F.array(*[F.when(member[n], F.lit(n)) for n in sizes]))
+    rows = listings.withColumn("list_name", F.explode(names))
+    best = F.col("list_name") == "top"
+    seen = -F.unix_micros(F.col("last_seen_at")).cast("double")
+    place = Window.partitionBy("list_name").orderBy(
+        F.when(best, -F.col("opportunity_score")).otherwise(seen), F.when(best, F.col("risk_score")).otherwise(F.lit(0.0)), *order)
+    ranked = rows.withColumn("position", F.row_number().over(place)).filter(F.col("position") <= max(sizes.values()))
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("list_name"))
+    return ranked.filter(F.col("position") <= size)
+
+
 def dashboard_rollup(listings: DataFrame, as_of, order: tuple[str, ...] = ("opportunity_key",)) -> DataFrame:
     """The three ranked lists of the dashboard: 20 best, 80 latest ended, 80 latest to review."""
-    key = F.struct(*order)
-    best = listings.filter(is_current(as_of)).orderBy(F.desc("opportunity_score"), F.asc("risk_score"), key).limit(20)
-    latest = [F.desc("last_seen_at"), key]
-    old = listings.filter(is_history()).orderBy(*latest).limit(80)
-    review = listings.filter(is_in_review(as_of)).orderBy(*latest).limit(80)
-    return best.withColumn("list_name", F.lit("top")).unionByName(
-        old.withColumn("list_name", F.lit("history"))).unionByName(review.withColumn("list_name", F.lit("needs_review")))
+    return ranked_lists(listings, as_of, {"top": 20, "history": 80, "needs_review": 80}, order)
 
 
 def executed_query_counts(runs: DataFrame, query: str = "query") -> DataFrame:

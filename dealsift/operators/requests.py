@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dealsift import rules
 from dealsift.functions import address, geo, labels
 from dealsift.functions.amount import number
-from dealsift.functions.text import capture, contains_any, token_labels
+from dealsift.functions.text import capture, contains_any, once, token_labels
 from dealsift.schemas import with_missing
 
 _EDGE = r"[\p{L}\p{N}_]"
@@ -24,11 +24,12 @@ def state_matches(text: Column) -> Column:
                  F.array(*[F.lit(a.lower()) for a in [name, *aliases]]).alias("aliases"))
         for code, name, aliases in rules.US_STATES])
     codes = "|".join(code for code, _, _ in rules.US_STATES)
-    words = F.regexp_extract_all(text, F.lit(rf"(?<!{_EDGE})(?:{codes})(?!{_EDGE})"), F.lit(0))
-    whole = F.upper(F.regexp_replace(F.trim(text), r"^[,.;:，。；：]+|[,.;:，。；：]+$", ""))
-    lowered = F.lower(text)
-    found = F.filter(table, lambda s: F.array_contains(words, s["code"]) | (whole == s["code"]) | F.exists(
-        s["aliases"], lambda a: lowered.contains(a)))
+    said = F.struct(
+        F.regexp_extract_all(text, F.lit(rf"(?<!{_EDGE})(?:{codes})(?!{_EDGE})"), F.lit(0)).alias("words"),
+        F.upper(F.regexp_replace(F.trim(text), r"^[,.;:，。；：]+|[,.;:，。；：]+$", "")).alias("whole"),
+        F.lower(text).alias("lowered"))
+    found = once(said, lambda t: F.filter(table, lambda s: F.array_contains(t["words"], s["code"]) | (
+        t["whole"] == s["code"]) | F.exists(s["aliases"], lambda a: t["lowered"].contains(a))))
     return F.transform(found, lambda s: F.struct(s["code"].alias("code"), s["name"].alias("name")))
 
 
@@ -95,9 +96,9 @@ def extract_criteria(requests: DataFrame, text: str = "request_text") -> DataFra
         F.when(contains_any(lowered, ["租", "lease"]), F.lit("for lease")),
         F.when(contains_any(lowered, ["买", "售", "sale"]), F.lit("for sale"))))
     uses = F.coalesce(*[F.when(contains_any(lowered, tokens), F.lit(use)) for use, tokens in rules.PROJECT_USE_TOKENS])
-    df = requests.withColumns({
-        "states": _given(requests, "states", F.transform(states, lambda s: s["name"]), "array"),
-        "state_codes": _given(requests, "state_codes", F.transform(states, lambda s: s["code"]), "array"),
+    df = requests.withColumn("_named", states).withColumns({
+        "states": _given(requests, "states", F.col("_named.name"), "array"),
+        "state_codes": _given(requests, "state_codes", F.col("_named.code"), "array"),
         "zip_codes": _given(requests, "zip_codes", zips, "array"),
         "counties": _given(requests, "counties", _counties(source), "array"),
         "radius_miles": _given(requests, "radius_miles", _miles(source), "number"),
@@ -122,15 +123,15 @@ def extract_criteria(requests: DataFrame, text: str = "request_text") -> DataFra
         "anchor_type": F.when(both, F.lit("coordinates")).when(one_zip, F.lit("zip_code")),
         "anchor_lat": F.when(both, F.col("_pair.lat")), "anchor_lon": F.when(both, F.col("_pair.lon")),
         "anchor_zip": F.when(one_zip, F.substring(F.element_at("zip_codes", 1), 1, 5)),
-    }).drop("_pair")
+    }).drop("_pair", "_named")
 
 
 def extract_supplier_criteria(requests: DataFrame, text: str = "request_text") -> DataFrame:
     source, lowered = F.col(text), F.lower(text)
     states = state_matches(source)
     certs = [("R2", ["r2"]), ("e-Stewards", ["e-stewards"]), ("NAID AAA", ["naid"])]
-    return requests.withColumns({
-        "states": F.transform(states, lambda s: s["name"]), "state_codes": F.transform(states, lambda s: s["code"]),
+    return requests.withColumn("_named", states).withColumns({
+        "states": F.col("_named.name"), "state_codes": F.col("_named.code"),
         "zip_codes": F.array_distinct(F.regexp_extract_all(source, F.lit(rules.ZIP_PATTERN), F.lit(0))),
         "supplier_types": token_labels(lowered, rules.SUPPLIER_TYPE_TOKENS),
         "equipment_types": token_labels(lowered, rules.REQUEST_EQUIPMENT_TOKENS),
@@ -139,7 +140,7 @@ def extract_supplier_criteria(requests: DataFrame, text: str = "request_text") -
         "bulk_sales": contains_any(lowered, ["bulk", "批量", "wholesale"]),
         "wholesale": contains_any(lowered, ["wholesale", "批发"]),
         "direct_asset_purchasing": contains_any(lowered, ["一手", "direct", "buyer", "采购"]),
-    })
+    }).drop("_named")
 
 
 # ------------------------------------------------------------- terms and grids
@@ -177,8 +178,8 @@ def profile_lookup(criteria: DataFrame, state_code: str = "state_code") -> DataF
 
 def _first_by_text(queries: Column) -> Column:
     """Drop later queries with the same text in any case."""
-    texts = F.transform(queries, lambda q: F.lower(q["query"]))
-    return F.filter(queries, lambda q, i: F.array_position(texts, F.lower(q["query"])) == i + 1)
+    lowered = F.transform(queries, lambda q: F.lower(q["query"]))
+    return once(lowered, lambda texts: F.filter(queries, lambda q, i: F.array_position(texts, F.get(texts, i)) == i + 1))
 
 
 def _explode_queries(df: DataFrame, queries: Column, keep: list[str]) -> DataFrame:
@@ -296,8 +297,7 @@ def site_grid(criteria: DataFrame, keep: list[str], limit: int = 40) -> DataFram
             _query(F.concat(F.lit("powered land for data center "), wide), "utility", s),
             _query(F.concat(F.lit("shovel-ready industrial site "), wide), "economic_development", s)))
 
-    queries = F.flatten(F.transform(F.col("_places"), of_place))
-    df = df.withColumn("_queries", queries)
+    df = df.withColumn("_queries", F.flatten(F.transform(F.col("_places"), of_place)))
     return _explode_queries(df, F.slice(_first_by_text(F.col("_queries")), 1, limit), keep)
 
 

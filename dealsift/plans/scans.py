@@ -36,8 +36,7 @@ class HardwareScan:
         return hardware.rank_opportunities(self.current, *self.order).limit(n)
 
     def funnel(self, runs: DataFrame) -> DataFrame:
-        count = self.normalized.agg(F.count(F.lit(1)).alias("normalized_listings"))
-        return funnel.hardware_funnel(self.classified, self.listings, count, runs, self.as_of, order=tuple(self.order))
+        return funnel.hardware_funnel(self.classified, self.listings, runs, self.as_of)
 
 
 def hardware_scan(hits: DataFrame, as_of, order: list[str], known: DataFrame | None = None) -> HardwareScan:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dealsift import rules
 from dealsift.functions import times, url
 from dealsift.functions.amount import int_after, money_after
-from dealsift.functions.text import between, blank_to_null, capture, contains_any, slice_after, squeeze
+from dealsift.functions.text import between, blank_to_null, capture, contains_any, once, slice_after, squeeze
 from dealsift.operators.classify import finalize_status
 
 # Character entities seen in listing pages
@@ -65,8 +65,8 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _unique_by_url(links: Column) -> Column:
-    seen = F.transform(links, lambda x: x["url"])
-    return F.filter(links, lambda x, i: F.array_position(seen, x["url"]) == i + 1)
+    return once(F.transform(links, lambda x: x["url"]), lambda seen: F.filter(
+        links, lambda x, i: F.array_position(seen, x["url"]) == i + 1))
 
 
 def _explode_links(pages: DataFrame, links: Column, max_results: int | None, page_id: str) -> DataFrame:
