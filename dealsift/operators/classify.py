@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsift import rules
 from dealsift.functions import times, url
+from dealsift.functions.fence import keep_rows
 from dealsift.functions.text import contains_any, matches, text_of
 
 
@@ -68,7 +69,7 @@ def classify_hardware_pages(hits: DataFrame) -> DataFrame:
 
 
 def specific_only(hits: DataFrame) -> DataFrame:
-    return hits.filter(F.col("page_type") == "specific_listing")
+    return keep_rows(hits, F.col("page_type") == "specific_listing")
 
 
 def _haystack(*parts: str) -> Column:
@@ -79,8 +80,8 @@ def hardware_relevance(hits: DataFrame) -> DataFrame:
     """Drop blocked hits, keep those that mention any hardware token."""
     text = F.col("_text")
     staged = hits.withColumn("_text", _haystack("original_title", "original_description", "domain"))
-    return staged.filter(
-        ~contains_any(text, rules.HARDWARE_BLOCKED) & contains_any(text, rules.HARDWARE_WANTED)).drop("_text")
+    return keep_rows(
+        staged, ~contains_any(text, rules.HARDWARE_BLOCKED) & contains_any(text, rules.HARDWARE_WANTED)).drop("_text")
 
 
 def category_relevance(hits: DataFrame) -> DataFrame:
@@ -92,22 +93,24 @@ def category_relevance(hits: DataFrame) -> DataFrame:
         wanted = wanted | ((category == name) & contains_any(text, tokens))
     veto = ((category == "storage") & contains_any(text, rules.STORAGE_VETO)) | (
         (category == "cpu") & contains_any(text, rules.CPU_VETO) & ~contains_any(text, rules.CPU_VETO_UNLESS))
-    return staged.filter(~veto & wanted).drop("_text")
+    return keep_rows(staged, ~veto & wanted).drop("_text")
 
 
 def site_relevance(hits: DataFrame) -> DataFrame:
-    text = F.lower(text_of(F.col("original_title"), F.col("original_description")))
-    domain = F.coalesce(F.col("domain"), F.lit(""))
+    staged = hits.withColumn("_text", F.lower(text_of(F.col("original_title"), F.col("original_description"))))
+    text, domain = F.col("_text"), F.coalesce(F.col("domain"), F.lit(""))
     business = text.contains("businesses for sale") & ~contains_any(text, rules.REAL_ESTATE_TOKENS)
-    return hits.filter(
-        ~contains_any(domain, rules.SITE_BLOCKED_DOMAINS) & ~business & contains_any(text, rules.SITE_WANTED))
+    return keep_rows(
+        staged, ~contains_any(domain, rules.SITE_BLOCKED_DOMAINS) & ~business & contains_any(text, rules.SITE_WANTED)
+    ).drop("_text")
 
 
 def supplier_relevance(hits: DataFrame) -> DataFrame:
-    text = _haystack("original_title", "original_description", "domain")
-    return hits.filter(
-        ~contains_any(text, rules.SUPPLIER_BLOCKED) & ~contains_any(text, rules.SUPPLIER_LOW_VALUE_HITS)
-        & contains_any(text, rules.SUPPLIER_WANTED))
+    text = F.col("_text")
+    staged = hits.withColumn("_text", _haystack("original_title", "original_description", "domain"))
+    return keep_rows(
+        staged, ~contains_any(text, rules.SUPPLIER_BLOCKED) & ~contains_any(text, rules.SUPPLIER_LOW_VALUE_HITS)
+        & contains_any(text, rules.SUPPLIER_WANTED)).drop("_text")
 
 
 def _collection_path(where: Column) -> Column:

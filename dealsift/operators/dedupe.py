@@ -16,14 +16,17 @@ def union_sources(*frames: DataFrame, ordinal: str = "source_ord") -> DataFrame:
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str], duplicates: str | None = None) -> DataFrame:
-    """The first row per key in the given order, optionally with the number of rows dropped for it."""
+    """The first row per key in the given order, optionally with the number of rows dropped for it.
+
+    Without the count, a rank limit of one: every task passes on at most one row per key, and
+    columns nobody reads are never computed.  With the count, an aggregate with partial results.
+    """
+    if duplicates is None:
+        return top_n_per_group(df, keys, order, 1, "_place").drop("_place")
     rest = [c for c in df.columns if c not in keys]
-    aggregates = [F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")]
-    if duplicates:
-        aggregates.append((F.count(F.lit(1)) - 1).alias(duplicates))
-    picked = df.groupBy(*keys).agg(*aggregates)
-    extra = [duplicates] if duplicates else []
-    return picked.select(*keys, "_row.*", *extra).select(*df.columns, *extra)
+    picked = df.groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"), (F.count(F.lit(1)) - 1).alias(duplicates))
+    return picked.select(*keys, "_row.*", duplicates).select(*df.columns, duplicates)
 
 
 def mark_first(df: DataFrame, keys: list[str], order: list[str], flag: str = "is_first") -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsift import rules
 from dealsift.functions import times
+from dealsift.functions.fence import keep_rows
 from dealsift.functions.text import strings
 
 
@@ -110,8 +111,8 @@ def site_view(sites: DataFrame, state: str = "", place: str = "", property_type:
     def text(name: str) -> Column:
         return F.coalesce(c(name), F.lit("")) if name in sites.columns else F.lit("")
 
-    return sites.filter(
-        holds(text("state"), state) & holds(F.concat_ws(" ", text("city"), text("county")), place)
+    return keep_rows(
+        sites, holds(text("state"), state) & holds(F.concat_ws(" ", text("city"), text("county")), place)
         & holds(text("property_type"), property_type)
         & passes("land_acres", min_acres, lambda v, b: v >= b)
         & passes("asking_price_usd", max_price, lambda v, b: v <= b)

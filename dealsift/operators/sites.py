@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsift import rules
 from dealsift.functions import address, amount, labels, url
+from dealsift.functions.fence import keep_rows
 from dealsift.functions.text import contains_any, strings, text_of
 from dealsift.operators.classify import site_quality_flags, site_result
 from dealsift.operators.dedupe import mark_first
@@ -133,7 +134,7 @@ def criteria_filter(listings: DataFrame, criteria: DataFrame, job: str = "job_id
     """Listings that break no criterion of the search that found them."""
     joined = with_criteria(listings, criteria, job)
     reason = mismatch("_c_states", "_c_min_land_acres", "_c_max_price_usd")
-    return joined.filter(reason.isNull()).select(*listings.columns)
+    return keep_rows(joined, reason.isNull()).select(*listings.columns)
 
 
 def dedupe_key() -> Column:
