@@ -2,13 +2,20 @@
 
 from collections.abc import Callable
 
-from dealsift.llm import language, quality, toxicity, url_filter
-from dealsift.llm.tables import read
+from dealsift.llm import bpe, language, quality, token_counts, token_store, toxicity, url_filter
+from dealsift.llm.tables import read, shared_folder
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     def register(function: Callable) -> Callable:
         QUERIES[name] = function
@@ -38,3 +45,20 @@ def op5_quality(spark, sf_dir):
 @query("op8_url_filter", url_filter.oracle())
 def op8_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    return token_counts.count(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op7_bpe")
+def op7_bpe(spark, sf_dir):
+    return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op10_token_store")
+def op10_token_store(spark, sf_dir):
+    folder = shared_folder(spark, "token-store")
+    token_store.write(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), folder)
+    return token_store.read(spark, folder, digest=True)

@@ -97,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = marks.withColumn("rank", rank).filter(F.col("rank") <= per_class).drop("rank")
     table = documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = table.join(chosen, "doc_id").mapInArrow(_sample_features, "doc_id long, toxic int, found binary").collect()
+    # at most 2 * per_class ids
+    rows = table.join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_features, "doc_id long, toxic int, found binary").collect()
     rows = sorted({r.doc_id: (int(r.toxic > 0), np.frombuffer(r.found, np.int32)) for r in rows}.items())
     toxic = np.array([t for _, (t, _) in rows])
     if len(set(toxic)) < 2:
