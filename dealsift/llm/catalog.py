@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from dealsift.llm import bpe, language, quality, token_counts, token_store, toxicity, url_filter
+from dealsift.llm import bpe, language, quality, substring, token_counts, token_store, toxicity, url_filter
 from dealsift.llm.tables import read, shared_folder
 
 QUERIES: dict[str, Callable] = {}
@@ -62,3 +62,8 @@ def op10_token_store(spark, sf_dir):
     folder = shared_folder(spark, "token-store")
     token_store.write(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), folder)
     return token_store.read(spark, folder, digest=True)
+
+
+@query("op2_substring_dedup", substring.ORACLE)
+def op2_substring_dedup(spark, sf_dir):
+    return substring.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
