@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from dealsift.llm import bpe, language, quality, substring, token_counts, token_store, toxicity, url_filter
+from dealsift.llm import bpe, language, near_dedup, quality, substring, token_counts, token_store, toxicity, url_filter
 from dealsift.llm.tables import read, shared_folder
 
 QUERIES: dict[str, Callable] = {}
@@ -67,3 +67,8 @@ def op10_token_store(spark, sf_dir):
 @query("op2_substring_dedup", substring.ORACLE)
 def op2_substring_dedup(spark, sf_dir):
     return substring.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op9_near_dedup", near_dedup.ORACLE)
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.dedup(read(spark, sf_dir, "documents"))
