@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from dealsift.llm import bpe, language, near_dedup, quality, substring, token_counts, token_store, toxicity, url_filter
+from dealsift.llm import bpe, decontaminate, language, near_dedup, quality, substring, token_counts, token_store, toxicity, url_filter
 from dealsift.llm.tables import read, shared_folder
 
 QUERIES: dict[str, Callable] = {}
@@ -72,3 +72,8 @@ def op2_substring_dedup(spark, sf_dir):
 @query("op9_near_dedup", near_dedup.ORACLE)
 def op9_near_dedup(spark, sf_dir):
     return near_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
