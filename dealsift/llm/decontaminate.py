@@ -20,6 +20,8 @@ nothing. A text shorter than the item is one window. Null ids are kept as they a
 
 from pyspark.sql import DataFrame, functions as F
 
+from dealsift.llm.tables import NULL_ID
+
 LEAST = 0.75
 RADIUS = 25
 BLOCKS = 13
@@ -100,3 +102,10 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, broadcast_
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.similarity", (-F.col("best.s")).alias("start"), "best.n_words")
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` without contaminated documents; a null id counts as an id of its own."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    found = find(docs, benchmark, least).select(key.alias("__id")).distinct()
+    return docs.withColumn("__id", key).join(found, "__id", "left_anti").drop("__id")

@@ -21,11 +21,13 @@ are all returned, with the component of their own text.
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dealsift.llm import textkit as T
 from dealsift.llm.components import components
-from dealsift.llm.tables import NULL_ID, documents, importable, stored
+from dealsift.llm.tables import NULL_ID, documents, stored
 
 SHINGLE = 5
 HASHES, CHUNK = 64, 4
@@ -86,17 +88,21 @@ def _chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _identity(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of every set, and sums of two mixes of its hashes: equal for equal sets."""
+    with np.errstate(over="ignore"):
+        sums = [np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(value ^ salt), dtype=np.uint64)])[bounds]).view(np.int64)
+                for salt in (np.uint64(0x1234567), np.uint64(0x89ABCDEF01))]
+    return np.diff(bounds).astype(np.int64), *sums
+
+
 def profile(docs: DataFrame) -> DataFrame:
     """doc_id, number of shingles, two sums that identify the set, and the signature."""
     def run(batches):
         for batch in batches:
             for part in T.slices(batch):
                 value, bounds = shingle_sets(part)
-                size = np.diff(bounds)
-                with np.errstate(over="ignore"):
-                    # sums of two mixes of the hashes: equal for equal sets
-                    sums = [np.diff(np.concatenate([[np.uint64(0)], np.cumsum(T.mix(value ^ salt), dtype=np.uint64)])[bounds]).view(np.int64)
-                            for salt in (np.uint64(0x1234567), np.uint64(0x89ABCDEF01))]
+                size, *sums = _identity(value, bounds)
                 sig, raw = signatures(value, bounds), np.empty(len(part), object)
                 for i, row in zip(np.flatnonzero(size), sig):
                     raw[i] = row.tobytes()
@@ -252,21 +258,47 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return fetched.groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long")
 
 
+def _labelled(table: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every non-empty set with its smallest id (rep) and the smallest id of its component."""
+    reps = stored(classes(profiles), "near-classes")
+    found = components(links(table, reps))
+    # ids that repeat with other texts must not mix: the class is found by the set, the text by the id
+    return (reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+            .select("n_shingles", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component")))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id is that id) for every row."""
-    importable(docs.sparkSession)
     table = documents(docs)
     profiles = stored(profile(table), "near-profiles")
-    reps = stored(classes(profiles), "near-classes")
-    # ids that repeat with other texts must not mix: the class is found by the set, the text by the id
-    found = components(links(table, reps))
-    labelled = (reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-                .select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component")))
-    joined = profiles.join(labelled, ["n_shingles", "s1", "s2"], "left")
+    joined = profiles.join(_labelled(table, profiles).drop("rep"), ["n_shingles", "s1", "s2"], "left")
     component = F.coalesce(F.nullif(F.col("component"), F.lit(NULL_ID)), F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each component, all columns; of equal rows one. Empty sets all stay."""
+    table = documents(docs)
+    profiles = stored(profile(table), "near-profiles")
+    winners = _labelled(table, profiles).filter("rep = component").select(
+        F.col("n_shingles").alias("__n"), F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), "rep")
+
+    def tag(batches):
+        rows = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in T.slices(batch):
+                size, s1, s2 = _identity(*shingle_sets(part))
+                # an empty set is a key of its own, so that empty texts neither meet nor crowd one task
+                s1 = np.where(size > 0, s1, rows + np.arange(len(part)))
+                rows += len(part)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(size), pa.array(s1), pa.array(s2)], [*part.schema.names, "__n", "__s1", "__s2"])
+
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("__n", "__s1", "__s2"))])
+    joined = docs.mapInArrow(tag, schema).join(winners, ["__n", "__s1", "__s2"], "left")
+    first = joined.filter((F.col("__n") == 0) | (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("rep")))
+    return first.dropDuplicates(["__n", "__s1", "__s2"]).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
