@@ -273,7 +273,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     profiles = stored(profile(table), "near-profiles")
     joined = profiles.join(_labelled(table, profiles).drop("rep"), ["n_shingles", "s1", "s2"], "left")
     component = F.coalesce(F.nullif(F.col("component"), F.lit(NULL_ID)), F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     table = documents(docs)
     profiles = stored(profile(table), "near-profiles")
     winners = _labelled(table, profiles).filter("rep = component").select(
-        F.col("n_shingles").alias("__n"), F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), "rep")
+        F.col("n_shingles").alias("__n"), F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), F.col("rep").alias("__rep"))
 
     def tag(batches):
         rows = TaskContext.get().partitionId() << 40
@@ -295,7 +295,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("__n", "__s1", "__s2"))])
     joined = docs.mapInArrow(tag, schema).join(winners, ["__n", "__s1", "__s2"], "left")
-    first = joined.filter((F.col("__n") == 0) | (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("rep")))
+    first = joined.filter((F.col("__n") == 0) | (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("__rep")))
     return first.dropDuplicates(["__n", "__s1", "__s2"]).select(*docs.columns)
 
 

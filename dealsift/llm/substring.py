@@ -82,7 +82,7 @@ class Chunk:
         order = np.argsort(key, kind="stable")
         key, doc, anchor = key[order], doc[order], ((at - self.bounds[doc]) % self.block == 0)[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(key)) - 1
+        last = np.append(first, len(key))[1:] - 1
         place = np.zeros(len(key), np.int64)
         place[order] = np.repeat(np.arange(len(first)), last - first + 1)
         return key[first], np.logical_or.reduceat(anchor, first) if len(first) else anchor, doc[first] != doc[last], at, place
