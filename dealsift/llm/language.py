@@ -124,7 +124,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id").distinct()
-    rows = (known.join(chosen, "doc_id", "left_semi").select("doc_id", "text", "lang")
+    # at most per_language ids of each language
+    rows = (known.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang")
             .mapInArrow(_sample_vectors, "doc_id long, lang string, vector binary").collect())
     rows = sorted({(r.lang, r.doc_id): r.vector for r in rows}.items())
     if not rows:
@@ -219,12 +220,12 @@ def keep_identified(docs: DataFrame, least: float = 0.2, per_language: int = PER
     """The rows of ``docs`` whose language is recognised with a score of at least ``least``; all columns stay.
 
     Rejected are texts without a letter and texts no family or pair can claim. The verdict travels with its row, so no
-    join on ids is needed and repeated ids are no problem.
+    join on ids is needed and repeated ids are no problem. With no labelled document nothing is rejected.
     """
     table = documents(docs, F.col("lang").cast("string").alias("lang"))
     model = fit(table, per_language)
     if model is None:
-        return docs.limit(0)
+        return docs
 
     def run(batches):
         for batch in batches:

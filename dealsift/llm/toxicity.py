@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dealsift.llm import textkit as T
 from dealsift.llm.tables import documents
@@ -90,12 +90,12 @@ def _fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES) -> Model | None:
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-             .filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+             .filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")))
     shares = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if len(shares) < 2:
         return None
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marks.withColumn("rank", rank).filter(F.col("rank") <= per_class).drop("rank")
+    clean, bad = (marks.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in ("toxic = 0", "toxic > 0"))
+    chosen = clean.unionByName(bad)
     table = documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     # at most 2 * per_class ids
     rows = table.join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_features, "doc_id long, toxic int, found binary").collect()
