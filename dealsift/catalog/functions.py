@@ -14,7 +14,7 @@ _K = H.KEYS_SQL
 
 @query("fn_url", f"""{H.LISTED}, f AS (SELECT *, CASE WHEN scheme <> '' THEN lower(scheme) || ':' ELSE '' END || '//' || domain || regexp_replace(path, '/+$', '') AS plain FROM canon)
 SELECT {_K}, canonical_url, domain, plain AS without_query, lower(scheme) || '://' || {url_part('source_url', 2)} AS root,
-  CASE WHEN regexp_replace(path, '/+$', '') <> '' THEN (string_split(regexp_replace(path, '/+$', ''), '/')[-1])[1:80] END AS listing_id FROM f""")
+  CASE WHEN regexp_replace(path, '/+$', '') <> '' THEN string_split(regexp_replace(path, '/+$', ''), '/')[-1] END AS listing_id FROM f""")
 def _(spark, sf):
     link = F.col("source_url")
     return record(spark, sf, "listing_src").select(

@@ -125,7 +125,7 @@ def _(spark, sf):
 
 @query("recent_scan", f"WITH {cte('manual_review')} SELECT review_id, item_id, manual_status FROM manual_review ORDER BY verified_at DESC, review_id DESC LIMIT 50")
 def _(spark, sf):
-    return snapshot.recent(record(spark, sf, "manual_review"), "verified_at", "review_id").select("review_id", "item_id", "manual_status")
+    return snapshot.recent(record(spark, sf, "manual_review"), "verified_at", "review_id", 50).select("review_id", "item_id", "manual_status")
 
 
 # ---------------------------------------------------------------- status rules
@@ -183,7 +183,7 @@ def _(spark, sf):
     return lifecycle.report_eligible(tracked(spark, sf), EVENT_AS_OF).select("event_id", "listing_status")
 
 
-@query("recheck_candidates", f"{_TRACK} SELECT event_id, listing_status FROM tracked WHERE listing_status IN {in_list(rules.RECHECK_STATUSES)} ORDER BY observed_at, event_id LIMIT 80")
+@query("recheck_candidates", f"{_TRACK} SELECT event_id, listing_status FROM tracked WHERE listing_status IN {in_list(rules.RECHECK_STATUSES)}")
 def _(spark, sf):
     return snapshot.recheck_candidates(tracked(spark, sf), ["observed_at", "event_id"]).select("event_id", "listing_status")
 
@@ -243,7 +243,7 @@ def _(spark, sf):
     return funnel.recheck_summary(scans.bulk_recheck(stored, fetched, EVENT_AS_OF, ["observed_at"], limit=None))
 
 
-@query("bulk_recheck", f"""{_RECHECK} SELECT opportunity_key, new_status AS listing_status FROM (SELECT * FROM moved WHERE {_DUE} ORDER BY observed_at, event_id LIMIT 80)""")
+@query("bulk_recheck", f"""{_RECHECK} SELECT opportunity_key, new_status AS listing_status FROM (SELECT * FROM moved WHERE {_DUE} )""")
 def _(spark, sf):
     stored, fetched = _recheck_inputs(spark, sf)
     return scans.bulk_recheck(stored, fetched, EVENT_AS_OF, ["observed_at", "event_id"]).select("opportunity_key", "listing_status")
@@ -323,8 +323,8 @@ _FUNNEL = {
     "quantity_changes": "0", "status_changes": "0", "active_opportunities": "(SELECT count(*) FROM scored WHERE listing_status = 'active')", "ending_soon": "0",
     "expired_removed": "(SELECT count(*) FROM scored WHERE dead)", "unavailable_links": "0",
     "needs_manual_review": "(SELECT count(*) FROM scored WHERE listing_status = 'needs_manual_review' OR needs_manual_review)",
-    "final_opportunities": "least(120, (SELECT count(*) FROM scored WHERE listing_status = 'active'))",
-    "high_score_opportunities": f"(SELECT count(*) FROM (SELECT * FROM scored WHERE listing_status = 'active' ORDER BY {H._RANK} LIMIT 120) WHERE opportunity_score >= 60)",
+    "final_opportunities": "(SELECT count(*) FROM scored WHERE listing_status = 'active')",
+    "high_score_opportunities": "(SELECT count(*) FROM scored WHERE listing_status = 'active' AND opportunity_score >= 60)",
     "failed_sources": "(SELECT count(*) FROM events WHERE value < 40)",
 }
 
@@ -345,7 +345,7 @@ UNION ALL SELECT 'total_review', cast(count(*) AS varchar), NULL FROM key WHERE
 def _(spark, sf):
     scan = scans.hardware_scan(H.hits_of(spark, sf), AS_OF, H.ORDER)
     rows = scan.listings.withColumn("last_seen_at", F.col("observed_at"))
-    lists = funnel.dashboard_rollup(rows, AS_OF).select("list_name", "opportunity_key", "risk_score")
+    lists = funnel.dashboard_rollup(rows, AS_OF, {"top": 20, "history": 80, "needs_review": 80}).select("list_name", "opportunity_key", "risk_score")
     totals = funnel.dashboard_totals(rows, AS_OF).select(
         F.col("total_opportunities_seen").alias("total_seen"), F.col("active_opportunities").alias("total_active"),
         F.col("history_opportunities").alias("total_history"), F.col("needs_review_opportunities").alias("total_review"))

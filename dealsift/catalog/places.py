@@ -89,11 +89,11 @@ def _(spark, sf):
     return spatial.site_assets(pairs(spark, sf)).select("site_id", "asset_id", "asset_type", "voltage_kv", "distance_miles")
 
 
-@query("distance_sort", f"""{_PAIRS} SELECT s.site_id, p.asset_id, p.distance_miles FROM site s LEFT JOIN pairs p USING (site_id) ORDER BY p.distance_miles NULLS LAST, s.site_id, p.asset_id LIMIT 500""")
+@query("distance_sort", f"""{_PAIRS} SELECT s.site_id, p.asset_id, p.distance_miles FROM site s LEFT JOIN pairs p USING (site_id)""")
 def _(spark, sf):
     near = pairs(spark, sf).select("site_id", "asset_id", "distance_miles")
     every = record(spark, sf, "site").select("site_id").join(near, "site_id", "left")
-    return spatial.distance_sort(every, "distance_miles", "site_id", "asset_id").limit(500)
+    return spatial.distance_sort(every, "distance_miles", "site_id", "asset_id")
 
 
 _ANCHORS = "SELECT n_nationkey AS job_id, cast(30 + n_nationkey % 10 AS double) AS lat, cast(-90 - n_nationkey AS double) AS lon, cast(CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE 300 + 40 * n_nationkey END AS double) AS radius_miles FROM nation WHERE n_nationkey % 7 <> 6"

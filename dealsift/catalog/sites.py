@@ -224,10 +224,10 @@ def _(spark, sf):
     return sites.score_site(normal(spark, sf)).select("hit_no", "preliminary_score", "preliminary_grade", joined("score_reasons"))
 
 
-@query("rank_generic", f"{CLASSED}, {_score_sql('classed')} SELECT hit_no, preliminary_score FROM scored ORDER BY preliminary_score DESC, fetched_at, hit_no LIMIT 1000")
+@query("rank_generic", f"{CLASSED}, {_score_sql('classed')} SELECT hit_no, preliminary_score FROM scored")
 def _(spark, sf):
     ranked = retail.rank_by_score(sites.score_site(normal(spark, sf)), "preliminary_score", *ORDER)
-    return ranked.limit(1000).select("hit_no", "preliminary_score")
+    return ranked.select("hit_no", "preliminary_score")
 
 
 @query("site_view", f"{NORM} SELECT hit_no, city FROM norm WHERE contains(lower(coalesce(state, '')), 'tex') AND contains(lower(coalesce(city, '')), 'abilene') AND contains(lower(coalesce(property_type, '')), 'house') AND (land_acres IS NULL OR land_acres >= 20) AND (asking_price_usd IS NULL OR asking_price_usd <= 6000000)")
@@ -236,20 +236,23 @@ def _(spark, sf):
 
 
 @query("listing_priority", f"""{NORM}, p AS (SELECT *, {num(rx('text', rules.FULL_PRICE_PATTERN))} AS price FROM norm)
-SELECT hit_no FROM p ORDER BY CASE WHEN price > 10000000 THEN 1 ELSE 0 END, coalesce(price, 10000000), coalesce(-land_acres, 0), hit_no LIMIT 500""")
+SELECT hit_no FROM p ORDER BY CASE WHEN price > 10000000 THEN 1 ELSE 0 END, coalesce(price, 10000000), coalesce(-land_acres, 0), hit_no""")
 def _(spark, sf):
     links = hits(spark, sf).withColumns({"title": F.col("original_title"), "summary": F.col("original_description")})
-    return sites.listing_priority(links, "hit_no").limit(500).select("hit_no")
+    return sites.listing_priority(links, "hit_no").select("hit_no")
 
 
 _TOP = f"""{JUDGED}, {_score_sql("(SELECT * FROM judged WHERE disposition = 'final')")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY preliminary_score DESC, fetched_at, hit_no) AS rank FROM scored)"""
 
 
-@query("site_search", f"""{_TOP} SELECT job_id, rank, hit_no, preliminary_score, rank <= 20 AS power_screened, CASE WHEN rank <= 20 THEN CASE WHEN address_line_1 IS NOT NULL AND city IS NOT NULL AND state IS NOT NULL AND zip_code IS NOT NULL THEN 'geocoding_failed' ELSE 'partial_address' END END AS geocoding_status
-FROM ranked WHERE rank <= 80 AND NOT (rank <= 20 AND address_line_1 IS NULL AND city IS NULL AND state IS NULL AND zip_code IS NULL) UNION ALL
-SELECT job_id, rank, hit_no, preliminary_score, true, 'address_needs_verification' FROM ranked WHERE rank <= 20 AND address_line_1 IS NULL AND city IS NULL AND state IS NULL AND zip_code IS NULL""")
+_NO_PLACE = "address_line_1 IS NULL AND city IS NULL AND state IS NULL AND zip_code IS NULL"
+_FULL_PLACE = "address_line_1 IS NOT NULL AND city IS NOT NULL AND state IS NOT NULL AND zip_code IS NOT NULL"
+
+
+@query("site_search", f"""{_TOP} SELECT job_id, rank, hit_no, preliminary_score,
+  CASE WHEN {_NO_PLACE} THEN 'address_needs_verification' WHEN {_FULL_PLACE} THEN 'geocoding_failed' ELSE 'partial_address' END AS geocoding_status FROM ranked""")
 def _(spark, sf):
     found = scans.site_search(hits(spark, sf), criteria(spark, sf), record(spark, sf, "asset"), ORDER)
-    return found.select("job_id", "rank", "hit_no", "preliminary_score", "power_screened", "geocoding_status")
+    return found.select("job_id", "rank", "hit_no", "preliminary_score", "geocoding_status")
 
 

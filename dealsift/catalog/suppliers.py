@@ -107,6 +107,6 @@ def _(spark, sf):
     return lifecycle.supplier_view(suppliers.score_supplier(normal(spark, sf)), "B", "texas", "certification").select("hit_no", "city")
 
 
-@query("supplier_search", f"{NORM}, {_SCORED}, {_UNIQUE.format(src='scored')} SELECT supplier_key, company_name, supplier_category, supplier_score FROM uniq WHERE supplier_category <> 'D' ORDER BY supplier_score DESC, hit_no LIMIT 80")
+@query("supplier_search", f"{NORM}, {_SCORED}, {_UNIQUE.format(src='scored')} SELECT supplier_key, company_name, supplier_category, supplier_score FROM uniq WHERE supplier_category <> 'D'")
 def _(spark, sf):
     return scans.supplier_search(hits(spark, sf), ["hit_no"]).select("supplier_key", "company_name", "supplier_category", "supplier_score")

@@ -58,6 +58,12 @@ def top_n_per_group(df: DataFrame, keys: list[str], order: list, n: int, rank: s
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
+def ranked_per_group(df: DataFrame, keys: list[str], order: list, n: int | None = None, rank: str = "rank") -> DataFrame:
+    """Rows with their rank in the group; all of them, or the first ``n``."""
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if n is None else ranked.filter(F.col(rank) <= n)
+
+
 def split_outputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Final, discovery and rejected rows of a frame with a disposition column."""
     kind = F.col("disposition")

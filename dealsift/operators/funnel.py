@@ -20,12 +20,12 @@ def _changed(kind: str) -> Column:
     return F.array_contains("change_types", kind)
 
 
-def hardware_funnel(raw: DataFrame, listings: DataFrame, runs: DataFrame, as_of, cap: int = 120) -> DataFrame:
+def hardware_funnel(raw: DataFrame, listings: DataFrame, runs: DataFrame, as_of, cap: int | None = None) -> DataFrame:
     """The counters of a hardware scan as (metric, value) rows.
 
     ``listings`` are deduplicated, scored and carry change types.  Every specific hit becomes one
-    listing before deduplication.  The shown list is the best ``cap`` current listings by score, so
-    its counters follow from counts alone and nothing is sorted.
+    listing before deduplication.  The shown list is all current listings, or the best ``cap``
+    by score, so its counters follow from counts alone and nothing is sorted.
     """
     kind = F.col("page_type")
     pages = raw.agg(F.count(F.lit(1)).alias("raw_results"), *_counts(
@@ -33,6 +33,10 @@ def hardware_funnel(raw: DataFrame, listings: DataFrame, runs: DataFrame, as_of,
         source_pages=kind == "source_page", news_or_articles=kind == "news_or_article",
         irrelevant=kind == "irrelevant", normalized_listings=kind == "specific_listing"))
     status, current = F.col("listing_status"), is_current(as_of)
+
+    def shown(count: Column) -> Column:
+        return count if cap is None else F.least(F.lit(cap), count)
+
     counted = listings.agg(
         F.count(F.lit(1)).alias("deduplicated"),
         *_counts(
@@ -42,8 +46,8 @@ def hardware_funnel(raw: DataFrame, listings: DataFrame, runs: DataFrame, as_of,
             status_changes=_changed("STATUS_CHANGED"), active_opportunities=status == "active",
             ending_soon=status == "ending_soon", expired_removed=is_history(), unavailable_links=status == "unavailable",
             needs_manual_review=is_in_review(as_of)),
-        F.least(F.lit(cap), F.count_if(current)).alias("final_opportunities"),
-        F.least(F.lit(cap), F.count_if(current & (F.col("opportunity_score") >= 60))).alias("high_score_opportunities"))
+        shown(F.count_if(current)).alias("final_opportunities"),
+        shown(F.count_if(current & (F.col("opportunity_score") >= 60))).alias("high_score_opportunities"))
     failed = runs.agg(*_counts(failed_sources=F.col("status").isin(_FAILED)))
     rows = _long(pages).unionByName(_long(counted)).unionByName(_long(failed))
     # duplicates are what normalisation produced beyond the deduplicated listings
@@ -132,9 +136,9 @@ def ranked_lists(listings: DataFrame, as_of, sizes: dict[str, int], order: tuple
     return ranked.filter(F.col("position") <= size)
 
 
-def dashboard_rollup(listings: DataFrame, as_of, order: tuple[str, ...] = ("opportunity_key",)) -> DataFrame:
-    """The three ranked lists of the dashboard: 20 best, 80 latest ended, 80 latest to review."""
-    return ranked_lists(listings, as_of, {"top": 20, "history": 80, "needs_review": 80}, order)
+def dashboard_rollup(listings: DataFrame, as_of, sizes: dict[str, int], order: tuple[str, ...] = ("opportunity_key",)) -> DataFrame:
+    """The three ranked lists of the dashboard in the given sizes: best, latest ended, latest to review."""
+    return ranked_lists(listings, as_of, sizes, order)
 
 
 def executed_query_counts(runs: DataFrame, query: str = "query") -> DataFrame:

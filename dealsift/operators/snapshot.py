@@ -147,8 +147,8 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> Dat
     return target.unionByName(rows.join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
-def recheck_candidates(listings: DataFrame, order: list[str], limit: int | None = 80) -> DataFrame:
-    """Listings whose status is worth another look, the first ``limit`` in order."""
+def recheck_candidates(listings: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """Listings whose status is worth another look; all of them, or the first ``limit`` in order."""
     due = listings.filter(F.col("listing_status").isin(rules.RECHECK_STATUSES))
     return due if limit is None else due.orderBy(*order).limit(limit)
 
@@ -215,5 +215,5 @@ def delivery_dedupe(reports: DataFrame, log: DataFrame) -> DataFrame:
     return reports.join(log.filter(F.col("status") == "sent").select(*keys), keys, "left_anti")
 
 
-def recent(df: DataFrame, order: str, tie: str, limit: int = 50) -> DataFrame:
+def recent(df: DataFrame, order: str, tie: str, limit: int) -> DataFrame:
     return df.orderBy(F.desc(order), F.desc(tie)).limit(limit)

@@ -12,7 +12,7 @@ def company_name(title: Column, source_url: Column) -> Column:
     """Title without its descriptive tail, else the host, else the url."""
     short = F.trim(F.regexp_replace(F.regexp_replace(title, "(?i)" + rules.COMPANY_TAIL_PATTERN, ""), r"\s*\|.*$", ""))
     host = F.regexp_replace(url.host(source_url), r"^www\.", "")
-    named = once(F.substring(short, 1, 120), lambda x: F.when(x != "", x))
+    named = once(short, lambda x: F.when(x != "", x))
     return F.coalesce(named, once(host, lambda x: F.when(x != "", x)), source_url)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dealsift import rules
 from dealsift.operators import classify, funnel, hardware, retail, sites, snapshot, spatial, suppliers
-from dealsift.operators.dedupe import first_wins, top_n_per_group
+from dealsift.operators.dedupe import first_wins, ranked_per_group
 from dealsift.operators.lifecycle import lifecycle_partition
 
 
@@ -32,7 +32,7 @@ class HardwareScan:
     def history(self) -> DataFrame:
         return lifecycle_partition(self.listings, self.as_of)[2]
 
-    def top(self, n: int = 120) -> DataFrame:
+    def top(self, n: int) -> DataFrame:
         return hardware.rank_opportunities(self.current, *self.order).limit(n)
 
     def funnel(self, runs: DataFrame) -> DataFrame:
@@ -75,31 +75,34 @@ def site_candidates(hits: DataFrame, criteria: DataFrame, order: list[str], job:
 
 def site_search(hits: DataFrame, criteria: DataFrame, assets: DataFrame, order: list[str], job: str = "job_id",
                 site_id: str = "hit_no", reference: DataFrame | None = None, anchors: DataFrame | None = None,
-                max_candidates: int = 80, screened: int = 20) -> DataFrame:
-    """Ranked candidates per search; the best are screened for power and checked against the anchor."""
+                max_candidates: int | None = None) -> DataFrame:
+    """Ranked candidates per search, screened for power and checked against the anchor.
+
+    All candidates are kept unless ``max_candidates`` is given; screening is one join for all of them.
+    """
     judged = site_candidates(hits, criteria, order, job)
     scored = sites.score_site(judged.filter(F.col("disposition") == "final"))
-    best = top_n_per_group(scored, [job], [F.desc("preliminary_score"), *[F.asc(o) for o in order]], max_candidates)
+    best = ranked_per_group(scored, [job], [F.desc("preliminary_score"), *[F.asc(o) for o in order]], max_candidates)
     if "lat" not in best.columns:
         best = best.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
-    to_screen = best.filter(F.col("rank") <= screened)
-    rest = best.filter(F.col("rank") > screened).withColumn("power_screened", F.lit(False))
-    done = power_screen(to_screen, assets, reference, site_id=site_id).withColumn("power_screened", F.lit(True))
-    result = done.unionByName(rest, allowMissingColumns=True)
+    result = power_screen(best, assets, reference, site_id=site_id)
     if anchors is None:
         return result
     return spatial.anchor_distance(result, anchors, job).filter(~F.col("outside_radius")).drop("outside_radius")
 
 
-def supplier_search(hits: DataFrame, order: list[str], job: str | None = None, cap: int = 80) -> DataFrame:
-    """Normalise, keep the first per supplier, drop low-value ones, score and cap per search."""
+def supplier_search(hits: DataFrame, order: list[str], job: str | None = None, cap: int | None = None) -> DataFrame:
+    """Normalise, keep the first per supplier, drop low-value ones, score and rank; all, or the best ``cap`` per search."""
     keys = [job] if job else []
     normalized = suppliers.normalize_supplier(hits)
     unique = first_wins(normalized, [*keys, "supplier_key"], order)
     kept, _ = suppliers.reject_low_value(unique)
     scored = suppliers.score_supplier(kept)
     ranking = [F.desc("supplier_score"), *[F.asc(o) for o in order]]
-    return top_n_per_group(scored, keys, ranking, cap) if keys else scored.orderBy(*ranking).limit(cap)
+    if keys:
+        return ranked_per_group(scored, keys, ranking, cap)
+    ranked = scored.orderBy(*ranking)
+    return ranked if cap is None else ranked.limit(cap)
 
 
 def retail_search(results: DataFrame, mode: str = "all", radius: float | None = None, job: str = "job_id",
@@ -109,10 +112,8 @@ def retail_search(results: DataFrame, mode: str = "all", radius: float | None =
     return retail.rank_by_score(retail.score_retail(kept, job), "recommendation_score", *order)
 
 
-def bulk_recheck(existing: DataFrame, fetched: DataFrame, as_of, order: list[str], limit: int | None = 80) -> DataFrame:
+def bulk_recheck(existing: DataFrame, fetched: DataFrame, as_of, order: list[str], limit: int | None = None) -> DataFrame:
     """Merge re-fetched rows into the listings that are due, and apply the time rules."""
     due = snapshot.recheck_candidates(existing, order, limit)
     return snapshot.recheck_merge(due, fetched, as_of)
 
-
-STATE_LIMITS = {"max_candidates": 80, "screened": 20, "radii": rules.RADII_MILES}

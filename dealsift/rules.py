@@ -7,7 +7,6 @@ expressions; callers may pass their own lists in the same shape.
 # --------------------------------------------------------------------------
 # Hardware listings
 # --------------------------------------------------------------------------
-HARDWARE_CATEGORIES = ["servers", "gpu", "memory", "storage", "cpu"]
 
 # source name -> domain, in round-robin order
 HARDWARE_SOURCES = [
@@ -326,8 +325,6 @@ ADDRESS_REWRITES = [
     ("Ih-10", "I-10"), ("Ih 10", "I-10"), ("E US Hwy 290", "US Highway 290 E"), ("E US Hwy", "US Highway"),
 ]
 
-SITE_SOURCE_TYPES_FIRST = ["state_government", "county_government", "city_government",
-                           "economic_development", "industrial_park", "utility"]
 TRUSTED_SOURCE_GROUPS = ["economic_development", "industrial_park", "utility"]
 # (name, domain, source type)
 SEEDED_SOURCES = [

@@ -1,6 +1,5 @@
 """Session settings the operators rely on, and the shared scratch folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,14 +33,8 @@ def build_session(app: str = "dealsift", master: str | None = None, **conf) -> S
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
-
-    Only a local session without that setting falls back to a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder that every executor can reach: below ``spark.checkpoint.dir``, else below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="dealsift-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir or spark.sql.warehouse.dir to a folder shared by all executors")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

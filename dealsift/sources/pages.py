@@ -3,6 +3,8 @@
 Pages are a column; every page is handled where it is, without a shuffle.
 """
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsift import rules
@@ -16,10 +18,25 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
             ("&middot;", "·"), ("&amp;", "&")]
 
 
+# a no-break space counts as a space, as in the list above
+_NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+
+
 def decode_entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Named, decimal and hexadecimal character references, each read once."""
+    named = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+
+    def sign(part: Column) -> Column:
+        reference = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        rest = F.substring(part, F.length(reference) + 2, F.length(part))
+        number = F.when(reference.rlike("^#[xX]"), F.conv(F.substring(reference, 3, 6), 16, 10)).otherwise(F.substring(reference, 2, 7)).try_cast("bigint")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(reference.startswith("#"), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(named, reference))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), sign), ""))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:
@@ -61,7 +78,8 @@ def html_text(pages: DataFrame, html: str = "html") -> DataFrame:
 def _attribute(tag: Column, name: str) -> Column:
     quoted = capture(tag, rf'(?s)\b{name}\s*=\s*"([^"]*)"', 1)
     single = capture(tag, rf"(?s)\b{name}\s*=\s*'([^']*)'", 1)
-    return F.coalesce(quoted, single)
+    bare = capture(tag, rf"""(?s)\b{name}\s*=\s*([^\s"'=<>`]+)""", 1)
+    return F.coalesce(quoted, single, bare)
 
 
 def _unique_by_url(links: Column) -> Column:
@@ -181,6 +199,14 @@ def public_auction_detail(pages: DataFrame, page_url: str = "source_url", text:
     searchable = F.concat_ws(" ", body, F.col(structured)) if structured else F.concat(body, F.lit(" "))
     df = times.end_time_columns(pages.withColumn("_search", searchable), "_search", captured_at)
     ended_raw = capture(F.col("_search"), _SURPLUS_ENDED, 1, ignore_case=False)
+    # a countdown beats a labelled end time, but not "Auction Ended"
+    left = F.when(ended_raw.isNull(), times.countdown_raw(F.col("_search")))
+    estimated = F.timestamp_add("MINUTE", times.countdown_minutes(left), F.col(captured_at))
+    df = df.withColumns({
+        "end_time_utc": F.coalesce(estimated, "end_time_utc"), "calculated_end_time": F.coalesce(estimated, "calculated_end_time"),
+        "listing_status": F.when(left.isNotNull(), times.status_from_end(estimated, F.col(captured_at))).otherwise(F.col("listing_status")),
+        "end_time_verification": F.when(left.isNotNull(), F.lit("countdown_estimated")).otherwise(F.col("end_time_verification")),
+        "countdown_raw_text": F.coalesce(left, "countdown_raw_text")})
     counting = F.col("countdown_raw_text").isNotNull()
     price = money_after(body, ["Current Price", "High Bid", "Final Price", "Minimum bid"])
     lower = F.lower(body)

@@ -131,3 +131,32 @@ def test_result_page_hits(spark):
             '<span class="result__snippet">About &amp; more</span></div><div class="result"><a class="result__a" href="">empty</a></div>')
     rows = pages.html_result_scan(spark.createDataFrame([(1, html)], "page_id int, html string")).collect()
     assert [(r["title"], r["url"], r["snippet"], r["domain"]) for r in rows] == [("First hit", "https://www.a.com/x", "About & more", "a.com")]
+
+
+@pytest.mark.parametrize("base, link, wanted", [
+    ("http://a.com/p/q", "../r", "http://a.com/r"), ("http://a.com/p/q/", "../r?x=../y", "http://a.com/p/r?x=../y"), ("http://a.com/p", "/x/./y/../z#a/../b", "http://a.com/x/z#a/../b"),
+    ("http://a.com/p/", "../../..", "http://a.com/"), ("http://a.com/p/q", "r/..", "http://a.com/p/"), ("http://a.com/p", "http://b.com/x/../y", "http://b.com/x/../y"), ("http://a.com/p", "q.html", "http://a.com/q.html")])
+def test_links_have_no_dot_segments(spark, base, link, wanted):
+    assert value(spark, url.resolve(F.col("b"), F.col("l")), b=base, l=link) == wanted
+
+
+@pytest.mark.parametrize("given, wanted", [
+    ("It&#8217;s &eacute;t&#xE9; &ndash; &amp;lt; &unknown; AT&T &#x1F600; &#0; a &lt; b&nbsp;c &", "It’s été – &lt; &unknown; AT&T \U0001F600 &#0; a < b c &"), ("plain", "plain"), ("", "")])
+def test_character_references(spark, given, wanted):
+    assert value(spark, pages.decode_entities(F.col("t")), t=given) == wanted
+
+
+def test_links_without_quotes(spark):
+    page = spark.createDataFrame([(1, "http://a.com/d/x", "<a href=/q/1>one</a> <a class=k href='/q/2'>two</a> <a href = \"q/3\">three</a>")], "page_id long, url string, html string")
+    assert [r.url for r in pages.html_link_scan(page).orderBy("pos").collect()] == ["http://a.com/q/1", "http://a.com/q/2", "http://a.com/d/q/3"]
+
+
+def test_countdown_beats_a_labelled_end(spark):
+    text = "Auction #12 - Server lot # of Bids: 3 Auction Ends June 10, 2026 12:30 AM UTC Time Left: 2 d 3 h"
+    page = spark.createDataFrame([("http://p.com/a?auc=12", text)], "source_url string, text string").withColumn("captured_at", F.lit("2026-06-01 00:00:00").cast("timestamp"))
+    row = pages.public_auction_detail(page).first()
+    assert str(row.end_time_utc) == "2026-06-03 03:00:00" and row.end_time_verification == "countdown_estimated" and row.listing_status == "active"
+
+
+def test_long_identifiers_do_not_collide(spark):
+    assert value(spark, url.listing_id(F.col("u")), u="http://a.com/x/" + "y" * 100 + "1") == "y" * 100 + "1"
