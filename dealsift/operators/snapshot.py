@@ -119,22 +119,30 @@ def snapshot_diff(batch: DataFrame, snapshot: DataFrame, as_of, key: str = "oppo
     )
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], overwrite: list[str]) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], overwrite: list[str], order: tuple[str, ...] = (),
+           earliest: tuple[str, ...] = ()) -> DataFrame:
     """New snapshot: insert new keys, and on conflict overwrite only the named columns.
 
-    Both sides hold one row per key.
+    Both sides hold one row per key.  With ``order`` a stored row is only overwritten by one that is not older in these
+    columns, so the result does not depend on how rows were split into batches; ``earliest`` columns keep the lesser value.
     """
     old = target.select(*keys, F.struct(*[c for c in target.columns if c not in keys]).alias("_old"))
     new = updates.select(*keys, F.struct(*[c for c in updates.columns if c not in keys]).alias("_new"))
     both = old.join(new, keys, "full")
+    fresh = F.col("_new").isNotNull()
+    if order:
+        old_at, new_at = (F.struct(*[F.col(f"{side}.{c}") for c in order]) for side in ("_old", "_new"))
+        fresh = fresh & (F.col("_old").isNull() | (new_at >= old_at))
     columns = []
     for name in target.columns:
         if name in keys:
             columns.append(F.col(name))
+        elif name in earliest and name in updates.columns:
+            columns.append(F.least(f"_old.{name}", f"_new.{name}").alias(name))
         elif name not in updates.columns:
             columns.append(F.col(f"_old.{name}"))
         elif name in overwrite:
-            columns.append(F.when(F.col("_new").isNotNull(), F.col(f"_new.{name}")).otherwise(
+            columns.append(F.when(fresh, F.col(f"_new.{name}")).otherwise(
                 F.col(f"_old.{name}")).alias(name))
         else:
             columns.append(F.when(F.col("_old").isNotNull(), F.col(f"_old.{name}")).otherwise(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsift.operators.snapshot import insert_if_absent, upsert
+from dealsift.operators.snapshot import upsert
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
@@ -32,18 +32,14 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
 
 
-def upsert_sink(updates: DataFrame, root: str, keys: list[str], overwrite: list[str], version: int) -> None:
+def upsert_sink(updates: DataFrame, root: str, keys: list[str], overwrite: list[str], version: int, order: tuple[str, ...] = (),
+                earliest: tuple[str, ...] = ()) -> None:
     """New version: the version before it with the updates applied.  Running it twice changes nothing."""
     current = read_snapshot(updates.sparkSession, root, before=version)
-    merged = updates if current is None else upsert(current, updates, keys, overwrite)
+    merged = updates if current is None else upsert(current, updates, keys, overwrite, order, earliest)
     write_snapshot(merged, root, version)
 
 
-def insert_sink(rows: DataFrame, root: str, keys: list[str], version: int) -> None:
-    current = read_snapshot(rows.sparkSession, root, before=version)
-    write_snapshot(rows if current is None else insert_if_absent(current, rows, keys), root, version)
-
-
 def history_append(observations: DataFrame, root: str, time: str = "observed_at", batch: int | None = None) -> None:
     """Append observations partitioned by day.  A batch number gets a folder of its own, so a retry
     replaces it instead of appending twice."""

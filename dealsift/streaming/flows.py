@@ -31,13 +31,20 @@ def stream_upsert(snapshot_root: str, history_root: str, overwrite: list[str],
                   key: str = "opportunity_key", order: tuple[str, ...] = ("observed_at", "event_id")) -> Callable:
     """Batch handler for ``foreachBatch``: diff against the snapshot, append history, write the next version.
 
-    Both writes go to places named by the batch number, so a repeated batch leaves the same tables.
+    Both writes go to places named by the batch number, so a repeated batch leaves the same tables.  A late row never
+    replaces a newer one, so one batch and many give the same snapshot.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        latest = latest_per_key(batch, key, list(order)).withColumn("last_seen_at", F.col(order[0]))
-        current = read_snapshot(batch.sparkSession, snapshot_root, before=batch_id)
+        first = batch.groupBy(key).agg(F.min(order[0]).alias("first_seen_at"))
+        latest = latest_per_key(batch, key, list(order)).withColumn("last_seen_at", F.col(order[0])).join(first, key).persist()
+        try:
+            if not latest.isEmpty():
+                store(latest, batch_id)
+        finally:
+            latest.unpersist()
+
+    def store(latest: DataFrame, batch_id: int) -> None:
+        current = read_snapshot(latest.sparkSession, snapshot_root, before=batch_id)
         if current is None:
             typed = latest.withColumn("change_types", F.array(F.lit("NEW")))
         else:
@@ -49,8 +56,7 @@ def stream_upsert(snapshot_root: str, history_root: str, overwrite: list[str],
                     "STATUS_CHANGED": [(F.col("listing_status"), F.col("_before.listing_status"))],
                 })).drop("_before")
         history_append(typed.filter(F.size("change_types") > 0), history_root, order[0], batch_id)
-        rows = latest.withColumn("first_seen_at", F.col(order[0]))
-        upsert_sink(rows, snapshot_root, [key], overwrite, batch_id)
+        upsert_sink(latest, snapshot_root, [key], overwrite, batch_id, tuple(order), ("first_seen_at",))
 
     return handle
 

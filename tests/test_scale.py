@@ -95,3 +95,21 @@ def test_plans(spark):
     assert "html" not in plan(queries["source_run_summary"](spark, sf))
     scan = plan(queries["price_bounds"](spark, sf))
     assert "ReadSchema: struct<p_brand:string,p_retailprice:double>" in scan.replace("\n", "") or "p_name" not in scan.split("Physical Plan")[1]
+
+
+def test_upsert_batches_in_any_order_give_one_snapshot(spark, tmp_path):
+    from dealsift.sources.tables import read_snapshot
+    from dealsift.streaming.flows import stream_upsert
+
+    rows = [(f"k{i % 4}", f"2026-01-{1 + i % 9:02d} 00:00:00", i, float(i % 5), i % 3, "active" if i % 2 else "ended") for i in range(24)]
+    columns = "opportunity_key string, observed_at string, event_id long, total_price_usd double, quantity int, listing_status string"
+
+    def run(name, batches):
+        handle = stream_upsert(str(tmp_path / name / "snapshot"), str(tmp_path / name / "history"),
+                               ["total_price_usd", "quantity", "listing_status", "observed_at", "last_seen_at", "event_id"])
+        for number, batch in enumerate(batches):
+            handle(spark.createDataFrame(batch, columns).withColumn("observed_at", F.col("observed_at").cast("timestamp")), number)
+        found = read_snapshot(spark, str(tmp_path / name / "snapshot"))
+        return sorted(map(tuple, found.select(sorted(found.columns)).collect()))
+
+    assert run("one", [rows]) == run("late", [rows[12:], [], rows[:6], rows[6:12]])
