@@ -325,8 +325,8 @@ def _(spark, sf):
     rows = pages.select(*ORDER, "page_type", lane.alias("lane"), url.canonical(F.col("source_url")).alias("canonical_url"))
     flagged = dedupe.mark_first(rows, ["lane", "canonical_url"], ORDER)
     disposition = F.when(F.col("lane") == "rejected", kind).when(F.col("is_first"), F.col("lane")).otherwise("duplicate")
-    final, discovery, rejected = dedupe.split_outputs(flagged.withColumn("disposition", disposition))
-    return final.unionByName(discovery).unionByName(rejected).select(*KEYS, "amount", "canonical_url", "disposition")
+    # one pass: the column tells the outputs apart; a sink partitions by it
+    return flagged.select(*KEYS, "amount", "canonical_url", disposition.alias("disposition"))
 
 
 @query("union_sources", f"""{cte('listing_src', 'spec_src')} SELECT 0 AS source_ord, {KEYS_SQL}, category, source_url FROM listing_src

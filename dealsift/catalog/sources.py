@@ -57,7 +57,7 @@ _CARD = ("SELECT p_partkey AS page_id, concat('<html><body>', array_join(transfo
          "CASE WHEN i % 5 = 0 THEN '' ELSE concat(p_name, ' RTX ', cast(4000 + i AS string)) END, '</a><ul><li class=\"price-current\">$', cast(100 + i AS string), '.50</li></ul>', CASE WHEN i % 2 = 0 THEN 'Add to cart' ELSE 'Notify' END, CASE WHEN i % 3 = 0 THEN ' Free Shipping' ELSE '' END, '</div>')), ''), '</body></html>') AS html FROM {part}")
 
 
-@query("html_card_scan", """WITH c AS (SELECT p_partkey AS page_id, i, CASE WHEN i % 5 = 0 THEN '' ELSE p_name || ' RTX ' || cast(4000 + i AS varchar) END AS title FROM part, unnest(range(1, 2 + p_size % 11)) AS u(i) WHERE i <= 8)
+@query("html_card_scan", """WITH c AS (SELECT p_partkey AS page_id, i, CASE WHEN i % 5 = 0 THEN '' ELSE p_name || ' RTX ' || cast(4000 + i AS varchar) END AS title FROM part, unnest(range(1, 2 + p_size % 11)) AS u(i))
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, title, '$' || cast(100 + i AS varchar) || '.50' AS price_text, CASE WHEN i % 2 = 0 THEN 'Available' ELSE 'Check Site' END AS inventory,
   CASE WHEN i % 3 = 0 THEN 'Free shipping' ELSE '' END AS promotion, 'https://shop.example.com/p/' || cast(page_id AS varchar) || '-' || cast(i % 9 AS varchar) AS url FROM c WHERE title <> ''""")
 def _(spark, sf):
@@ -65,6 +65,27 @@ def _(spark, sf):
     return pages.html_card_scan(shop, "Newegg").select("page_id", "pos", "title", "price_text", "inventory", "promotion", "url")
 
 
+_RESULTS = ("SELECT p_partkey AS page_id, concat('<html><div class=\"result\"><a class=\"result__a\" href=\"//duckduckgo.com/l/?uddg=https%3A%2F%2Fshop.example.com%2Fp%2F', cast(p_partkey AS varchar(20)), '&amp;rut=1\">', p_name, ' lot</a>"
+            "<a class=\"result__snippet\">Price $', cast(p_size AS varchar(20)), ' &amp; up</a></div><div class=\"web-result result\"><a href=\"https://b.example.org/x/', cast(p_size AS varchar(20)), '\" class=\"result__a\">', p_type, "
+            "'</a></div><div class=\"result\"><a class=\"result__a\" href=\"https://b.example.org/untitled\"></a></div></html>') AS html FROM {part}")
+
+
+@query("html_result_scan", """SELECT p_partkey AS page_id, 0 AS pos, p_name || ' lot' AS title, 'https://shop.example.com/p/' || cast(p_partkey AS varchar) AS url, 'shop.example.com' AS domain, 'Price $' || cast(p_size AS varchar) || ' & up' AS snippet FROM part
+UNION ALL SELECT p_partkey, 1, p_type, 'https://b.example.org/x/' || cast(p_size AS varchar), 'b.example.org', NULL FROM part""")
+def _(spark, sf):
+    return pages.html_result_scan(spark.sql(_RESULTS, part=load(spark, sf, "part"))).select("page_id", "pos", "title", "url", "domain", "snippet")
+
+
+_SKU = ("SELECT p_partkey AS page_id, concat('<li class=\"sku-item\"><h4><a class=\"sku-title\" href=\"/site/', cast(p_partkey AS varchar(20)), '.p\">', p_name, '</a></h4><div class=\"priceView-customer-price\"><span>$', cast(p_size AS varchar(20)), '.99</span></div>Add to Cart Shipping Save</li>"
+        "<li class=\"sku-item\"><a class=\"sku-title\" href=\"/site/', cast(p_partkey AS varchar(20)), '.p\">repeated</a></li><li class=\"product-flexbox\"><a class=\"sku-title\" href=\"https://www.bestbuy.com/x', cast(p_size AS varchar(20)), '\">', p_type, '</a>Sold Out Pickup</li>') AS html FROM {part}")
+
+
+@query("sku_card_scan", """SELECT p_partkey AS page_id, 0 AS pos, p_name AS title, '$' || cast(p_size AS varchar) || '.99' AS price_text, 'Available' AS inventory, 'Sale' AS promotion, 'https://www.bestbuy.com/site/' || cast(p_partkey AS varchar) || '.p' AS url, true AS shipping, false AS pickup FROM part
+UNION ALL SELECT p_partkey, 1, p_type, p_type || ' Sold Out Pickup', 'Out of Stock', '', 'https://www.bestbuy.com/x' || cast(p_size AS varchar), false, true FROM part""")
+def _(spark, sf):
+    return pages.html_card_scan(spark.sql(_SKU, part=load(spark, sf, "part")), "Best Buy").select("page_id", "pos", "title", "price_text", "inventory", "promotion", "url", "shipping", "pickup")
+
+
 # ---------------------------------------------------------------- map files
 
 @query("geojson_lines_scan", f"""WITH {cte('line_vertex')}, c AS (SELECT line_id, avg(lat) AS la, avg(lon) AS lo, list((round(lat, 3), round(lon, 3)) ORDER BY seq) AS v FROM line_vertex GROUP BY line_id)

@@ -109,7 +109,7 @@ def html_link_scan(pages: DataFrame, page_id: str = "page_id", page_url: str = "
     return _explode_links(pages, F.transform(anchors, link), max_results, page_id)
 
 
-def html_result_scan(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_results: int | None = 8,
+def html_result_scan(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_results: int | None = None,
                      block: str = "result", title_class: str = "result__a", snippet_class: str = "result__snippet") -> DataFrame:
     """Hits of a search result page: one per result block that has a titled link."""
     blocks = F.split(F.col(html), rf'class="(?:[^"]*\s)?{block}(?:\s[^"]*)?"')
@@ -140,18 +140,15 @@ CARD_LAYOUTS = {
 }
 
 
-def html_card_scan(pages: DataFrame, shop: str, page_id: str = "page_id", html: str = "html", limit: int = 8,
+def html_card_scan(pages: DataFrame, shop: str, page_id: str = "page_id", html: str = "html", limit: int | None = None,
                    strict: bool = False) -> DataFrame:
-    """Product cards of a shop page, at most ``limit`` per page.
+    """Titled product cards of a shop page; all of them, or the first ``limit`` per page.
 
-    One shop takes the first cards and skips untitled ones, the other counts titled cards with
-    distinct urls.  ``strict`` does not read "unavailable" as available.
+    One shop repeats cards, so only the first card of a url counts there.  ``strict`` does not read "unavailable" as available.
     """
     layout, newegg = CARD_LAYOUTS[shop], shop == "Newegg"
     cards = F.split(F.col(html), layout["card"])
     cards = F.slice(cards, F.lit(2), F.greatest(F.size(cards) - 1, F.lit(0)))
-    if newegg:
-        cards = F.slice(cards, 1, limit)
 
     def card(part: Column) -> Column:
         tag = F.regexp_extract(part, layout["title"], 0)
@@ -180,7 +177,9 @@ def html_card_scan(pages: DataFrame, shop: str, page_id: str = "page_id", html:
     found = F.filter(F.transform(cards, card), lambda x: x["title"] != "")
     df = pages.withColumn("_cards", found)
     if not newegg:
-        df = df.withColumn("_cards", F.slice(_unique_by_url(F.col("_cards")), 1, limit))
+        df = df.withColumn("_cards", _unique_by_url(F.col("_cards")))
+    if limit is not None:
+        df = df.withColumn("_cards", F.slice("_cards", 1, limit))
     return df.select(page_id, F.posexplode("_cards").alias("pos", "_c")).select(page_id, "pos", "_c.*")
 
 

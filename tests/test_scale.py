@@ -113,3 +113,9 @@ def test_upsert_batches_in_any_order_give_one_snapshot(spark, tmp_path):
         return sorted(map(tuple, found.select(sorted(found.columns)).collect()))
 
     assert run("one", [rows]) == run("late", [rows[12:], [], rows[:6], rows[6:12]])
+
+
+def test_split_is_disjoint_and_complete(spark):
+    rows = spark.createDataFrame([(i, ["final", "discovery", "duplicate", "irrelevant"][i % 4]) for i in range(40)], "n int, disposition string")
+    parts = [{r.n for r in part.collect()} for part in dedupe.split_outputs(rows)]
+    assert set().union(*parts) == set(range(40)) and sum(map(len, parts)) == 40
