@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers.pre_tokenizers import ByteLevel
 
 from dealsift.llm import textkit as T, tokens
 from dealsift.llm.tables import documents
@@ -134,15 +135,23 @@ class Encoder:
         self.vocab = Vocabulary(path)
         self.pattern = regex.compile(tokens.BYTE_PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")") if self.vocab.special else None
+        self.library = ByteLevel(add_prefix_space=False, use_regex=True)
+        self.signs = {s: b for b, s in tokens.byte_signs().items()}
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _pieces(self, text: str) -> list[str]:
+        """Pre-tokens; characters whose class is not certain go to the library's own splitter."""
+        if not text.isascii() and tokens.unusual(text):
+            return [bytes(self.signs[s] for s in piece).decode() for piece, _ in self.library.pre_tokenize_str(text)]
+        return [text] if text.isalpha() else self.pattern.findall(text)
+
     def _split(self, unit: str) -> list[str]:
         if self.special is None or not any(s in unit for s in self.vocab.special):
-            return self.pattern.findall(unit)
+            return self._pieces(unit)
         out = []
         for piece in self.special.split(unit):
-            out += [piece] if piece in self.vocab.special else self.pattern.findall(piece)
+            out += [piece] if piece in self.vocab.special else self._pieces(piece)
         return out
 
     def learn(self, units) -> None:
@@ -182,13 +191,13 @@ def encoded(batches, path: str):
     enc, block, held = encoder(path), [], 0
 
     def flush():
-        enc.learn(dict.fromkeys(u for _, (_, units, _) in block for u in units.to_pylist()))
+        enc.learn(dict.fromkeys(u for _, (_, units, _) in block for u in units))
         for part, (index, units, bounds) in block:
-            yield part, *tokens.spread(index, enc.encode(units.to_pylist()), bounds)
+            yield part, *tokens.spread(index, enc.encode(units), bounds)
 
     for batch in batches:
         for part in T.slices(batch):
-            block.append((part, tokens.distinct_units(part.column("text"))))
+            block.append((part, tokens.distinct_units(part.column("text"), list(enc.vocab.special))))
             held += int(part.column("text").nbytes)
             if held >= BLOCK_BYTES:
                 yield from flush()

@@ -1,13 +1,13 @@
 """Token ids on disk: canonical length-limited Huffman codes, in blocks that decode on their own.
 
-1. ``count_ids``: global counts of the ids, summed in Spark; at most one row per vocabulary entry reaches the driver,
+1. Texts are put in ascending order of doc_id by a range partitioning and encoded once; the ids wait in a folder.
+2. ``count_ids``: global counts of the ids, summed in Spark; at most one row per vocabulary entry reaches the driver,
    where the package-merge method gives the best code lengths of at most ``MAX_LENGTH`` bits. The code is canonical, so
    its lengths are the whole table.
-2. ``write``: texts are put in ascending order of doc_id by a range partitioning, encoded, and written as shards of
-   about ``SHARD_IDS`` ids. A shard carries ids and lengths of its documents, the bit offset of every ``BLOCK``-th id
+3. ``write``: ids are coded in shards of about ``SHARD_IDS``. A shard carries ids and lengths of its documents, the bit offset of every ``BLOCK``-th id
    (checkpoint), and the bits. Shards are rows of a Parquet folder with their place (part, number); lengths of the code
    are in a second folder beside it. Spark's committer makes writes atomic, so a lost executor leaves nothing behind.
-3. ``read``: blocks of a shard are decoded side by side with one table of 2^MAX_LENGTH entries, starting from their
+4. ``read``: blocks of a shard are decoded side by side with one table of 2^MAX_LENGTH entries, starting from their
    checkpoints.
 
 Shard layout, little-endian: magic ``DSTK``, version, documents, ids, block size; then doc ids (8 bytes each), null marks
@@ -144,19 +144,62 @@ def _with_end(part, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(ids, bounds[1:], end), bounds + np.arange(len(bounds))
 
 
-def count_ids(docs: DataFrame, path: str, end: int) -> np.ndarray:
+def _raw_shards(docs: DataFrame, path: str, end: int, part_bytes: int) -> DataFrame:
+    """The ids of all documents in ascending order of doc_id, in shards not yet coded."""
+    ranged = (docs.withColumn("place", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("tie", F.xxhash64("text"))
+              .repartitionByRange(parts(text_bytes(docs), part_bytes, 8), "place", "tie").sortWithinPartitions("place", "tie"))
+
+    def run(batches):
+        task, number, before, count = TaskContext.get().partitionId(), 0, 0, 0
+        waiting: list = []
+
+        def shard():
+            nonlocal number, before
+            ids, doc, null, size = (np.concatenate(c) for c in zip(*waiting))
+            # low and high bytes apart: the high ones compress
+            planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            row = [task, number, before, len(ids), doc.astype("<i8").tobytes(), null.astype(np.uint8).tobytes(), size.astype("<u4").tobytes(), planes.tobytes()]
+            number, before = number + 1, before + len(ids)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _RAW_TYPES)], _RAW_NAMES)
+
+        for batch in batches:
+            for part in T.slices(batch, limit=1 << 20):
+                ids, bounds = _with_end(part, path, end)
+                doc = part.column("doc_id")
+                waiting.append((ids, doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), np.diff(bounds)))
+                count += len(ids)
+                if count >= SHARD_IDS:
+                    yield shard()
+                    count = 0
+        if waiting:
+            yield shard()
+
+    return ranged.select("doc_id", "text").mapInArrow(run, _RAW)
+
+
+_RAW = "part int, number int, before long, n_ids long, docs binary, nulls binary, sizes binary, ids binary"
+_RAW_NAMES = [c.split()[0] for c in _RAW.split(", ")]
+_RAW_TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in _RAW.split(", ")]
+
+
+def _ids(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def count_ids(raw: DataFrame) -> np.ndarray:
     """How often each id occurs in all documents."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in T.slices(batch):
-                found = np.bincount(_with_end(part, path, end)[0], minlength=len(total))
+            for body in batch.column("ids"):
+                found = np.bincount(_ids(body.as_py()), minlength=len(total))
                 found[:len(total)] += total
                 total = found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(seen.astype(np.int32)), "n": pa.array(total[seen])})
 
-    rows = docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = raw.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -164,42 +207,24 @@ def count_ids(docs: DataFrame, path: str, end: int) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, folder: str, end: int = 2, part_bytes: int = PART_BYTES) -> None:
-    """Write all documents as shards below ``folder``."""
+    """Write all documents as shards below ``folder``. Texts are encoded once; the ids wait in ``folder``/raw for the code."""
     table = documents(docs)
     spark = table.sparkSession
-    lengths = code_lengths(count_ids(table, path, end))
+    _raw_shards(table, path, end, part_bytes).write.option("compression", "zstd").parquet(f"{folder}/raw")
+    raw = spark.read.schema(_RAW).parquet(f"{folder}/raw")
+    lengths = code_lengths(count_ids(raw))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/code")
-    ranged = (table.withColumn("place", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("tie", F.xxhash64("text"))
-              .repartitionByRange(parts(text_bytes(table), part_bytes, 8), "place", "tie").sortWithinPartitions("place", "tie"))
 
     def run(batches):
         held, codes = np.frombuffer(lengths, np.uint8), canonical(lengths)
-        task, number, before = TaskContext.get().partitionId(), 0, 0
-        waiting: list = []
-
-        def shard():
-            nonlocal number, before
-            ids, doc, null, size = (np.concatenate(c) for c in zip(*waiting))
-            row = {"part": [task], "number": [number], "before": [before], "n_ids": [len(ids)], "shard": [pack(ids, doc, null, size, held, codes)]}
-            number, before = number + 1, before + len(ids)
-            waiting.clear()
-            return pa.RecordBatch.from_pydict({
-                k: pa.array(v, t) for (k, v), t in zip(row.items(), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))})
-
-        count = 0
         for batch in batches:
-            for part in T.slices(batch, limit=1 << 20):
-                ids, bounds = _with_end(part, path, end)
-                doc = part.column("doc_id")
-                waiting.append((ids, doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), np.diff(bounds)))
-                count += len(ids)
-                if count >= SHARD_IDS:
-                    yield shard()
-                    count = 0
-        if waiting:
-            yield shard()
+            for k in range(len(batch)):
+                doc, null, size, ids = (batch.column(c)[k].as_py() for c in ("docs", "nulls", "sizes", "ids"))
+                shard = pack(_ids(ids), np.frombuffer(doc, "<i8"), np.frombuffer(null, np.uint8), np.frombuffer(size, "<u4"), held, codes)
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in _RAW_NAMES[:4]), pa.array([shard], pa.binary())], [*_RAW_NAMES[:4], "shard"])
 
-    ranged.select("doc_id", "text").mapInArrow(run, "part int, number int, before long, n_ids long, shard binary").write.parquet(f"{folder}/shards")
+    raw.mapInArrow(run, "part int, number int, before long, n_ids long, shard binary").write.parquet(f"{folder}/shards")
 
 
 def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:

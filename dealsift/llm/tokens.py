@@ -1,10 +1,11 @@
 """Token ids of whole texts from distinct units.
 
-A unit is a run of blanks followed by a run of other characters. In every tokenizer used here a token never spans the
-place where a blank follows another character, so a text may be cut there and the ids of its units joined give the ids of
-the text. Texts repeat their units a lot: each distinct unit of a slice is encoded once, and a worker remembers the
+A unit is a run of blanks followed by a run of other characters, and letters are parted from ASCII signs. In every
+tokenizer used here a token never spans the place where a blank follows another character or a letter meets a sign (an
+apostrophe before a letter apart), so a text may be cut there and the ids of its units joined give the ids of the text. Texts repeat their units a lot: each distinct unit of a slice is encoded once, and a worker remembers the
 units it has met (up to ``KNOWN`` of them, then it starts anew), so encoding follows the vocabulary of the corpus and the
-rest is array work. Texts with blanks outside ASCII, where the rule above would need more care, are one unit each.
+rest is array work. Texts with blanks outside ASCII or strings of special tokens, where the rule would need more care, are one
+unit each.
 """
 
 import os
@@ -18,34 +19,58 @@ import regex
 
 from dealsift.llm import textkit as T
 
-KNOWN = 500_000
+KNOWN = 600_000
 
 #: Blanks and separators outside the six ASCII blanks.
 _OTHER_BLANKS = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def unit_starts(texts: pa.Array, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[b for b in range(33, 127) if not _LETTER[b]]] = True
+
+
+def _between_letter_and_sign(data: np.ndarray) -> np.ndarray:
+    """Where a letter meets an ASCII sign or digit: a token ends there, but behind an apostrophe.
+
+    Letters are those of ASCII and Latin-1; behind any other character the place is left alone.
+    """
+    second = np.zeros(len(data), dtype=bool)  # second byte of a Latin-1 letter
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    starts = _LETTER[data]
+    ends = starts | second
+    starts[:-1] |= second[1:]
+    sign = _SIGN[data]
+    out = np.zeros(len(data), dtype=bool)
+    out[1:] = (ends[:-1] & sign[1:]) | (sign[:-1] & (data[:-1] != 39) & starts[1:])
+    return out
+
+
+def unit_starts(texts: pa.Array, data: np.ndarray, bounds: np.ndarray, special: list[str]) -> np.ndarray:
     """Byte position of every unit."""
     if not len(data):
         return np.zeros(0, np.int64)
     blank = T.BLANK[data]
-    first = np.zeros(len(data), dtype=bool)
-    first[1:] = blank[1:] & ~blank[:-1]
-    odd = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _OTHER_BLANKS), False).to_numpy(zero_copy_only=False))
-    for i in odd:
+    first = _between_letter_and_sign(data)
+    first[1:] |= blank[1:] & ~blank[:-1]
+    odd = pc.match_substring_regex(texts, _OTHER_BLANKS)
+    for string in special:
+        odd = pc.or_(odd, pc.match_substring(texts, string))
+    for i in np.flatnonzero(pc.fill_null(odd, False).to_numpy(zero_copy_only=False)):
         first[bounds[i]:bounds[i + 1]] = False
     first[bounds[:-1][bounds[:-1] < len(data)]] = True
     return np.flatnonzero(first)
 
 
-def distinct_units(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def distinct_units(texts: pa.Array, special: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Which distinct unit each unit is, the distinct units, and the bounds of the texts in the list of units."""
     data, bounds = T.flat(texts)
-    starts = unit_starts(texts, data, bounds)
+    starts = unit_starts(texts, data, bounds, special)
     offsets = np.append(starts, len(data)).astype(np.int64)
     units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
     coded = units.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, np.searchsorted(starts, bounds)
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.searchsorted(starts, bounds)
 
 
 def byte_signs() -> dict[int, str]:
@@ -60,6 +85,11 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
 
+def unusual(text: str) -> bool:
+    """Whether a character is outside the basic plane or unassigned here: tables of different libraries may differ on it."""
+    return any(c > "\uffff" or (c > "\xff" and unicodedata.category(c) == "Cn") for c in text)
+
+
 class Library:
     """Ids of units by the tokenizers library, with the memory of one worker.
 
@@ -97,22 +127,28 @@ class Library:
 
     def _word(self, word: str) -> bytes:
         """Ids of a pre-token by the model; latin-1 gives each byte one character, which becomes its sign."""
-        signs = word.encode().decode("latin-1").translate(self.signs)
-        found = self.words[word] = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-        return found
+        signs = word.translate(self.signs) if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        if self.pattern is None or any(s in unit for s in self.special):
+        plain = unit.isascii()
+        if self.pattern is None or (not plain and unusual(unit)) or (len(unit) > 12 and any(s in unit for s in self.special)):
             return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
         if self.lower:
-            unit = unicodedata.normalize("NFC", unit)
+            unit = unit.lstrip(" \t\n\r\x0b\x0c")
+            if not plain:
+                unit = unicodedata.normalize("NFC", unit)
             # letter by letter, as the library does: no final sigma
-            unit = unit.lower() if unit.isascii() or "\u03a3" not in unit else "".join(map(str.lower, unit))
-        words = self.words
-        split = self.pattern.findall(unit)
-        if len(split) == 1:
-            return words.get(split[0]) or self._word(split[0])
-        return b"".join([words.get(w) or self._word(w) for w in split])
+            unit = unit.lower() if plain or "\u03a3" not in unit else "".join(map(str.lower, unit))
+            if not unit.isalpha():
+                return b"".join(map(self._word, self.pattern.findall(unit)))
+            found = self.words.get(unit)
+            if found is None:
+                found = self.words[unit] = self._word(unit)
+            return found
+        if unit.isalpha() or (unit[0] == " " and unit[1:].isalpha()):
+            return self._word(unit)
+        return b"".join(map(self._word, self.pattern.findall(unit)))
 
     def encode(self, units: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
@@ -140,8 +176,8 @@ def library(path: str) -> Library:
 
 def encode(texts: pa.Array, encoder) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in a row, and the bounds of each text in them."""
-    index, units, bounds = distinct_units(texts)
-    return spread(index, encoder.encode(units.to_pylist()), bounds)
+    index, units, bounds = distinct_units(texts, encoder.special)
+    return spread(index, encoder.encode(units), bounds)
 
 
 def spread(index: np.ndarray, found: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +191,8 @@ def spread(index: np.ndarray, found: list[bytes], bounds: np.ndarray) -> tuple[n
 
 def lengths(texts: pa.Array, encoder) -> np.ndarray:
     """Number of ids of each text; no id is kept."""
-    index, units, bounds = distinct_units(texts)
-    found = encoder.encode(units.to_pylist())
+    index, units, bounds = distinct_units(texts, encoder.special)
+    found = encoder.encode(units)
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     return np.diff(np.concatenate([[0], np.cumsum(sizes[index])])[bounds])
 
