@@ -232,7 +232,8 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     wanted = stored(needed(blocks(signed, F.lit(1), BLOCK_ROWS)).distinct(), "near-keys")
     # one visit to a text, whatever the number of its groups
     places = blocks(wanted, F.col("weight"), BLOCK_SHINGLES).groupBy("rep").agg(F.collect_list(F.struct("key", "k", "i", "j", "block")).alias("places"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rep"), "text").join(places, "rep")
+    # the size of a stored table says little about its rows in memory, so this side is never planned as a broadcast
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rep"), "text").join(places.hint("merge"), "rep")
 
     def fetch(batches):
         for batch in batches:
