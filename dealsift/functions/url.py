@@ -108,27 +108,32 @@ def unwrap_redirect(url: Column, name: str = "uddg") -> Column:
 
 def resolve(base: Column, link: Column) -> Column:
     """Absolute form of a link found on a page, without dot segments."""
-    origin = root(base)
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
-    joined = (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?"), F.concat(origin, path(base), link))
-        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), link))
-    )
-    plain = link.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|\?|#)")
-    return once(joined, lambda u: F.when(plain | ~u.rlike(r"/\.{1,2}(?:[/?#]|$)"), u).otherwise(without_dots(u)))
+    def absolute(link: Column) -> Column:
+        origin = root(base)
+        folder = F.regexp_replace(path(base), "[^/]*$", "")
+        joined = (
+            F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(origin, link))
+            .when(link.startswith("?"), F.concat(origin, path(base), link))
+            .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+            .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+        )
+        plain = link.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|\?|#)")
+        return once(joined, lambda u: F.when(plain | ~u.rlike(r"/\.{1,2}(?:[/?#]|$)"), u).otherwise(without_dots(u)))
+
+    return once(link, absolute)
 
 
 def without_dots(url: Column) -> Column:
     """Path segments ``.`` and ``..`` applied, as in RFC 3986 section 5.2.4; query and fragment are left alone."""
+    def clean(route: Column) -> Column:
+        none = F.array().cast("array<string>")
+        kept = F.aggregate(F.split(F.substring(route, 2, F.length(route)), "/"), none, lambda done, part: (
+            F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))))
+        # a dot segment at the end names a folder
+        last = F.when(route.rlike(r"/\.{1,2}$"), F.array(F.lit(""))).otherwise(none)
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))
+
     start, route, rest = (F.regexp_extract(url, r"^((?:[^:/?#]+:)?(?://[^/?#]*)?)([^?#]*)(.*)$", k) for k in (1, 2, 3))
-    parts = F.split(route, "/")
-    none = F.array().cast("array<string>")
-    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), none, lambda done, part: (
-        F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))))
-    # a dot segment at the end names a folder
-    ends = F.when(route.rlike(r"/\.{1,2}$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.concat(start, F.lit("/"), F.array_join(ends, "/"), rest)
+    return F.concat(start, once(route, clean), rest)

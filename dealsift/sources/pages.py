@@ -24,19 +24,25 @@ _NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos":
 
 def decode_entities(text: Column) -> Column:
     """Named, decimal and hexadecimal character references, each read once."""
-    named = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    # one literal text instead of hundreds of literal columns
+    named = F.str_to_map(F.lit("\x01".join(f"{name}\x02{char}" for name, char in _NAMED.items())), F.lit("\x01"), F.lit("\x02"))
 
-    def sign(part: Column) -> Column:
-        reference = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        rest = F.substring(part, F.length(reference) + 2, F.length(part))
+    def sign(reference: Column) -> Column:
         number = F.when(reference.rlike("^#[xX]"), F.conv(F.substring(reference, 3, 6), 16, 10)).otherwise(F.substring(reference, 2, 7)).try_cast("bigint")
-        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        char = F.when(reference.startswith("#"), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(named, reference))
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
+        char = once(number, lambda n: F.when(
+            n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        return F.when(reference.startswith("#"), char).otherwise(F.try_element_at(named, reference))
 
-    parts = F.split(text, "&")
-    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), sign), ""))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    def part(rest: Column) -> Column:
+        found = once(F.regexp_extract(rest, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1), lambda r: F.concat(
+            sign(r), F.substring(rest, F.length(r) + 2, F.length(rest))))
+        return F.coalesce(found, F.concat(F.lit("&"), rest))
+
+    def decoded(t: Column) -> Column:
+        return once(F.split(t, "&"), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(
+            F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), part), "")))
+
+    return once(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def strip_tags(html: Column) -> Column:
