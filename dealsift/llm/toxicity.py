@@ -27,6 +27,8 @@ BITS = 20
 PER_CLASS = 3000
 FEATURES = 512
 LEAST_DOCS = 5
+LEAST_GAIN = 3.0  # standard errors between the two rates of a word
+LEAST_SHARE = 0.25  # of the gain of the strongest word
 
 
 @dataclass
@@ -112,7 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     gain = (rate[1] - rate[0]) / np.sqrt((rate[0] + rate[1]) * (1 / total[0] + 1 / total[1]) / 2)
     gain[(count[0] + count[1]) < min(LEAST_DOCS, total[1])] = 0
     picked = np.argsort(-np.abs(gain), kind="stable")[:features]
-    picked = picked[np.abs(gain[picked]) > 3] if (np.abs(gain[picked]) > 3).any() else picked[:1]
+    # chance words score up to a few standard errors in a large sample; the strongest word sets the scale
+    strong_enough = np.abs(gain[picked]) > max(LEAST_GAIN, LEAST_SHARE * np.abs(gain[picked[0]]))
+    picked = picked[strong_enough] if strong_enough.any() else picked[:1]
     index = np.zeros(1 << BITS, np.int32)
     index[picked] = np.arange(1, len(picked) + 1)
     x = np.zeros((len(rows), len(picked)))
