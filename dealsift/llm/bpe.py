@@ -27,6 +27,7 @@ from dealsift.llm import textkit as T, tokens
 from dealsift.llm.tables import documents
 
 BLOCK_BYTES = 24 << 20
+KNOWN = 250_000
 
 class Vocabulary:
     """Merge ranks and token bytes of a tokenizer file with a byte-level BPE model."""
@@ -156,9 +157,9 @@ class Encoder:
 
     def learn(self, units) -> None:
         """Encode what is new among the units, all in one index."""
-        if len(self.units) > tokens.KNOWN:
+        if len(self.units) > KNOWN:
             self.units.clear()
-        if len(self.words) > tokens.KNOWN:
+        if len(self.words) > KNOWN:
             self.words.clear()
         split = {u: self._split(u) for u in units if u not in self.units}
         new = [w for w in dict.fromkeys(w for words in split.values() for w in words) if w not in self.words]
