@@ -1,7 +1,7 @@
 """Near-duplicates by a multi-index Hamming join of b-bit MinHash signatures, confirmed on the full shingle sets.
 
 1. Each document gets the set of its 5-word shingles (64-bit hashes; A-Z lower-cased) and a signature of ``HASHES``
-   16-bit MinHash values. Equal sets are one class from here on, with its smallest id for all, so copies cost nothing.
+   16-bit MinHash values. Equal sets are one class from here on, a node of the graph, so copies cost nothing.
 2. Multi-index join: the signature is split into ``BANDS`` chunks of four values. Two signatures that differ in at most
    2 * BANDS - 1 = 31 of 64 values have, by pigeonhole, a chunk with at most one difference, so the four ways to leave
    one value out of a chunk are its keys: all pairs within the distance share a key. At a similarity of 0.75 the expected
@@ -10,13 +10,13 @@
    most ``NEAR`` values. Only documents with such a pair are fetched again, with their sets, one row per key.
 4. In the key the pairs are confirmed exactly, 100 * intersection >= 75 * union. Pairs that confirmed links have already
    joined are not looked at, so a key gives fewer links than it has members, and no pair is lost for the components.
-5. Components by star steps over the links.
+5. Components by star steps over the links between classes; each is then named by the smallest id in it.
 
 Keys with many members are split: members form blocks of bounded weight, and each pair of blocks is a group of its own.
 
 Defined cases: fewer than five words: the whole sequence is the one shingle. No word (null, empty, blank): an empty set,
-linked with nothing, its own component. Null ids count as the largest id and are linked like others. Rows with equal ids
-are all returned, with the component of their own text.
+linked with nothing, its own component. Null ids count as the largest id and are linked like others, each text for
+itself. Rows with equal ids are all returned, with the component of their own text.
 """
 
 import numpy as np
@@ -97,7 +97,7 @@ def _identity(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, number of shingles, two sums that identify the set, and the signature."""
+    """doc_id, hash of the text, number of shingles, two sums that identify the set, and the signature."""
     def run(batches):
         for batch in batches:
             for part in T.slices(batch):
@@ -107,16 +107,20 @@ def profile(docs: DataFrame) -> DataFrame:
                 for i, row in zip(np.flatnonzero(size), sig):
                     raw[i] = row.tobytes()
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "n_shingles": pa.array(size, pa.int64()), "s1": pa.array(sums[0]), "s2": pa.array(sums[1]),
+                    "doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_shingles": pa.array(size, pa.int64()), "s1": pa.array(sums[0]), "s2": pa.array(sums[1]),
                     "sig": pa.array(raw, pa.binary())})
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return documents(docs, F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def classes(profiles: DataFrame) -> DataFrame:
-    """One row per distinct non-empty set: its smallest id, and the signature."""
-    return (profiles.filter("n_shingles > 0").withColumn("rep", F.coalesce("doc_id", F.lit(NULL_ID)))
-            .groupBy("n_shingles", "s1", "s2").agg(F.min("rep").alias("rep"), F.max("sig").alias("sig")))
+    """One row per distinct non-empty set: a number for it, its smallest id, the hash of a text of that id, the signature.
+
+    The numbers only hold for one evaluation, so the result is to be stored.
+    """
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rep"), "text_hash")).alias("first")
+    return (profiles.filter("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(first, F.max("sig").alias("sig"))
+            .select("n_shingles", "s1", "s2", F.monotonically_increasing_id().alias("node"), "first.rep", "first.text_hash", "sig"))
 
 
 def _explode_keys(reps: DataFrame) -> DataFrame:
@@ -128,9 +132,9 @@ def _explode_keys(reps: DataFrame) -> DataFrame:
                 keys = _chunk_keys(sig)
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array(keys.reshape(-1)), "k": pa.array(np.tile(np.arange(KEYS, dtype=np.int32), len(part))),
-                    "rep": pa.array(np.repeat(part.column("rep").to_numpy(), KEYS)), "weight": pa.array(np.repeat(part.column("n_shingles").to_numpy(), KEYS))})
+                    "node": pa.array(np.repeat(part.column("node").to_numpy(), KEYS)), "weight": pa.array(np.repeat(part.column("n_shingles").to_numpy(), KEYS))})
 
-    return reps.select("rep", "n_shingles", "sig").mapInArrow(run, "key long, k int, rep long, weight long")
+    return reps.select("node", "n_shingles", "sig").mapInArrow(run, "key long, k int, node long, weight long")
 
 
 def blocks(members: DataFrame, weight, limit: int) -> DataFrame:
@@ -139,7 +143,7 @@ def blocks(members: DataFrame, weight, limit: int) -> DataFrame:
     A key lighter than ``limit`` is one group (0, 0). A heavier one is cut into blocks, each member goes to all groups of
     its block, and ``block`` says which block a member is of.
     """
-    order = Window.partitionBy("key").orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     cut = members.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(order), F.lit(0)) / limit).cast("int"))
     cut = cut.withColumn("blocks", F.max("block").over(Window.partitionBy("key")) + 1)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -186,14 +190,14 @@ def needed(pairs_of: DataFrame) -> DataFrame:
         for x, others in _partners(sig, rows.column("block").to_numpy(), i != j, rows.column("k")[0].as_py(), rows.column("weight").to_numpy()):
             hit[x] = True
             hit[others] = True
-        return rows.select(["key", "k", "rep", "weight"]).filter(pa.array(hit))
+        return rows.select(["key", "k", "node", "weight"]).filter(pa.array(hit))
 
-    return pairs_of.groupBy("key", "i", "j").applyInArrow(run, "key long, k int, rep long, weight long")
+    return pairs_of.groupBy("key", "i", "j").applyInArrow(run, "key long, k int, node long, weight long")
 
 
 def _links(rows) -> tuple[list[int], list[int]]:
     """A spanning set of the confirmed links in a group."""
-    ids = rows.column("rep").to_numpy()
+    ids = rows.column("node").to_numpy()
     sets = [np.frombuffer(b, np.uint64) for b in rows.column("shingles").to_pylist()]
     size = np.array([len(s) for s in sets])
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
@@ -224,16 +228,19 @@ def _links(rows) -> tuple[list[int], list[int]]:
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Confirmed links ``a``, ``b`` between class ids, enough to connect all that is linked."""
+    """Confirmed links ``a``, ``b`` between classes, enough to connect all that is linked."""
     keys = _explode_keys(reps)
     size = Window.partitionBy("key")
     members = keys.withColumn("members", F.count("*").over(size)).filter("members > 1").drop("members")
-    signed = members.join(reps.select("rep", "sig"), "rep")
+    signed = members.join(reps.select("node", "sig"), "node")
     wanted = stored(needed(blocks(signed, F.lit(1), BLOCK_ROWS)).distinct(), "near-keys")
     # one visit to a text, whatever the number of its groups
-    places = blocks(wanted, F.col("weight"), BLOCK_SHINGLES).groupBy("rep").agg(F.collect_list(F.struct("key", "k", "i", "j", "block")).alias("places"))
+    places = blocks(wanted, F.col("weight"), BLOCK_SHINGLES).groupBy("node").agg(F.collect_list(F.struct("key", "k", "i", "j", "block")).alias("places"))
+    # an id may stand for several texts (null for any number), so the text of a class is found by id and hash
+    places = places.join(reps.select("node", "rep", "text_hash"), "node")
     # the size of a stored table says little about its rows in memory, so this side is never planned as a broadcast
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rep"), "text").join(places.hint("merge"), "rep")
+    texts = (docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rep"), F.xxhash64("text").alias("text_hash"), "text").join(places.hint("merge"), ["rep", "text_hash"])
+             .dropDuplicates(["rep", "text_hash"]))
 
     def fetch(batches):
         for batch in batches:
@@ -247,7 +254,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
                     some = row[start:start + 256]
                     place = flat.slice(start, len(some))
                     yield pa.RecordBatch.from_pydict({
-                        **{c: place.field(c) for c in ("key", "k", "i", "j", "block")}, "rep": part.column("rep").take(pa.array(some)),
+                        **{c: place.field(c) for c in ("key", "k", "i", "j", "block")}, "node": part.column("node").take(pa.array(some)),
                         "shingles": pa.array([value[bounds[r]:bounds[r + 1]].tobytes() for r in some], pa.binary()),
                         "sig": pa.array([sig[at[r]].tobytes() for r in some], pa.binary())})
 
@@ -255,33 +262,37 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         a, b = _links(rows.combine_chunks())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    fetched = texts.mapInArrow(fetch, "key long, k int, i int, j int, block int, rep long, shingles binary, sig binary")
+    fetched = texts.mapInArrow(fetch, "key long, k int, i int, j int, block int, node long, shingles binary, sig binary")
     return fetched.groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long")
 
 
 def _labelled(table: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every non-empty set with its smallest id (rep) and the smallest id of its component."""
+    """Every non-empty set with its smallest id (rep), the smallest id of its component, and whether it is the one set to keep."""
     reps = stored(classes(profiles), "near-classes")
-    found = components(links(table, reps))
-    # ids that repeat with other texts must not mix: the class is found by the set, the text by the id
-    return (reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("n_shingles", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component")))
+    found = components(links(table, reps)).withColumnRenamed("component", "root")
+    # ids that repeat with other texts must not mix: links are between sets, ids only name the components
+    order = F.struct("rep", "n_shingles", "s1", "s2")
+    linked = found.join(reps.select("node", order.alias("own")), "node")
+    least = linked.groupBy("root").agg(F.min("own").alias("least"))
+    named = linked.join(least, "root").select("node", "least")
+    first = F.coalesce("least", order)
+    return reps.join(named, "node", "left").select("n_shingles", "s1", "s2", "rep", first["rep"].alias("component"), (first == order).alias("first"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id is that id) for every row."""
     table = documents(docs)
     profiles = stored(profile(table), "near-profiles")
-    joined = profiles.join(_labelled(table, profiles).drop("rep"), ["n_shingles", "s1", "s2"], "left")
+    joined = profiles.join(_labelled(table, profiles).drop("rep", "first"), ["n_shingles", "s1", "s2"], "left")
     component = F.coalesce(F.nullif(F.col("component"), F.lit(NULL_ID)), F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, all columns; of equal rows one. Empty sets all stay."""
+    """A row of ``docs`` with the smallest id of each component, all columns; where several have it, one. Empty sets all stay."""
     table = documents(docs)
     profiles = stored(profile(table), "near-profiles")
-    winners = _labelled(table, profiles).filter("rep = component").select(
+    winners = _labelled(table, profiles).filter("first").select(
         F.col("n_shingles").alias("__n"), F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), F.col("rep").alias("__rep"))
 
     def tag(batches):

@@ -104,6 +104,27 @@ def test_keep_first_keeps_one_of_a_group(spark, documents):
     assert set(got) == kept and got[8] == 0 and got[7] == 1 and all(n == 1 for n in got.values())
 
 
+def near(text, k):
+    return text.replace(" ", f" x{k} ", 1)
+
+
+def test_texts_that_share_an_id_do_not_link_their_neighbours(spark):
+    one, two, three, four = (prose(900 + k, 200) for k in range(4))
+    rows = [(7, one), (50, two), (None, near(one, 31)), (None, near(two, 32)), (None, prose(910, 80)),
+            (60, three), (70, four), (99, near(three, 33)), (99, near(four, 34)), (99, prose(911, 80))]
+    table = frame(spark, rows)
+    got = rows_of(near_dedup.dedup(table))
+    assert got == sorted(linked(rows), key=str)
+    assert {r[0] for r in got if r[3]} == {7, 50, None, 60, 70, 99}
+    assert Counter(r.text for r in near_dedup.keep_first(table).collect()) == Counter([one, two, prose(910, 80), three, four, prose(911, 80)])
+
+
+def test_near_texts_without_id_leave_one(spark):
+    one = prose(920, 200)
+    rows = [(None, one), (None, near(one, 35)), (None, near(one, 36)), (None, prose(921, 200))]
+    assert len(near_dedup.keep_first(frame(spark, rows)).collect()) == 2
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.dedup(frame(spark, [])).count() == 0
     assert near_dedup.keep_first(frame(spark, [(1, None), (1, None)])).count() == 2
