@@ -15,7 +15,8 @@ All of it is DataFrame and SQL expressions within the row; the documents are not
 The broadcast is checked: above ``BROADCAST_ROWS`` item shingles the items are searched in slices of that size.
 
 Defined cases: null or short texts (under five words) contain nothing. Items of under five words or null text match
-nothing. A text shorter than the item is one window. Null ids are kept as they are; equal ids count as one document.
+nothing. A text shorter than the item is one window. Null ids are kept as they are. ``find`` reports rows of equal ids as
+one document; ``remove`` judges each row by its own text.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -88,9 +89,8 @@ def _search(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     return judged.filter(F.col("similarity") >= least)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, item_id, and the best window: similarity, start (word), n_words; one row per contaminated pair."""
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _hits(table: DataFrame, benchmark: DataFrame, least: float, broadcast_rows: int) -> DataFrame:
+    """Every window that is similar enough to an item; ``doc_id`` may be of any type."""
     items = _shingles(benchmark.select("item_id", F.col("text").cast("string").alias("text")), "item_id")
     rows = items.agg(F.sum(F.size("sh"))).first()[0] or 0
     cuts = -(-rows // broadcast_rows) or 1
@@ -99,13 +99,23 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, broadcast_
         some = items if cuts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(cuts)) == k)
         part = _search(table, some, least)
         found = part if found is None else found.unionByName(part)
+    return found
+
+
+def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, item_id, and the best window: similarity, start (word), n_words; one row per contaminated pair."""
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _hits(table, benchmark, least, broadcast_rows)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.similarity", (-F.col("best.s")).alias("start"), "best.n_words")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` without contaminated documents; a null id counts as an id of its own."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    found = find(docs, benchmark, least).select(key.alias("__id")).distinct()
-    return docs.withColumn("__id", key).join(found, "__id", "left_anti").drop("__id")
+def remove(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose own text contains no item, whatever other rows have the same id or none."""
+    text = F.col("text").cast("string")
+    # rows of one id and one text are contaminated together; the hash tells the texts of an id, or of none, apart
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("text_hash"))
+    found = _hits(docs.select(key.alias("doc_id"), text.alias("text")), benchmark, least, broadcast_rows)
+    found = found.select(F.col("doc_id").alias("__row")).distinct()
+    return docs.withColumn("__row", key).join(found, "__row", "left_anti").drop("__row")

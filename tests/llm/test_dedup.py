@@ -193,3 +193,13 @@ def test_decontamination_is_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in expected}
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find(table, none).count() == 0 and decontaminate.find(frame(spark, []), bench).count() == 0
+
+
+def test_decontamination_judges_each_row_by_its_text(spark):
+    item = prose(950, 30)
+    rows = [(None, prose(951, 40) + " " + item), (None, prose(952, 60)), (None, None), (None, ""), (5, item), (5, prose(953, 60)), (5, None), (6, prose(954, 60)), (6, prose(954, 60))]
+    bench = spark.createDataFrame([(1, item), (2, prose(955, 25))], "item_id long, text string")
+    for rows_at_once in (decontaminate.BROADCAST_ROWS, 30):
+        left = decontaminate.remove(frame(spark, rows), bench, broadcast_rows=rows_at_once)
+        assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(rows[1:4] + rows[5:])
+    assert {r.doc_id for r in decontaminate.find(frame(spark, rows), bench).collect()} == {None, 5}
