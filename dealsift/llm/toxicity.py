@@ -3,8 +3,9 @@
 Grades are ordered, 0 (clean) to G - 1. One weight vector serves all thresholds: P(grade > g) = sigmoid(w.x - t[g]) with
 increasing t, and the output is the expected severity, the sum of these probabilities. Features are hashed lower-cased
 words, present or not. From a bounded labelled sample (``per_class`` documents of each label with the smallest hash of
-their id) the words most tied to the label are chosen, and weights and thresholds are fitted by gradient descent with
-the classes at equal weight; the thresholds are then shifted to the share of toxic rows among all labels. A document
+their id) the words are chosen whose tie to the label is proven: with a chance of 95 %, no word without a tie is among
+them (Bonferroni over all words tested; copies count once). Of more than ``features`` such words the surest are taken.
+Without any, the surest word is. Weights and thresholds are fitted by gradient descent with the classes at equal weight; the thresholds are then shifted to the share of toxic rows among all labels. A document
 counts as toxic from the score on that separates the sampled labels best.
 
 The labels say toxic or not. Severity among toxic documents is taken from how many distinct chosen toxic words a document
@@ -27,8 +28,7 @@ BITS = 20
 PER_CLASS = 3000
 FEATURES = 512
 LEAST_DOCS = 5
-LEAST_GAIN = 3.0  # standard errors between the two rates of a word
-LEAST_SHARE = 0.25  # of the gain of the strongest word
+CHANCE = 0.05  # that any word without a tie to the label is chosen
 
 
 @dataclass
@@ -90,6 +90,18 @@ def _fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600
     return w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
+def _gain(count: list[np.ndarray], total: list[int]) -> np.ndarray:
+    """Likelihood gain of every word for the label, negative where it speaks for clean.
+
+    A word that is in ``m`` documents whatever their label has as large a gain ``g`` in one direction with a chance of at
+    most exp(-g) (Chernoff, also for draws without replacement), rare or common, at any balance of the labels.
+    """
+    m, share = count[0] + count[1], total[1] / (total[0] + total[1])
+    of = count[1] / np.maximum(m, 1)
+    part = lambda x, y: x * np.log(np.where(x > 0, x, 1) / y)
+    return np.sign(of - share) * m * (part(of, share) + part(1 - of, 1 - share))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES) -> Model | None:
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")))
@@ -106,17 +118,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     if len(set(toxic)) < 2:
         return None
     count = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    for _, (t, found) in rows:
+    # a copy is no further evidence for its words
+    sets = {(t, found.tobytes()): found for _, (t, found) in rows}
+    for (t, _), found in sets.items():
         count[t][found] += 1
-    total = [(toxic == c).sum() for c in (0, 1)]
-    # signed root of the likelihood gain of a word for the label
-    rate = [(count[c] + 0.5) / (total[c] + 1) for c in (0, 1)]
-    gain = (rate[1] - rate[0]) / np.sqrt((rate[0] + rate[1]) * (1 / total[0] + 1 / total[1]) / 2)
-    gain[(count[0] + count[1]) < min(LEAST_DOCS, total[1])] = 0
+    total = [sum(t == c for t, _ in sets) for c in (0, 1)]
+    tested = (count[0] + count[1]) >= min(LEAST_DOCS, total[1])
+    gain = np.where(tested, _gain(count, total), 0)
     picked = np.argsort(-np.abs(gain), kind="stable")[:features]
-    # chance words score up to a few standard errors in a large sample; the strongest word sets the scale
-    strong_enough = np.abs(gain[picked]) > max(LEAST_GAIN, LEAST_SHARE * np.abs(gain[picked[0]]))
-    picked = picked[strong_enough] if strong_enough.any() else picked[:1]
+    # the bound of a chance word, for each of the words tested and both directions
+    proven = np.abs(gain[picked]) > np.log(2 * tested.sum() / CHANCE)
+    picked = picked[proven] if proven.any() else picked[:1]
     index = np.zeros(1 << BITS, np.int32)
     index[picked] = np.arange(1, len(picked) + 1)
     x = np.zeros((len(rows), len(picked)))

@@ -96,6 +96,23 @@ def test_severity_grows_with_toxic_words(spark):
     assert out[902].severity >= out[None].severity > out[901].severity == out[903].severity
 
 
+def test_toxic_words_of_a_long_tail_count(spark):
+    tail = [f"slur{k}" for k in range(23)]
+
+    def text(i):
+        own = prose(i, 40)
+        if i % 2 == 0:
+            return own
+        # nine of ten have the common word, the others one of the rare words only
+        return own + (" vile" if i % 20 != 1 else "") + f" {tail[i // 20 % 23] if i % 20 == 1 else tail[i // 2 % 23]}"
+
+    rows = [(i, text(i)) for i in range(2400)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in toxicity.grade(frame(spark, rows + [(9000 + k, prose(9000 + k, 40) + " " + w) for k, w in enumerate(tail)]), labels).collect()}
+    assert sum(out[i].toxic != bool(i % 2) for i, _ in rows) <= 12
+    assert all(out[9000 + k].toxic for k in range(23))
+
+
 def test_toxicity_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {(r.severity, r.toxic) for r in toxicity.grade(documents, none).collect()} == {(0.0, False)}
