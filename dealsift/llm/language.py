@@ -219,7 +219,8 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.2, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a score of at least ``least``; all columns stay.
 
-    Rejected are texts without a letter and texts no family or pair can claim. The verdict travels with its row, so no
+    Rejected are texts without a letter. With two families of two languages every other score is at least 0.25, so junk
+    and unknown languages pass the default; more languages let scores fall below it. The verdict travels with its row, so no
     join on ids is needed and repeated ids are no problem. With no labelled document nothing is rejected.
     """
     table = documents(docs, F.col("lang").cast("string").alias("lang"))
