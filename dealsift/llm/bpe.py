@@ -27,7 +27,7 @@ from dealsift.llm import textkit as T, tokens
 from dealsift.llm.tables import documents
 
 BLOCK_BYTES = 24 << 20
-KNOWN = 250_000
+
 
 class Vocabulary:
     """Merge ranks and token bytes of a tokenizer file with a byte-level BPE model."""
@@ -138,8 +138,7 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")") if self.vocab.special else None
         self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         self.signs = {s: b for b, s in tokens.byte_signs().items()}
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.units, self.words = tokens.Memory(), tokens.Memory(tokens.KNOWN_BYTES // 2)
 
     def _pieces(self, text: str) -> list[str]:
         """Pre-tokens; characters whose class is not certain go to the library's own splitter."""
@@ -155,27 +154,28 @@ class Encoder:
             out += [piece] if piece in self.vocab.special else self._pieces(piece)
         return out
 
-    def learn(self, units) -> None:
-        """Encode what is new among the units, all in one index."""
-        if len(self.units) > KNOWN:
-            self.units.clear()
-        if len(self.words) > KNOWN:
-            self.words.clear()
-        split = {u: self._split(u) for u in units if u not in self.units}
-        new = [w for w in dict.fromkeys(w for words in split.values() for w in words) if w not in self.words]
+    def learn(self, units) -> dict[str, bytes]:
+        """Ids of all given units; those not met before are encoded, all in one index."""
+        self.units.renew()
+        self.words.renew()
+        found = {u: self.units[u] for u in units if u in self.units}
+        split = {u: self._split(u) for u in units if u not in found}
+        ids_of = {w: self.words[w] for words in split.values() for w in words if w in self.words}
+        new = [w for w in dict.fromkeys(w for words in split.values() for w in words) if w not in ids_of]
         for w in new:
             if w in self.vocab.special:
-                self.words[w] = np.array([self.vocab.special[w]], dtype="<u4").tobytes()
-        new = [w for w in new if w not in self.words]
-        data, bounds = T.flat(pa.array(new, pa.string()))
+                ids_of[w] = np.array([self.vocab.special[w]], dtype="<u4").tobytes()
+        new = [w for w in new if w not in ids_of]
+        data, bounds = T.flat(pa.array(new, pa.large_string()))
         ids, cut = merge_words(self.vocab, data, bounds)
         raw = ids.tobytes()
-        self.words.update((w, raw[4 * a:4 * b]) for w, a, b in zip(new, cut[:-1].tolist(), cut[1:].tolist()))
-        words = self.words
-        self.units.update((u, b"".join([words[w] for w in split[u]])) for u in split)
-
-    def encode(self, units: list[str]) -> list[bytes]:
-        return [self.units[u] for u in units]
+        for w, a, b in zip(new, cut[:-1].tolist(), cut[1:].tolist()):
+            ids_of[w] = raw[4 * a:4 * b]
+            self.words.keep(w, ids_of[w])
+        for u, words in split.items():
+            found[u] = b"".join([ids_of[w] for w in words])
+            self.units.keep(u, found[u])
+        return found
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -192,9 +192,9 @@ def encoded(batches, path: str):
     enc, block, held = encoder(path), [], 0
 
     def flush():
-        enc.learn(dict.fromkeys(u for _, (_, units, _) in block for u in units))
+        found = enc.learn(dict.fromkeys(u for _, (_, units, _) in block for u in units))
         for part, (index, units, bounds) in block:
-            yield part, *tokens.spread(index, enc.encode(units), bounds)
+            yield part, *tokens.spread(index, [found[u] for u in units], bounds)
 
     for batch in batches:
         for part in T.slices(batch):

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from dealsift.llm import bpe, decontaminate, language, near_dedup, quality, substring, token_counts, token_store, toxicity, url_filter
+from dealsift.llm import alignment, bpe, decontaminate, fill_middle, language, near_dedup, quality, rank_bpe, substring, token_counts, token_store, toxicity, url_filter
 from dealsift.llm.tables import read, shared_folder
 
 QUERIES: dict[str, Callable] = {}
@@ -77,3 +77,20 @@ def op9_near_dedup(spark, sf_dir):
 @query("op6_decontamination")
 def op6_decontamination(spark, sf_dir):
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return rank_bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op12_fill_middle", fill_middle.ORACLE)
+def op12_fill_middle(spark, sf_dir):
+    return fill_middle.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    return alignment.summary(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))

@@ -1,7 +1,7 @@
 """Token counts: batches balanced by bytes, long texts split at safe boundaries, and only lengths leave the task.
 
-An Arrow batch is cut into slices of a few megabytes of text; a text above that is cut where a blank follows another
-character, which no token spans, and its pieces are counted one after the other. See ``tokens`` for how a slice is
+An Arrow batch is cut into slices of a few megabytes of text; a text above that is cut where a unit ends, which no token
+spans, and its pieces are counted one after the other. See ``tokens`` for how a slice is
 encoded.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens. Special strings inside texts are handled as the library
@@ -25,7 +25,7 @@ def count(docs: DataFrame, path: str, limit: int = 1024, slice_bytes: int = T.SL
                 texts = part.column("text")
                 n_bytes = np.diff(T.flat(texts)[1])
                 if len(part) == 1 and n_bytes[0] > slice_bytes:
-                    pieces = tokens.cut_long(texts[0].as_py().encode(), slice_bytes)
+                    pieces = tokens.cut_long(texts[0].as_py().encode(), slice_bytes, encoder.special)
                     n = np.array([sum(int(tokens.lengths(pa.array([p.decode()]), encoder)[0]) for p in pieces)])
                 else:
                     n = tokens.lengths(texts, encoder)

@@ -2,13 +2,15 @@
 
 A unit is a run of blanks followed by a run of other characters, and letters are parted from ASCII signs. In every
 tokenizer used here a token never spans the place where a blank follows another character or a letter meets a sign (an
-apostrophe before a letter apart), so a text may be cut there and the ids of its units joined give the ids of the text. Texts repeat their units a lot: each distinct unit of a slice is encoded once, and a worker remembers the
-units it has met (up to ``KNOWN`` of them, then it starts anew), so encoding follows the vocabulary of the corpus and the
-rest is array work. Texts with blanks outside ASCII or strings of special tokens, where the rule would need more care, are one
-unit each.
+apostrophe before a letter apart), so a text may be cut there and the ids of its units joined give the ids of the text.
+A blank outside ASCII joins the run of blanks around it, and a string of a special token is not cut; both bind only their
+own neighbourhood. Texts repeat their units a lot: each distinct unit of a slice is encoded once, and a worker remembers
+short units it has met (``Memory``, bounded in bytes), so encoding follows the vocabulary of the corpus and the rest is
+array work.
 """
 
 import os
+import re
 import unicodedata
 from array import array
 
@@ -19,12 +21,36 @@ import regex
 
 from dealsift.llm import textkit as T
 
-KNOWN = 600_000
+#: What a worker remembers: units of at most so many characters, up to so many bytes in all.
+SHORT, KNOWN_BYTES = 64, 64 << 20
+#: About what one entry costs beside its characters and ids: two objects and their place in the dictionary.
+ENTRY_BYTES = 190
 
 #: Blanks and separators outside the six ASCII blanks.
 _OTHER_BLANKS = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+_OTHER_BLANK_BYTES = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
+
+
+class Memory(dict):
+    """Ids of short units, up to ``limit`` bytes; ``renew`` empties it when it is full. Long units are never kept."""
+
+    def __init__(self, limit: int = KNOWN_BYTES):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def keep(self, unit: str, ids: bytes) -> None:
+        if len(unit) <= SHORT:
+            self[unit] = ids
+            self.held += len(unit) * (1 if unit.isascii() else 4) + len(ids) + ENTRY_BYTES
+
+    def renew(self) -> None:
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
+
+
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = np.zeros(256, dtype=bool)
@@ -57,8 +83,13 @@ def unit_starts(texts: pa.Array, data: np.ndarray, bounds: np.ndarray, special:
     odd = pc.match_substring_regex(texts, _OTHER_BLANKS)
     for string in special:
         odd = pc.or_(odd, pc.match_substring(texts, string))
+    whole = re.compile(b"|".join(re.escape(string.encode()) for string in special)) if special else None
     for i in np.flatnonzero(pc.fill_null(odd, False).to_numpy(zero_copy_only=False)):
-        first[bounds[i]:bounds[i + 1]] = False
+        at, text = bounds[i], data[bounds[i]:bounds[i + 1]].tobytes()
+        behind = np.fromiter((m.end() for m in _OTHER_BLANK_BYTES.finditer(text)), np.int64)
+        first[at + behind[behind < len(text)]] = False
+        for m in whole.finditer(text) if whole else ():
+            first[at + m.start() + 1:at + m.end()] = False
     first[bounds[:-1][bounds[:-1] < len(data)]] = True
     return np.flatnonzero(first)
 
@@ -122,8 +153,7 @@ class Library:
             self.pattern = regex.compile(before["pretokenizers"][0]["pattern"]["Regex"])
             self.lower = True
         self.signs = str.maketrans({b: s for b, s in byte_signs().items() if chr(b) != s})
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known, self.words = Memory(), Memory(KNOWN_BYTES // 2)
 
     def _word(self, word: str) -> bytes:
         """Ids of a pre-token by the model; latin-1 gives each byte one character, which becomes its sign."""
@@ -144,7 +174,8 @@ class Library:
                 return b"".join(map(self._word, self.pattern.findall(unit)))
             found = self.words.get(unit)
             if found is None:
-                found = self.words[unit] = self._word(unit)
+                found = self._word(unit)
+                self.words.keep(unit, found)
             return found
         if unit.isalpha() or (unit[0] == " " and unit[1:].isalpha()):
             return self._word(unit)
@@ -152,15 +183,14 @@ class Library:
 
     def encode(self, units: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        if len(self.words) > KNOWN:
-            self.words.clear()
+        self.known.renew()
+        self.words.renew()
         known = self.known
         out = [known.get(u) for u in units]
         for i, found in enumerate(out):
             if found is None:
-                out[i] = known[units[i]] = self._unit(units[i])
+                out[i] = self._unit(units[i])
+                known.keep(units[i], out[i])
         return out
 
 
@@ -197,15 +227,12 @@ def lengths(texts: pa.Array, encoder) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(sizes[index])])[bounds])
 
 
-def cut_long(text: bytes, limit: int = T.SLICE_BYTES) -> list[bytes]:
-    """A long text in pieces of about ``limit`` bytes, each ending before a blank that follows another character.
-
-    A text without such a place, or with a blank outside ASCII, stays whole.
-    """
-    if len(text) <= limit or pc.match_substring_regex(pa.array([text.decode()]), _OTHER_BLANKS)[0].as_py():
+def cut_long(text: bytes, limit: int = T.SLICE_BYTES, special: list[str] | None = None) -> list[bytes]:
+    """A long text in pieces of about ``limit`` bytes, each ending where a unit does; one without such a place stays whole."""
+    if len(text) <= limit:
         return [text]
-    blank = T.BLANK[np.frombuffer(text, np.uint8)]
-    places = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    array_, data = pa.array([text.decode()], pa.large_string()), np.frombuffer(text, np.uint8)
+    places = unit_starts(array_, data, np.array([0, len(text)]), special or [])
     out, at = [], 0
     while len(text) - at > limit:
         k = np.searchsorted(places, at + limit, side="right") - 1
@@ -216,3 +243,12 @@ def cut_long(text: bytes, limit: int = T.SLICE_BYTES) -> list[bytes]:
         out.append(text[at:places[k]])
         at = int(places[k])
     return out + [text[at:]]
+
+
+def encode_slice(texts: pa.Array, encoder, limit: int = T.SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """``encode`` of a slice; a single text above ``limit`` bytes goes piece by piece."""
+    if len(texts) != 1 or not texts[0].is_valid or pc.binary_length(texts)[0].as_py() <= limit:
+        return encode(texts, encoder)
+    pieces = cut_long(texts[0].as_py().encode(), limit, encoder.special)
+    ids = np.concatenate([encode(pa.array([p.decode()], pa.large_string()), encoder)[0] for p in pieces])
+    return ids, np.array([0, len(ids)])

@@ -1,5 +1,6 @@
 """Token counts, byte-pair encoding and the token store against the tokenizers library."""
 
+import functools
 import hashlib
 import heapq
 import zlib
@@ -17,8 +18,11 @@ from dealsift.llm.catalog import tokenizer
 BYTE, WORD = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
 
 
+loaded = functools.lru_cache(Tokenizer.from_file)
+
+
 def ids_of(path, some):
-    return [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in some], add_special_tokens=False)]
+    return [e.ids for e in loaded(path).encode_batch([t or "" for t in some], add_special_tokens=False)]
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +65,30 @@ def test_pieces_of_a_long_text():
     assert tokens.cut_long(b"x" * 1000, 100) == [b"x" * 1000]
 
 
+def test_other_blanks_and_special_strings_bind_only_their_neighbourhood():
+    text = "mots \u00a0; il dit\u00a0: <|endoftext|> et\u2003  rien. " * 400
+    pieces = tokens.cut_long(text.encode(), 200, ["<|endoftext|>"])
+    assert b"".join(pieces) == text.encode() and max(map(len, pieces)) <= 200
+    assert sum(ids_of(BYTE, [p.decode() for p in pieces]), []) == ids_of(BYTE, [text])[0]
+    enc = tokens.Library(BYTE)
+    ids, _ = tokens.encode(pa.array([f"{text} {i}" for i in range(50)]), enc)
+    assert len(ids) and len(enc.known) < 100 and enc.known.held < 30_000
+
+
+def test_memory_is_bounded_in_bytes_and_keeps_no_long_unit():
+    enc = tokens.Library(BYTE)
+    enc.known.limit = 10_000
+    for i in range(30):
+        tokens.encode(pa.array([f"word{'abcdefghij'[i % 10] * (i + 1)} n{i} " * 20 + "x" * 70 + str(i)]), enc)
+    assert enc.known.held < 20_000 and max(map(len, enc.known), default=0) <= tokens.SHORT
+    words = bpe.Encoder(BYTE)
+    words.units.limit = words.words.limit = 5_000
+    for i in range(30):
+        found = words.learn([f" w{i}{j}" for j in range(20)] + ["y" * 100 + str(i)])
+        assert all(np.frombuffer(v, "<u4").tolist() == ids for v, ids in zip(found.values(), ids_of(BYTE, list(found))))
+    assert words.units.held < 12_000 and max(map(len, words.words)) <= tokens.SHORT
+
+
 def test_store(spark, documents, tmp_path):
     token_store.write(documents, WORD, str(tmp_path / "s"))
     got = sorted(map(tuple, token_store.read(spark, str(tmp_path / "s"), digest=True).collect()), key=lambda r: r[1])
