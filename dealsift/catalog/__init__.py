@@ -6,7 +6,7 @@ from dealsift.catalog.registry import ORACLES, QUERIES
 
 
 def _register() -> None:
-    from dealsift.catalog import functions, hardware, history, places, requests, retail, sites, sources, streams, suppliers  # noqa: F401
+    from dealsift.catalog import details, functions, hardware, history, places, requests, retail, sites, sources, streams, suppliers  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable]:

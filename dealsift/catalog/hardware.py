@@ -124,8 +124,17 @@ _CONFIG = f"regexp_extract_all(text, {q('(?i)' + rules.SPEC_PATTERN)})"
 _MAKER, _MODEL = _maker_model()
 
 
-def norm_sql(src: str, extra: str = "") -> str:
-    """CTE chain from a record view to ``norm`` and ``scored``."""
+def norm_sql(src: str, extra: str = "", pages: str = "paged", more: str = "", given: dict[str, str] | None = None) -> str:
+    """CTE chain from a record view to ``norm`` and ``scored``.
+
+    ``more`` are CTEs behind ``paged`` that end in ``pages``; ``given`` names the expressions of detail fields, which win over text.
+    """
+    given = given or {}
+
+    def wins(name: str, text: str) -> str:
+        return f"coalesce({given[name]}, {text})" if name in given else text
+
+    review = given.get("needs_manual_review", "false")
     completeness = "CASE " + " ".join(
         [f"WHEN {has('low', t)} THEN {q(v)}" for v, t in rules.COMPLETENESS_BEFORE_FLAGS]
         + [f"WHEN list_contains(risk_flags, {q(f)}) THEN {q(v)}" for f, v in rules.COMPLETENESS_FLAGS]
@@ -139,15 +148,15 @@ def norm_sql(src: str, extra: str = "") -> str:
            "WHEN contains(low, 'rtx') THEN 'RTX' END WHEN category = 'servers' THEN 'rack_server' WHEN category = 'memory' THEN 'ecc_rdimm' "
            "WHEN category = 'storage' THEN 'enterprise_storage' WHEN category = 'cpu' THEN 'server_cpu' END")
     gate, src_name = "source_name", "lower(source_name)"
-    return f"""{cte(src)}, {_parts_sql(src)}, {_canonical_sql()}, {_page_sql()},
+    return f"""{cte(src)}, {_parts_sql(src)}, {_canonical_sql()}, {_page_sql()},{more}
 n1 AS (SELECT *, original_title AS title,
-  {num(rx('text', rules.DOLLAR_PATTERN))} AS total_price,
+  {wins('total_price', num(rx('text', rules.DOLLAR_PATTERN)))} AS total_price,
   coalesce({', '.join(f'try_cast({rx("text", p)} AS BIGINT)' for p in rules.QUANTITY_PATTERNS)}) AS quantity,
   {premium} || '%' AS buyer_premium,
   {_MAKER} AS manufacturer, {_MODEL} AS model, {sub} AS subcategory,
   upper({rx('text', rules.PART_NUMBER_PATTERN)}) AS part_number, {rx('text', rules.GENERATION_PATTERN)} AS generation,
   CASE WHEN len({_CONFIG}) > 0 THEN array_to_string({distinct_list(_CONFIG + '[1:8]')}, ', ') END AS configuration,
-  CASE WHEN {has('low', rules.ENDED_TEXT)} THEN 'ended' WHEN {has('low', rules.ACTIVE_TEXT)} THEN 'active' ELSE 'unknown' END AS listing_status,
+  {wins('listing_status', f"CASE WHEN {has('low', rules.ENDED_TEXT)} THEN 'ended' WHEN {has('low', rules.ACTIVE_TEXT)} THEN 'active' ELSE 'unknown' END")} AS listing_status,
   {label_case('low', rules.CONDITION_TOKENS, "'unknown'")} AS condition,
   CASE WHEN contains(low, 'working') THEN 'claimed_working' WHEN {has('low', ['not working', 'broken'])} THEN 'not_working' ELSE 'unknown' END AS working_status,
   CASE WHEN contains(low, 'untested') THEN 'untested' WHEN contains(low, 'tested') THEN 'tested' ELSE 'unknown' END AS testing_status,
@@ -155,21 +164,21 @@ n1 AS (SELECT *, original_title AS title,
     WHEN {has('low', ['itad', 'asset disposition'])} THEN 'itad_supplier' ELSE 'unknown' END AS seller_type,
   CASE WHEN domain IN {in_list(rules.MARKETPLACE_DOMAINS)} THEN 'marketplace_listing' WHEN {gate} IN {in_list(rules.MARKETPLACES)} THEN 'public_search_discovery'
     ELSE 'needs_verification' END AS confidence_level,
-  {states} AS location_state, {has('low', ['pickup only', 'local pickup'])} AS pickup_only,
-  CASE WHEN contains(low, 'shipping') THEN NOT contains(low, 'no shipping') END AS shipping_available
-  FROM paged {extra}),
-n2 AS (SELECT *, {distinct_list(f"list_concat({raw_flags}, CASE WHEN buyer_premium IS NOT NULL THEN ['buyer_premium'] ELSE [] END)")} AS risk_flags,
+  {wins('location_state', states)} AS location_state, {wins('pickup_only', has('low', ['pickup only', 'local pickup']))} AS pickup_only,
+  {wins('shipping_available', "CASE WHEN contains(low, 'shipping') THEN NOT contains(low, 'no shipping') END")} AS shipping_available
+  FROM {pages} {extra}),
+n2 AS (SELECT *, {distinct_list(f"list_concat({raw_flags}, CASE WHEN {review} THEN ['needs_manual_review'] ELSE [] END, CASE WHEN buyer_premium IS NOT NULL THEN ['buyer_premium'] ELSE [] END)")} AS risk_flags,
   {_details()} AS details FROM n1),
 norm AS (SELECT *, {completeness} AS component_completeness,
-  total_price AS current_price, total_price AS current_total_cost,
+  {wins('current_price', 'total_price')} AS current_price, {wins('current_cost', 'total_price')} AS current_total_cost,
   CASE WHEN total_price <> 0 AND quantity > 0 THEN CAST(round(CAST(CAST(total_price / quantity AS VARCHAR) AS DECIMAL(30,12)), 2) AS DOUBLE) END AS cost_per_unit,
   CASE WHEN category = 'memory' AND total_price <> 0 AND quantity > 0 AND CAST({rx('text', rules.COMPONENT_RULES['memory'][0][2])} AS DOUBLE) > 0
     THEN CAST(round(CAST(CAST(total_price / (CAST({rx('text', rules.COMPONENT_RULES['memory'][0][2])} AS DOUBLE) * quantity) AS VARCHAR) AS DECIMAL(30,12)), 4) AS DOUBLE) END AS cost_per_gb,
   CASE WHEN total_price <> 0 AND quantity <> 0 THEN 'high' WHEN total_price <> 0 THEN 'medium' ELSE 'unknown' END AS cost_confidence,
-  listing_status = 'unknown' AS needs_manual_review,
+  {review} OR listing_status IN ('unknown', 'needs_manual_review') AS needs_manual_review,
   domain || regexp_replace(regexp_replace({url_part('canonical_url', 3)}, ';[^/]*$', ''), '/+$', '') ||
     CASE WHEN {url_part('canonical_url', 4)} <> '' THEN '?' || {url_part('canonical_url', 4)} ELSE '' END AS opportunity_key,
-  CASE listing_status WHEN 'ended' THEN 'ended' WHEN 'active' THEN 'active' ELSE 'needs_verification' END AS status
+  CASE WHEN listing_status = 'sold' THEN 'sold' WHEN listing_status IN ('ended', 'removed', 'unavailable') THEN 'ended' WHEN listing_status IN ('active', 'ending_soon') THEN 'active' ELSE 'needs_verification' END AS status
   FROM n2)"""
 
 
@@ -411,10 +420,3 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("listings"), F.sum("listing_no").alias("listing_sum"))
     every = rows.sparkSession.createDataFrame([(v,) for v in lifecycle.VIEWS], "view_name string")
     return every.join(tagged, "view_name", "left").select("view_name", F.coalesce("listings", F.lit(0)).alias("listings"), "listing_sum")
-
-
-@query("hardware_scan", f"""{_UNIQUE} SELECT opportunity_key, listing_status, status, {_SCORE_COLUMNS}, needs_manual_review OR listing_status = 'needs_manual_review' AS needs_manual_review,
-  'NEW' AS change_types, {stamp_sql('observed_at')} AS observed_at FROM scored""")
-def _(spark, sf):
-    return scored_unique(spark, sf).select(
-        "opportunity_key", "listing_status", "status", *_SCORE_COLUMNS.split(", "), "needs_manual_review", joined("change_types"), stamp("observed_at"))

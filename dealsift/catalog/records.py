@@ -188,6 +188,24 @@ SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 404 WHEN event_id % 7 = 1 THEN
 FROM {events}""",
 }
 
+# the listings with the captured response of their page: every failure, every site, every kind of time signal
+RECORDS["captured_src"] = """
+SELECT s.listing_no, s.source_name, s.source_url, s.original_title, s.category, s.observed_at, s.part_no, s.supp_no, s.amount,
+  CASE WHEN s.part_no % 13 = 5 THEN NULL ELSE concat(s.original_description, CASE s.part_no % 10 WHEN 0 THEN ' Ends in 5 hours' WHEN 1 THEN ' Closing date: June 9, 2001 4:15 PM MDT' ELSE '' END) END AS original_description,
+  timestamp '2001-06-01 00:00:00' AS captured_at, (s.supp_no + s.part_no) % 12 = 3 AS timed_out,
+  CASE (s.supp_no + s.part_no) % 12 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 200 END AS http_status,
+  CASE WHEN (s.supp_no + s.part_no) % 12 = 4 THEN concat('connect error ', cast(s.listing_no AS varchar(20))) END AS error,
+  CASE (s.supp_no + s.part_no) % 12 WHEN 0 THEN NULL WHEN 1 THEN 'down' WHEN 2 THEN '<p>Robot check</p>' WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL
+    ELSE concat('<html><head><title>', CASE s.part_no % 4 WHEN 0 THEN '' ELSE concat('Detail lot ', cast(s.listing_no AS varchar(20))) END, '</title><script>',
+      CASE s.supp_no % 3 WHEN 0 THEN 'var endTime = "Auction ends: June 2, 2001 5:30 PM CDT";' WHEN 1 THEN 'tracking();' ELSE '' END, '</script></head><body><p>',
+      CASE s.part_no % 7
+        WHEN 0 THEN 'Auction #123 - Dell PowerEdge rack Pick-up Location: [ 12 Main St  Austin, TX 78701 ] # of Bids 7 Current Price: $1,250.00 Time Left: 2 d 3 h 5 m Description: rack lot local pickup View City of Austin Auctions'
+        WHEN 1 THEN 'Current Bid: $640 Closing date: 06/01/2001 11:15 PM EST Shipping options: freight'
+        WHEN 2 THEN 'Auction #77 - HP lot Auction Ended May 28, 2001 9:05 AM CST Final Price: $75 Minimum bid $10'
+        WHEN 3 THEN 'Price: $99.50 &amp; up, 4 pcs. The item sold for parts' WHEN 4 THEN 'Listing no longer available'
+        WHEN 5 THEN 'Time Left: 3 h 10 m High Bid $2,000 buyer must pickup (May 31, 2001 1:00 PM XYZ)' ELSE 'nothing about time' END, '</p></body></html>') END AS body
+FROM (""" + RECORDS["listing_src"] + ") s"
+
 
 # tables whose rows carry the text work
 _FACTS = {"lineitem", "orders", "events", "pages", "documents", "part"}

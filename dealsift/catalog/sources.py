@@ -27,18 +27,18 @@ def _decode(x: str) -> str:
     return x
 
 
-def _strip(x: str) -> str:
+def strip_sql(x: str) -> str:
     return "trim(regexp_replace(" + _decode(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
 
 
-def _drop(x: str) -> str:
+def visible_sql(x: str) -> str:
     x = f"regexp_replace({x}, '<!--.*?-->', ' ', 'gs')"
     for tag in ("script", "style", "template"):
         x = f"regexp_replace({x}, '<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'gsi')"
     return x
 
 
-@query("html_text", f"SELECT page_id, {_strip(_drop('html'))} AS text, {_strip(rx('html', '<title[^>]*>(.*?)</title>', 1, 'is'))} AS title FROM pages")
+@query("html_text", f"SELECT page_id, {strip_sql(visible_sql('html'))} AS text, {strip_sql(rx('html', '<title[^>]*>(.*?)</title>', 1, 'is'))} AS title FROM pages")
 def _(spark, sf):
     return pages.html_text(load(spark, sf, "pages")).select("page_id", "text", "title")
 
@@ -47,7 +47,7 @@ _BASE = f"lower({url_part('p.url', 1)}) || '://' || {url_part('p.url', 2)}"
 
 
 @query("html_link_scan", f"""WITH a AS (SELECT page_id, url, i, anchors[i] AS tag FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>') AS anchors FROM pages), unnest(range(1, len(anchors) + 1)) AS u(i)),
-l AS (SELECT p.page_id, i, {_strip('tag')} AS title, {_BASE} || {_decode(rx('tag', 'href="([^"]*)"'))} AS link FROM a p), k AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY i) AS rn FROM l WHERE title <> '' AND link IS NOT NULL)
+l AS (SELECT p.page_id, i, {strip_sql('tag')} AS title, {_BASE} || {_decode(rx('tag', 'href="([^"]*)"'))} AS link FROM a p), k AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY i) AS rn FROM l WHERE title <> '' AND link IS NOT NULL)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, title, link AS url, {domain_sql('link')} AS domain FROM k WHERE rn = 1""")
 def _(spark, sf):
     return pages.html_link_scan(load(spark, sf, "pages")).select("page_id", "pos", "title", "url", "domain")
@@ -160,7 +160,11 @@ def _unit(pattern: str) -> str:
 
 
 _MIN = " + ".join(f"coalesce({_unit(p)}, 0) * {m}" for p, m in rules.COUNTDOWN_UNITS)
-_SIGNALS = f"""WITH {cte('auction_text')}, x1 AS (SELECT a.*, lower(text) AS low, {_ABS} AS raw, {_CD} AS cd FROM auction_text a), x2 AS (SELECT *, nullif(regexp_extract(raw, '\\s([A-Z]{{2,4}})$', 1), '') AS zone, CASE WHEN ({_MIN}) > 0 THEN {_MIN} END AS mins FROM x1),
+
+
+def signal_ctes(source: str) -> str:
+    """CTEs x1 to ``sig``: time signals in the column ``text`` of a source with ``captured_at``."""
+    return f"""x1 AS (SELECT a.*, lower(text) AS low, {_ABS} AS raw, {_CD} AS cd FROM {source} a), x2 AS (SELECT *, nullif(regexp_extract(raw, '\\s([A-Z]{{2,4}})$', 1), '') AS zone, CASE WHEN ({_MIN}) > 0 THEN {_MIN} END AS mins FROM x1),
 x3 AS (SELECT *, raw IS NULL AND mins IS NOT NULL AS counted, CASE WHEN raw IS NOT NULL THEN {_PARSED} ELSE captured_at + INTERVAL 1 MINUTE * mins END AS end_time FROM x2),
 x4 AS (SELECT *, CASE WHEN regexp_matches(low, {q(rules.SOLD_PATTERN)}) THEN 'sold' WHEN {has('low', rules.REMOVED_TEXT)} THEN 'removed' WHEN {has('low', rules.CLOSED_TEXT)} THEN 'ended' END AS worded,
   CASE WHEN end_time IS NULL THEN 'unknown' WHEN end_time <= captured_at THEN 'ended' WHEN end_time <= captured_at + INTERVAL 24 HOUR THEN 'ending_soon' ELSE 'active' END AS timed FROM x3),
@@ -168,14 +172,20 @@ sig AS (SELECT *, CASE WHEN counted THEN timed WHEN worded IS NOT NULL THEN word
   CASE WHEN counted THEN 'countdown_estimated' WHEN worded IS NULL AND end_time IS NULL THEN 'unknown' WHEN raw IS NOT NULL THEN 'source_confirmed' END AS end_time_verification FROM x4)"""
 
 
+_SIGNALS = f"WITH {cte('auction_text')}, {signal_ctes('auction_text')}"
+
+
 def signals(spark, sf) -> DataFrame:
     return times.end_time_columns(record(spark, sf, "auction_text"), "text", "captured_at")
 
 
 @query("end_time_signals", f"""{_SIGNALS} SELECT page_id, listing_status, end_time_verification, {stamp_sql('end_time')} AS end_time_utc, raw AS end_time_raw, CASE WHEN zone IN ({', '.join(q(z) for z in rules.ZONE_OFFSET_HOURS)}) THEN zone END AS end_time_timezone_raw,
-  CASE WHEN counted THEN cd END AS countdown_raw_text FROM sig""")
+  CASE WHEN counted THEN cd END AS countdown_raw_text, CASE WHEN counted THEN cd END AS time_remaining, CASE WHEN counted THEN {stamp_sql('captured_at')} END AS countdown_captured_at, CASE WHEN counted THEN {stamp_sql('end_time')} END AS calculated_end_time,
+  CASE WHEN counted THEN 'captured_at_utc' END AS calculated_timezone, CASE WHEN counted THEN 'medium' END AS calculation_confidence FROM sig""")
 def _(spark, sf):
-    return signals(spark, sf).select("page_id", "listing_status", "end_time_verification", stamp("end_time_utc"), "end_time_raw", "end_time_timezone_raw", "countdown_raw_text")
+    return signals(spark, sf).select(
+        "page_id", "listing_status", "end_time_verification", stamp("end_time_utc"), "end_time_raw", "end_time_timezone_raw", "countdown_raw_text", "time_remaining",
+        stamp("countdown_captured_at"), stamp("calculated_end_time"), "calculated_timezone", "calculation_confidence")
 
 
 @query("finalize_status", f"""{_SIGNALS} SELECT page_id, CASE WHEN end_time IS NOT NULL AND listing_status = 'unknown' THEN timed WHEN end_time IS NULL AND listing_status = 'unknown' AND unavailable_reason IS NOT NULL THEN 'needs_manual_review'

@@ -72,6 +72,15 @@ def status_from_end(end: Column, now: Column) -> Column:
     )
 
 
+def countdown_columns(counted: Column, raw: Column, end: Column, captured: Column) -> dict[str, Column]:
+    """What is known of an end time that was counted from the capture; nulls where it was not."""
+    return {
+        "countdown_raw_text": F.when(counted, raw), "calculated_end_time": F.when(counted, end),
+        "countdown_captured_at": F.when(counted, captured), "calculated_timezone": F.when(counted, F.lit("captured_at_utc")),
+        "calculation_confidence": F.when(counted, F.lit("medium")), "time_remaining": F.when(counted, raw),
+    }
+
+
 def end_time_columns(df, text: str, captured_at: str, secondary: bool = False):
     """Add status, end time and verification columns read from a text column.
 
@@ -109,8 +118,7 @@ def end_time_columns(df, text: str, captured_at: str, secondary: bool = False):
         "end_time_raw": absolute,
         "end_time_timezone_raw": zone_name(absolute),
         "timezone_needs_verification": absolute.isNotNull() & zone_name(absolute).isNull(),
-        "countdown_raw_text": F.when(by_count, countdown),
-        "calculated_end_time": F.when(by_count, end),
+        **countdown_columns(by_count, countdown, end, captured),
     }).drop("_absolute", "_countdown", "_worded", "_by_count")
 
 

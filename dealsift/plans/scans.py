@@ -8,6 +8,7 @@ from dealsift import rules
 from dealsift.operators import classify, funnel, hardware, retail, sites, snapshot, spatial, suppliers
 from dealsift.operators.dedupe import first_wins, ranked_per_group
 from dealsift.operators.lifecycle import lifecycle_partition
+from dealsift.sources.details import with_details
 
 
 @dataclass
@@ -39,12 +40,15 @@ class HardwareScan:
         return funnel.hardware_funnel(self.classified, self.listings, runs, self.as_of)
 
 
-def hardware_scan(hits: DataFrame, as_of, order: list[str], known: DataFrame | None = None) -> HardwareScan:
-    """Classify, keep specific listings, normalise, apply time rules, keep the first per key, compare with
-    the stored snapshot and score.  Shuffles: one per key, one for the snapshot."""
+def hardware_scan(hits: DataFrame, as_of, order: list[str], known: DataFrame | None = None, responses: bool = False) -> HardwareScan:
+    """Classify, keep specific listings, read their detail pages, normalise, apply time rules, keep the first per key,
+    compare with the stored snapshot and score.  Shuffles: one per key, one for the snapshot.
+
+    With ``responses`` the hits carry the captured response of their page (see ``with_details``)."""
     classified = classify.classify_hardware_pages(hits)
+    specific = classify.specific_only(classified)
     normalized = classify.status_transition(
-        hardware.normalize_hardware(classify.specific_only(classified), as_of), as_of)
+        hardware.normalize_hardware(with_details(specific) if responses else specific, as_of), as_of)
     unique = first_wins(normalized, ["opportunity_key"], order)
     if known is None:
         unique = unique.withColumn("change_types", F.array(F.lit("NEW")))

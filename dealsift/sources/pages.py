@@ -203,45 +203,48 @@ def public_auction_detail(pages: DataFrame, page_url: str = "source_url", text:
     body = F.col(text)
     searchable = F.concat_ws(" ", body, F.col(structured)) if structured else F.concat(body, F.lit(" "))
     df = times.end_time_columns(pages.withColumn("_search", searchable), "_search", captured_at)
-    ended_raw = capture(F.col("_search"), _SURPLUS_ENDED, 1, ignore_case=False)
+    return auction_fields(df, F.lit(True), "_search", text, page_url, captured_at).drop("_search")
+
+
+def auction_fields(df: DataFrame, here: Column, search: str, text: str, page_url: str, captured_at: str) -> DataFrame:
+    """Add the fields of an auction page to the rows ``here`` names; expects the columns of ``end_time_columns``."""
+    body, captured = F.col(text), F.col(captured_at)
+    df = df.withColumn("_ended_raw", F.when(here, capture(F.col(search), _SURPLUS_ENDED, 1, ignore_case=False)))
+    ended_raw = F.col("_ended_raw")
     # a countdown beats a labelled end time, but not "Auction Ended"
-    left = F.when(ended_raw.isNull(), times.countdown_raw(F.col("_search")))
-    estimated = F.timestamp_add("MINUTE", times.countdown_minutes(left), F.col(captured_at))
+    df = df.withColumn("_left", F.when(here & ended_raw.isNull(), times.countdown_raw(F.col(search))))
+    left = F.col("_left")
+    estimated = F.timestamp_add("MINUTE", times.countdown_minutes(left), captured)
+    counted = times.countdown_columns(left.isNotNull(), left, estimated, captured)
     df = df.withColumns({
-        "end_time_utc": F.coalesce(estimated, "end_time_utc"), "calculated_end_time": F.coalesce(estimated, "calculated_end_time"),
-        "listing_status": F.when(left.isNotNull(), times.status_from_end(estimated, F.col(captured_at))).otherwise(F.col("listing_status")),
-        "end_time_verification": F.when(left.isNotNull(), F.lit("countdown_estimated")).otherwise(F.col("end_time_verification")),
-        "countdown_raw_text": F.coalesce(left, "countdown_raw_text")})
-    counting = F.col("countdown_raw_text").isNotNull()
+        "end_time_utc": F.coalesce(estimated, "end_time_utc"), **{n: F.coalesce(v, n) for n, v in counted.items()},
+        "listing_status": F.when(left.isNotNull(), times.status_from_end(estimated, captured)).otherwise(F.col("listing_status")),
+        "end_time_verification": F.when(left.isNotNull(), F.lit("countdown_estimated")).otherwise(F.col("end_time_verification"))})
     price = money_after(body, ["Current Price", "High Bid", "Final Price", "Minimum bid"])
     lower = F.lower(body)
     described = F.locate("description", lower)
     listing_id = F.coalesce(url.param(url.query(F.col(page_url)), "auc"), capture(body, _SURPLUS_TITLE, 1))
-    ended_at = times.parse_zoned(ended_raw)
-    return df.withColumns({
+    ended = ended_raw.isNotNull()
+    fields = {
         "source_listing_id": listing_id, "lot_number": listing_id,
         "title": F.trim(capture(body, _SURPLUS_TITLE, 2)),
         "description": F.when(described > 0, F.substring(body, described, F.lit(900))).otherwise(F.substring(body, 1, 900)),
         "current_price": price, "total_price": price, "bid_count": int_after(body, "# of Bids"),
-        "listing_status": F.when(counting, F.col("listing_status")).when(ended_raw.isNotNull(), F.lit("ended"))
-        .otherwise(F.col("listing_status")),
-        "end_time_utc": F.when(ended_raw.isNotNull(), F.coalesce(ended_at, F.col("end_time_utc"))).otherwise(F.col("end_time_utc")),
-        "end_time_raw": F.coalesce(ended_raw, F.col("end_time_raw")),
-        "end_time_verification": F.when(ended_raw.isNotNull(), F.lit("source_confirmed")).otherwise(F.col("end_time_verification")),
         "location_city": F.trim(capture(body, _SURPLUS_PLACE, 2)), "location_state": capture(body, _SURPLUS_PLACE, 3),
         "zip_code": capture(body, _SURPLUS_PLACE, 4),
         "pickup_only": contains_any(lower, ["buyer must pickup", "local pickup"]),
         "shipping_available": lower.contains("shipping options") & F.lower(slice_after(body, "Shipping", 400)).contains("freight"),
         "seller_name": F.coalesce(blank_to_null(between(body, "View ", " Auctions")), F.lit("Public Surplus seller")),
-    }).drop("_search")
-
-
-def generic_detail(pages: DataFrame, text: str = "text", structured: str = "structured_text", captured_at: str = "captured_at") -> DataFrame:
-    """Fields of any other listing page; expects the columns of ``html_text``."""
-    searched = pages.withColumn("_search", F.concat_ws(" ", F.col(text), F.col(structured)))
-    df = times.end_time_columns(searched, "_search", captured_at)
-    price = money_after(F.col(text), ["Current Bid", "Price", "Final Price", "Buy It Now"])
-    return df.withColumns({"current_price": price, "total_price": price}).drop("_search")
+    }
+    return df.withColumns({
+        **{n: F.when(here, v) for n, v in fields.items()},
+        "listing_status": F.when(ended & F.col("countdown_raw_text").isNull(), F.lit("ended")).otherwise(F.col("listing_status")),
+        "end_time_utc": F.coalesce(times.parse_zoned(ended_raw), F.col("end_time_utc")),
+        "end_time_raw": F.coalesce(ended_raw, F.col("end_time_raw")),
+        "end_time_timezone_raw": F.when(ended, times.zone_name(ended_raw)).otherwise(F.col("end_time_timezone_raw")),
+        "timezone_needs_verification": F.when(ended, times.zone_name(ended_raw).isNull()).otherwise(F.col("timezone_needs_verification")),
+        "end_time_verification": F.when(ended, F.lit("source_confirmed")).otherwise(F.col("end_time_verification")),
+    }).drop("_ended_raw", "_left")
 
 
 def spa_shell_detail(hits: DataFrame, site_name: str, captured_at: str = "captured_at") -> DataFrame:
