@@ -153,8 +153,8 @@ FROM {part}""",
     # requirement texts in both languages
     "request": """
 SELECT o_orderkey AS request_id,
-  concat(CASE o_orderkey % 6 WHEN 0 THEN 'TX，' WHEN 1 THEN '帮我搜索德州和乔治亚州' WHEN 2 THEN 'Find sites in Ohio or West Virginia, ' WHEN 3 THEN '29.762731, -98.720308 周边' WHEN 4 THEN 'near ZIP 78624 within ' ELSE 'Harris County IN ' END,
-    CASE o_orderkey % 6 WHEN 3 THEN concat(cast(5 + o_custkey % 30 AS varchar(20)), '英里内，') WHEN 4 THEN concat(cast(5 + o_custkey % 30 AS varchar(20)), ' miles, ') ELSE '' END,
+  concat(CASE o_orderkey % 8 WHEN 0 THEN 'TX，' WHEN 1 THEN '帮我搜索德州和乔治亚州' WHEN 2 THEN 'Find sites in Ohio or West Virginia, ' WHEN 3 THEN '29.762731, -98.720308 周边' WHEN 4 THEN 'near ZIP 78624 within ' WHEN 5 THEN 'Harris County IN ' WHEN 6 THEN 'anywhere with rail, ' ELSE 'around 78624 or 75201, ' END,
+    CASE o_orderkey % 8 WHEN 3 THEN concat(cast(5 + o_custkey % 30 AS varchar(20)), '英里内，') WHEN 4 THEN concat(cast(5 + o_custkey % 30 AS varchar(20)), ' miles, ') ELSE '' END,
     CASE o_custkey % 4 WHEN 0 THEN concat(cast(10 + o_custkey % 50 AS varchar(20)), '英亩以上的旧制造工厂或工业土地，') WHEN 1 THEN concat(cast(100 + o_custkey % 50 AS varchar(20)), '亩仓库，') WHEN 2 THEN concat(cast(20 + o_custkey % 9 AS varchar(20)), '+ acres industrial land for lease, ') ELSE concat(cast(30 + o_custkey % 9 AS varchar(20)), ',000 sqft warehouse or distribution for sale ') END,
     CASE o_orderkey % 5 WHEN 0 THEN concat('预算', cast(500 + o_custkey % 900 AS varchar(20)), '万美元以内，') WHEN 1 THEN concat('under ', cast(1 + o_custkey % 20 AS varchar(20)), ' million, ') WHEN 2 THEN concat('up to $', cast(1 + o_custkey % 9 AS varchar(20)), ',500,000 ') ELSE '' END,
     CASE o_orderkey % 3 WHEN 0 THEN concat('用于未来建设', cast(10 + o_custkey % 90 AS varchar(20)), 'MW AI数据中心。') WHEN 1 THEN 'near substation 138kV BTC' ELSE '储能' END) AS request_text

@@ -119,21 +119,21 @@ _GRID = f"WITH {_CELLS}, {_SUFFIX}, grid AS (SELECT request_id, category, source
 
 
 def _grid(spark, sf) -> DataFrame:
+    """Hardware requests."""
     k = F.col("c_custkey") % 3
     names = F.when(k == 0, F.array(F.lit("tx"), F.lit(" Nowhere "))).when(k == 1, F.array(F.lit("OH"))).otherwise(F.array().cast("array<string>"))
-    wanted = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("request_id"), names.alias("state_names"))
-    return R.hardware_grid(wanted, ["request_id"])
+    return spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("request_id"), names.alias("state_names"))
 
 
 @query("query_grid", f"{_GRID} SELECT request_id, pos, category, source_group, query FROM grid")
 def _(spark, sf):
-    return _grid(spark, sf).select("request_id", "pos", "category", "source_group", "query")
+    return R.hardware_grid(_grid(spark, sf), ["request_id"]).select("request_id", "pos", "category", "source_group", "query")
 
 
 @query("round_robin_cap", f"""{_GRID}, turns AS (SELECT *, row_number() OVER (PARTITION BY request_id, category, source_group ORDER BY pos) AS turn FROM grid),
 picked AS (SELECT *, row_number() OVER (PARTITION BY request_id, category ORDER BY turn, source_ord) AS pick FROM turns) SELECT request_id, category, query, pick FROM picked WHERE pick <= 8""")
 def _(spark, sf):
-    return R.round_robin_cap(_grid(spark, sf), ["request_id"]).select("request_id", "category", "query", "pick")
+    return R.round_robin_cap(_grid(spark, sf), R.hardware_queries(), ["request_id"], limit=8).select("request_id", "category", "query", "pick")
 
 
 def _found(spark, sf) -> DataFrame:
@@ -141,34 +141,52 @@ def _found(spark, sf) -> DataFrame:
 
 
 # SQL for the grids: built from criteria the comparison derives on its own
-_CRIT = f"""crit AS ({_CRITERIA}), c AS (SELECT request_id, string_split(states, '|') AS states, states = '' AS no_state, string_split(property_types, '|') AS types, string_split(transaction_types, '|')[1] AS deal, anchor_type, anchor_lat, anchor_zip,
-  CASE WHEN min_land_acres <> 0 THEN ' ' || CASE WHEN min_land_acres = floor(min_land_acres) THEN cast(cast(min_land_acres AS bigint) AS varchar) ELSE cast(min_land_acres AS varchar) END || '+ acres' ELSE '' END || CASE WHEN max_price_usd <> 0 THEN ' under $' || format('{{:,.0f}}', max_price_usd) ELSE '' END AS tail FROM crit),
+_LON = f"CASE WHEN {_SWAP} THEN {_A} ELSE {_B} END"
+_COUNTIES = "list_filter(list_transform(regexp_extract_all(request_text, '([A-Za-z][A-Za-z\\s.''-]+)\\s+County', 1), lambda k: trim(k)), lambda k: k <> '')"
+
+
+def _plain(column: str) -> str:
+    return f"CASE WHEN {column} = floor({column}) THEN cast(cast({column} AS bigint) AS varchar) ELSE cast({column} AS varchar) END"
+
+
+_CRIT = f"""crit AS ({_CRITERIA.replace(' FROM named', f', {_LON} AS anchor_lon, {distinct_list(_COUNTIES)} AS counties FROM named')}), c AS (SELECT request_id, string_split(states, '|') AS states, states = '' AS no_state, string_split(property_types, '|') AS types,
+  string_split(transaction_types, '|')[1] AS deal, anchor_type, anchor_lat, anchor_lon, anchor_zip, counties, CASE WHEN zip_codes = '' THEN [] ELSE string_split(zip_codes, '|') END AS zips,
+  CASE WHEN min_land_acres <> 0 THEN ' ' || {_plain('min_land_acres')} || '+ acres' ELSE '' END || CASE WHEN max_price_usd <> 0 THEN ' under $' || format('{{:,.0f}}', max_price_usd) ELSE '' END
+    || CASE WHEN anchor_type IS NOT NULL AND radius_miles <> 0 THEN ' within ' || {_plain('radius_miles')} || ' miles' ELSE '' END AS tail FROM crit),
 terms AS (SELECT *, list_concat(types, flatten(list_transform(types, lambda p: {_TERMS}))) AS raw_terms FROM c)"""
 _BASE = f"{_REQ}, {_NAMED}, {_CRIT}"
-_STD = f"""{_BASE}, tt AS (SELECT *, ({distinct_list('raw_terms')})[1:8] AS terms8 FROM terms WHERE anchor_type IS NULL AND NOT no_state),
-raw AS (SELECT request_id, s.i AS si, t.j AS tj, states[s.i] AS state, trim(terms8[t.j] || ' ' || deal || ' ' || states[s.i] || tail) AS query, 'property_market' AS source_group FROM tt, unnest(range(1, len(states) + 1)) AS s(i), unnest(range(1, len(terms8) + 1)) AS t(j)
-  UNION ALL SELECT request_id, s.i, 100 + g.k, states[s.i], g.lead || states[s.i], g.grp FROM tt, unnest(range(1, len(states) + 1)) AS s(i), (VALUES (1, 'economic development available sites ', 'economic_development'), (2, 'industrial park available buildings ', 'industrial_park'),
+_PLACE = "struct_pack(state := {}, phrase := {})"
+_NOWHERE = "cast(NULL AS varchar)"
+_STD = f"""{_BASE}, tt AS (SELECT *, {distinct_list('raw_terms')} AS all_terms FROM terms),
+pl AS (SELECT *, list_concat(CASE anchor_type WHEN 'zip_code' THEN [{_PLACE.format(_NOWHERE, "'near ZIP ' || anchor_zip")}] WHEN 'coordinates' THEN [{_PLACE.format(_NOWHERE, "'near ' || printf('%.6f', anchor_lat) || ', ' || printf('%.6f', anchor_lon)")}] ELSE [] END,
+  CASE WHEN no_state THEN [] ELSE flatten(list_transform(states, lambda s: list_concat([{_PLACE.format('s', 's')}], list_transform(counties, lambda k: {_PLACE.format('s', "CASE WHEN ends_with(lower(k), ' county') THEN k ELSE k || ' County' END || ' ' || s")})))) END) AS named_places FROM tt),
+pp AS (SELECT *, CASE WHEN len(named_places) > 0 THEN named_places WHEN len(zips) > 0 THEN list_transform(zips, lambda z: {_PLACE.format(_NOWHERE, 'z')}) ELSE [{_PLACE.format(_NOWHERE, "'United States'")}] END AS places FROM pl),
+at_place AS (SELECT request_id, s.i AS si, places[s.i].state AS state, places[s.i].phrase AS phrase, coalesce(places[s.i].state, places[s.i].phrase) AS region, all_terms, deal, tail FROM pp, unnest(range(1, len(places) + 1)) AS s(i)),
+raw AS (SELECT request_id, si, t.j AS tj, state, trim(all_terms[t.j] || ' ' || deal || ' ' || phrase || tail) AS query, 'property_market' AS source_group FROM at_place, unnest(range(1, len(all_terms) + 1)) AS t(j)
+  UNION ALL SELECT request_id, si, 1000 + g.k, state, g.lead || CASE WHEN g.k > 3 THEN region ELSE phrase END, g.grp FROM at_place, (VALUES (1, 'economic development available sites ', 'economic_development'), (2, 'industrial park available buildings ', 'industrial_park'),
     (3, 'commercial real estate industrial broker ', 'local_brokerage'), (4, 'powered land for data center ', 'utility'), (5, 'shovel-ready industrial site ', 'economic_development')) AS g(k, lead, grp)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY si, tj) AS n FROM raw), uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, lower(query) ORDER BY n) AS d FROM numbered) WHERE d = 1),
-grid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n) - 1 AS pos FROM uniq) WHERE pos < 40)"""
+grid AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n) - 1 AS pos FROM uniq)"""
 
 
 def _standard(spark, sf) -> DataFrame:
-    plain = _found(spark, sf).filter(F.col("anchor_type").isNull() & (F.size("states") > 0))
-    return R.site_grid(plain.drop("counties", "zip_codes"), ["request_id"])
+    """All requests; the radius they name is that around their anchor."""
+    found = _found(spark, sf)
+    return found.withColumn("anchor_radius_miles", F.when(F.col("anchor_type").isNotNull(), F.col("radius_miles")))
 
 
 @query("site_query_grid", f"{_STD} SELECT request_id, pos, query, source_group, state AS query_state FROM grid")
 def _(spark, sf):
-    return _standard(spark, sf).select("request_id", "pos", "query", "source_group", "query_state")
+    return R.site_grid(_standard(spark, sf), ["request_id"]).select("request_id", "pos", "query", "source_group", "query_state")
 
 
-@query("priority_pick", f"""{_STD}, first_state AS (SELECT *, min(pos) OVER (PARTITION BY request_id, state) AS so, min(pos) FILTER (source_group = 'property_market') OVER (PARTITION BY request_id, state) AS m1, min(pos) OVER (PARTITION BY request_id, state, source_group) AS g1 FROM grid),
+@query("priority_pick", f"""{_STD}, first_state AS (SELECT *, max(state) OVER (PARTITION BY request_id) AS stated, min(pos) OVER (PARTITION BY request_id, state) AS so, min(pos) FILTER (source_group = 'property_market') OVER (PARTITION BY request_id, state) AS m1, min(pos) OVER (PARTITION BY request_id, state, source_group) AS g1 FROM grid),
 second AS (SELECT *, min(pos) FILTER (source_group = 'property_market' AND contains(lower(query), 'industrial land') AND pos <> m1) OVER (PARTITION BY request_id, state) AS m2 FROM first_state),
-tiers AS (SELECT *, CASE WHEN pos = m1 THEN 1 WHEN pos = m2 THEN 2 WHEN source_group = 'economic_development' AND pos = g1 THEN 3 WHEN source_group = 'industrial_park' AND pos = g1 THEN 4 WHEN source_group = 'utility' AND pos = g1 THEN 5 WHEN source_group = 'local_brokerage' AND pos = g1 THEN 6 END AS tier FROM second),
-picked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN tier IS NULL THEN 1 ELSE 0 END, CASE WHEN tier IS NOT NULL THEN so END, tier, pos) AS pick FROM tiers) SELECT request_id, query, pick FROM picked WHERE pick <= 12""")
+tiers AS (SELECT *, CASE WHEN state IS NULL AND stated IS NOT NULL THEN NULL WHEN pos = m1 THEN 1 WHEN pos = m2 THEN 2 WHEN source_group = 'economic_development' AND pos = g1 THEN 3 WHEN source_group = 'industrial_park' AND pos = g1 THEN 4 WHEN source_group = 'utility' AND pos = g1 THEN 5 WHEN source_group = 'local_brokerage' AND pos = g1 THEN 6 END AS tier FROM second),
+picked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN tier IS NULL THEN 1 ELSE 0 END, CASE WHEN tier IS NOT NULL THEN so END, tier, pos) AS pick FROM tiers) SELECT request_id, query, pick FROM picked""")
 def _(spark, sf):
-    return R.priority_pick(_standard(spark, sf), ["request_id"]).select("request_id", "query", "pick")
+    asked_for = R.with_site_queries(_standard(spark, sf))
+    return R.priority_pick(asked_for, F.col("_queries"), ["request_id"]).select("request_id", "query", "pick")
 
 
 _REGION_PHRASES = "phrases(ro, po, region_name, phrase) AS (VALUES " + ", ".join(
@@ -185,12 +203,12 @@ grid AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n) - 1 AS
 
 
 def _state(spark, sf) -> DataFrame:
-    return R.state_grid(_found(spark, sf), ["request_id"])
+    return R.with_state_queries(_found(spark, sf))
 
 
 @query("state_query_grid", f"{_STATE} SELECT request_id, pos, query, source_group, region_name FROM grid")
 def _(spark, sf):
-    return _state(spark, sf).select("request_id", "pos", "query", "source_group", "region_name")
+    return R.state_grid(_found(spark, sf), ["request_id"]).select("request_id", "pos", "query", "source_group", "region_name")
 
 
 @query("top_n_per_group", f"""{_STATE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, region_name ORDER BY pos) AS rk FROM grid), b AS (SELECT *, row_number() OVER (PARTITION BY request_id, region_name, rk > 2 AND source_group = 'state_region_local_brokerage' ORDER BY pos) AS br FROM ranked),
@@ -198,7 +216,7 @@ tiers AS (SELECT *, CASE WHEN region_name <> 'Statewide' AND rk <= 2 THEN 1 WHEN
 picked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, CASE WHEN region_name = 'Statewide' THEN CASE WHEN source_group = 'state_utility' THEN 1 ELSE 0 END ELSE ro END, pos) AS pick FROM tiers WHERE tier IS NOT NULL)
 SELECT request_id, query, pick FROM picked WHERE pick <= 36""")
 def _(spark, sf):
-    return R.top_queries_per_region(_state(spark, sf), ["request_id"]).select("request_id", "query", "pick")
+    return R.top_queries_per_region(_state(spark, sf), F.col("_queries"), ["request_id"], limit=36).select("request_id", "query", "pick")
 
 
 _SUP_REGIONS = "regions(ro, po, region_name, phrase) AS (VALUES " + ", ".join(

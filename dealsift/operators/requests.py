@@ -3,11 +3,12 @@
 Rule tables are literal arrays inside the expressions, so tagging and grids need no join.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsift import rules
 from dealsift.functions import address, geo, labels
 from dealsift.functions.amount import number
+from dealsift.functions.fence import keep_rows
 from dealsift.functions.text import capture, contains_any, once, token_labels
 from dealsift.schemas import with_missing
 
@@ -182,12 +183,17 @@ def _first_by_text(queries: Column) -> Column:
     return once(lowered, lambda texts: F.filter(queries, lambda q, i: F.array_position(texts, F.get(texts, i)) == i + 1))
 
 
+def _filled(df: DataFrame, items: Column, keep: list[str]) -> DataFrame:
+    """Rows with a filled array ``_items``: an explode would test its input for emptiness by computing it once more."""
+    return keep_rows(df.select(*keep, items.alias("_items")), F.size("_items") > 0)
+
+
 def _explode_queries(df: DataFrame, queries: Column, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.posexplode(queries).alias("pos", "_q")).select(*keep, "pos", "_q.*")
+    return _filled(df, queries, keep).select(*keep, F.posexplode("_items").alias("pos", "_q")).select(*keep, "pos", "_q.*")
 
 
-def hardware_grid(requests: DataFrame, keep: list[str]) -> DataFrame:
-    """Category x source x two terms x state, one row per query.
+def hardware_queries(terms_each: int | None = 2) -> Column:
+    """Array of queries, category x source x term x state; all terms of a category, or the first ``terms_each``.
 
     ``state_names`` is an array of state names or codes; empty means no state.
     """
@@ -200,20 +206,56 @@ def hardware_grid(requests: DataFrame, keep: list[str]) -> DataFrame:
                  F.lit(si).alias("source_ord"),
                  F.lit(f"site:{domain} {term}" if domain else f"{term} auction surplus liquidation").alias("stem"))
         for ci, (category, terms) in enumerate(rules.CATEGORY_SEARCH_TERMS.items())
-        for si, (source, domain) in enumerate(rules.HARDWARE_SOURCES) for term in terms[:2]])
-    queries = F.flatten(F.transform(cells, lambda c: F.transform(suffixes, lambda s: F.struct(
+        for si, (source, domain) in enumerate(rules.HARDWARE_SOURCES) for term in terms[:terms_each]])
+    return F.flatten(F.transform(cells, lambda c: F.transform(suffixes, lambda s: F.struct(
         c["category"].alias("category"), c["category_ord"].alias("category_ord"),
         c["source_group"].alias("source_group"), c["source_ord"].alias("source_ord"),
         F.trim(F.concat(c["stem"], F.lit(" "), s)).alias("query")))))
-    return _explode_queries(requests, queries, keep)
 
 
-def round_robin_cap(queries: DataFrame, keys: list[str], limit: int = 8) -> DataFrame:
-    """Take queries from the sources in turn, per request and category, up to the limit."""
-    group = [*keys, "category"]
-    turn = F.row_number().over(Window.partitionBy(*group, "source_group").orderBy("pos"))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("_turn", "source_ord"))
-    return queries.withColumn("_turn", turn).withColumn("pick", place).filter(F.col("pick") <= limit).drop("_turn")
+def hardware_grid(requests: DataFrame, keep: list[str], terms_each: int | None = 2) -> DataFrame:
+    """One row per query of ``hardware_queries``."""
+    return _explode_queries(requests, hardware_queries(terms_each), keep)
+
+
+# ------------------------------------------------------------- choice inside the row
+#
+# The queries of a request are an array in its row. A choice sorts rank structs in the row and explodes what is left, so
+# it needs no shuffle and no window, and a request costs the same however many there are.
+
+def _placed(queries: Column) -> Column:
+    """Queries with their place."""
+    return F.transform(queries, lambda q, i: F.struct(i.alias("pos"), q.alias("q")))
+
+
+def _picks(ranked: Column, limit: int | None) -> Column:
+    """Sorted rank structs, cut, with their number from 1."""
+    ordered = F.array_sort(ranked)
+    if limit is not None:
+        ordered = F.slice(ordered, 1, limit)
+    return F.transform(ordered, lambda x, i: F.struct((i + 1).alias("pick"), x["pos"].alias("pos"), x["q"].alias("q")))
+
+
+def _explode_picks(df: DataFrame, picks: Column, keep: list[str]) -> DataFrame:
+    return _filled(df, picks, keep).select(*keep, F.explode("_items").alias("_p")).select(*keep, "_p.pick", "_p.pos", "_p.q.*")
+
+
+def _distinct(queries: Column, name: str) -> Column:
+    """Values of a field in the order they come up."""
+    return F.array_distinct(F.transform(queries, lambda x: x["q"][name]))
+
+
+def round_robin_cap(requests: DataFrame, queries: Column, keep: list[str], limit: int | None = None) -> DataFrame:
+    """Take queries from the sources in turn, per request and category; all of them, or up to the limit."""
+    def category(placed: Column, name: Column) -> Column:
+        mine = F.filter(placed, lambda x: x["q"]["category"] == name)
+        turns = once(mine, lambda m: F.flatten(F.transform(_distinct(m, "source_group"), lambda g: F.transform(
+            F.filter(m, lambda x: x["q"]["source_group"] == g),
+            lambda x, turn: F.struct(turn.alias("turn"), x["q"]["source_ord"].alias("ord"), x["pos"].alias("pos"), x["q"].alias("q"))))))
+        return _picks(turns, limit)
+
+    picks = once(_placed(queries), lambda p: F.flatten(F.transform(_distinct(p, "category"), lambda c: category(p, c))))
+    return _explode_picks(requests, picks, keep)
 
 
 def _county_phrase(county: Column) -> Column:
@@ -229,6 +271,10 @@ _GRID_INPUTS = {
 }
 
 
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
 def _suffix(value: Column, text: Column) -> Column:
     return F.when(F.coalesce(value, F.lit(0.0)) != 0, text).otherwise(F.lit(""))
 
@@ -242,8 +288,11 @@ def _query(text: Column, group: str | Column, state: Column, property_type: Colu
         (none if region is None else region).alias("region_name"))
 
 
-def site_grid(criteria: DataFrame, keep: list[str], limit: int = 40) -> DataFrame:
-    """Standard search queries: region phrases x terms plus five group queries per region."""
+def with_site_queries(criteria: DataFrame, limit: int | None = None, terms: int | None = None) -> DataFrame:
+    """Add ``_queries``, the standard search queries: places x terms plus five group queries per place.
+
+    All of them, or the first ``limit`` of the first ``terms`` terms.
+    """
     df = with_missing(criteria, _GRID_INPUTS)
     c, none = F.col, F.lit(None).cast("string")
     empty = F.array().cast("array<string>")
@@ -276,7 +325,7 @@ def site_grid(criteria: DataFrame, keep: list[str], limit: int = 40) -> DataFram
     places = F.when(F.size(places) > 0, places).when(F.size(by_zip) > 0, by_zip).otherwise(
         F.array(place(none, F.lit("United States"))))
     df = df.withColumns({
-        "_places": places, "_terms": F.slice(prioritized_terms(c("property_types")), 1, 8),
+        "_places": places, "_terms": _first(prioritized_terms(c("property_types")), terms),
         "_tail": F.concat(
             _suffix(c("min_land_acres"), F.concat(F.lit(" "), labels.plain_number(c("min_land_acres")), F.lit("+ acres"))),
             _suffix(c("max_price_usd"), F.concat(F.lit(" under "), labels.money(c("max_price_usd")))),
@@ -298,7 +347,12 @@ def site_grid(criteria: DataFrame, keep: list[str], limit: int = 40) -> DataFram
             _query(F.concat(F.lit("shovel-ready industrial site "), wide), "economic_development", s)))
 
     df = df.withColumn("_queries", F.flatten(F.transform(F.col("_places"), of_place)))
-    return _explode_queries(df, F.slice(_first_by_text(F.col("_queries")), 1, limit), keep)
+    return df.withColumn("_queries", _first(_first_by_text(F.col("_queries")), limit)).drop("_places", "_terms", "_tail", "_deal")
+
+
+def site_grid(criteria: DataFrame, keep: list[str], limit: int | None = None, terms: int | None = None) -> DataFrame:
+    """One row per query of ``with_site_queries``."""
+    return _explode_queries(with_site_queries(criteria, limit, terms), F.col("_queries"), keep)
 
 
 def _region_phrases(region: tuple) -> list[str]:
@@ -307,8 +361,11 @@ def _region_phrases(region: tuple) -> list[str]:
     return list(dict.fromkeys([*phrases, *extra]))[:4]
 
 
-def state_grid(criteria: DataFrame, keep: list[str]) -> DataFrame:
-    """Region queries of the states that have a search profile, then the statewide ones."""
+def with_state_queries(criteria: DataFrame) -> DataFrame:
+    """Add ``_queries``: region queries of the states that have a search profile, then the statewide ones.
+
+    Requests with an anchor or without a profile are left out.
+    """
     df = with_missing(criteria, _GRID_INPUTS)
     c = F.col
     regions = F.array(*[
@@ -340,9 +397,14 @@ def state_grid(criteria: DataFrame, keep: list[str]) -> DataFrame:
     regional = F.flatten(F.transform(F.col("_regions"), lambda r: F.flatten(
         F.transform(r["phrases"], lambda p: of_phrase(r, p)))))
     general = F.transform(statewide, lambda q: _query(
-        q["query"], q["source_group"], F.col("_regions")[0]["state"], None, F.lit("Statewide")))
+        q["query"], q["source_group"], F.get(F.col("_regions"), F.lit(0))["state"], None, F.lit("Statewide")))
     df = df.withColumn("_queries", F.concat(regional, general))
-    return _explode_queries(df, _first_by_text(F.col("_queries")), keep)
+    return df.withColumn("_queries", _first_by_text(F.col("_queries"))).drop("_terms", "_tail", "_deal", "_regions")
+
+
+def state_grid(criteria: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per query of ``with_state_queries``."""
+    return _explode_queries(with_state_queries(criteria), F.col("_queries"), keep)
 
 
 def supplier_grid(criteria: DataFrame, keep: list[str]) -> DataFrame:
@@ -370,53 +432,53 @@ def supplier_grid(criteria: DataFrame, keep: list[str]) -> DataFrame:
     return _explode_queries(df, _first_by_text(c("_queries")), keep)
 
 
-# ------------------------------------------------------------- choice of queries
+def top_queries_per_region(requests: DataFrame, queries: Column, keep: list[str], limit: int | None = None, brokers: bool = True) -> DataFrame:
+    """Two queries per region, then the statewide groups, then one brokerage per region; all of these, or up to the limit."""
+    def ranked(x: Column, tier: int, second: Column) -> Column:
+        return F.struct(F.lit(tier).alias("tier"), second.alias("second"), x["pos"].alias("pos"), x["q"].alias("q"))
 
-def _first_places(keys: list[str], column: str) -> Column:
-    return F.min("pos").over(Window.partitionBy(*keys, column))
+    def region(m: Column, at: Column) -> Column:
+        best = F.transform(F.slice(m, 1, 2), lambda x: ranked(x, 1, at))
+        if not brokers:
+            return best
+        rest = F.filter(F.slice(m, 3, F.greatest(F.size(m), F.lit(1))), lambda x: x["q"]["source_group"] == "state_region_local_brokerage")
+        return F.concat(best, F.transform(F.slice(rest, 1, 1), lambda x: ranked(x, 3, at)))
 
+    def wide(m: Column) -> Column:
+        return F.transform(m, lambda x: ranked(x, 2, F.when(x["q"]["source_group"] == "state_utility", F.lit(1)).otherwise(F.lit(0))))
 
-def top_queries_per_region(queries: DataFrame, keys: list[str], limit: int = 36, brokers: bool = True) -> DataFrame:
-    """Two queries per region, then the statewide groups, then one brokerage per region, capped."""
-    c = F.col
-    wide = c("region_name") == "Statewide"
-    in_region = F.row_number().over(Window.partitionBy(*keys, "region_name").orderBy("pos"))
-    df = queries.filter(c("region_name").isNotNull()).withColumns(
-        {"_rank": in_region, "_region": _first_places(keys, "region_name")})
-    broker = ~wide & (c("_rank") > 2) & (c("source_group") == "state_region_local_brokerage")
-    df = df.withColumn("_broker", F.when(broker, F.row_number().over(
-        Window.partitionBy(*keys, "region_name", broker).orderBy("pos"))))
-    group = F.when(c("source_group") == "state_utility", F.lit(1)).otherwise(F.lit(0))
-    tier = F.when(~wide & (c("_rank") <= 2), F.lit(1)).when(wide, F.lit(2))
-    if brokers:
-        tier = tier.when(c("_broker") == 1, F.lit(3))
-    df = df.withColumn("_tier", tier).filter(c("_tier").isNotNull())
-    order = Window.partitionBy(*keys).orderBy("_tier", F.when(wide, group).otherwise(c("_region")), "pos")
-    return df.withColumn("pick", F.row_number().over(order)).filter(c("pick") <= limit).drop(
-        "_rank", "_region", "_broker", "_tier")
-
-
-def priority_pick(queries: DataFrame, keys: list[str], limit: int = 12) -> DataFrame:
+    def chosen(placed: Column) -> Column:
+        named = F.filter(placed, lambda x: x["q"]["region_name"].isNotNull())
+        return once(named, lambda p: F.flatten(F.transform(_distinct(p, "region_name"), lambda r, at: once(
+            F.filter(p, lambda x: x["q"]["region_name"] == r), lambda m: F.when(r == "Statewide", wide(m)).otherwise(region(m, at))))))
+
+    return _explode_picks(requests, _picks(once(_placed(queries), chosen), limit), keep)
+
+
+_PRIORITY_GROUPS = ["economic_development", "industrial_park", "utility", "local_brokerage"]
+
+
+def priority_pick(requests: DataFrame, queries: Column, keep: list[str], limit: int | None = None) -> DataFrame:
     """Per state: a market query, one for industrial land, one per source group; then the rest in order."""
-    c = F.col
-    state = [*keys, "query_state"]
-    market = c("source_group") == "property_market"
-    land = market & F.lower("query").contains("industrial land")
-    df = queries.withColumns({
-        "_state": _first_places(keys, "query_state"),
-        "_market": F.min(F.when(market, c("pos"))).over(Window.partitionBy(*state)),
-        "_group": _first_places(state, "source_group"),
-    })
-    df = df.withColumn("_land", F.min(F.when(land & (c("pos") != c("_market")), c("pos"))).over(
-        Window.partitionBy(*state)))
-    stated = F.max(c("query_state").isNotNull()).over(Window.partitionBy(*keys))
-    eligible = c("query_state").isNotNull() | ~stated
-    tier = F.when(market & (c("pos") == c("_market")), F.lit(1)).when(c("pos") == c("_land"), F.lit(2))
-    for i, group in enumerate(["economic_development", "industrial_park", "utility", "local_brokerage"]):
-        tier = tier.when((c("source_group") == group) & (c("pos") == c("_group")), F.lit(3 + i))
-    df = df.withColumn("_tier", F.when(eligible, tier))
-    order = Window.partitionBy(*keys).orderBy(
-        F.when(c("_tier").isNull(), F.lit(1)).otherwise(F.lit(0)),
-        F.when(c("_tier").isNotNull(), c("_state")), "_tier", "pos")
-    return df.withColumn("pick", F.row_number().over(order)).filter(c("pick") <= limit).drop(
-        "_state", "_market", "_group", "_land", "_tier")
+    def ranked(x: Column, rest: int, state: Column, tier: int) -> Column:
+        return F.struct(F.lit(rest).alias("rest"), state.alias("state"), F.lit(tier).alias("tier"), x["pos"].alias("pos"), x["q"].alias("q"))
+
+    def state(m: Column, at: Column) -> Column:
+        def first(items: Column, tier: int) -> Column:
+            return F.transform(F.slice(items, 1, 1), lambda x: ranked(x, 0, at, tier))
+
+        market = F.filter(m, lambda x: x["q"]["source_group"] == "property_market")
+        land = F.filter(F.slice(market, 2, F.greatest(F.size(market), F.lit(1))), lambda x: F.lower(x["q"]["query"]).contains("industrial land"))
+        def of_group(name: str) -> Column:
+            return F.filter(m, lambda x: x["q"]["source_group"] == name)
+
+        return F.concat(first(market, 1), first(land, 2), *[first(of_group(g), 3 + i) for i, g in enumerate(_PRIORITY_GROUPS)])
+
+    def ordered(placed: Column) -> Column:
+        stated = F.exists(placed, lambda x: x["q"]["query_state"].isNotNull())
+        picked = F.flatten(F.transform(_distinct(placed, "query_state"), lambda s, at: once(
+            F.filter(placed, lambda x: x["q"]["query_state"].eqNullSafe(s) & (s.isNotNull() | ~stated)), lambda m: state(m, at))))
+        return once(picked, lambda p: F.concat(p, F.transform(
+            F.filter(placed, lambda x: ~F.array_contains(F.transform(p, lambda y: y["pos"]), x["pos"])), lambda x: ranked(x, 1, F.lit(0), 0))))
+
+    return _explode_picks(requests, _picks(once(_placed(queries), ordered), limit), keep)
