@@ -173,10 +173,23 @@ def test_decontamination_is_brute_force(spark):
         for _ in range(pick.randrange(0, 4)):
             w[pick.randrange(len(w))] = f"edit{k}"
         docs.append((100 + k, prose(600 + k, 60) + " " + " ".join(w) + " " + prose(700 + k, 30)))
+    for k in range(40):  # insertions, deletions and moved parts
+        w = items[k % 12][1].split()
+        at = pick.randrange(len(w))
+        if k % 4 == 0:
+            w[at:at] = [f"new{k}_{j}" for j in range(pick.randrange(1, 5))]
+        elif k % 4 == 1:
+            del w[at:at + pick.randrange(1, 4)]
+        elif k % 4 == 2:
+            w = w[at:] + w[:at]
+        else:
+            w[:2], w[at:at] = [f"cut{k}"], [f"in{k}", f"more{k}"]
+        docs.append((400 + k, prose(1600 + k, 30) + " " + " ".join(w) + " " + prose(1700 + k, 30)))
     docs += [(200 + k, prose(800 + k, 100)) for k in range(10)] + [(300, prose(9, 20_000, 5000) + " " + items[5][1])]
     expected = set()
     for i, text in docs:
-        sh = [tuple(words(text.lower())[s:s + 5]) for s in range(len(words(text)) - 4)] if text else []
+        theirs = words((text or "").lower())
+        sh = [tuple(theirs[s:s + 5]) for s in range(len(theirs) - 4)]
         for k, item in items:
             own = words((item or "").lower())
             mine = Counter(tuple(own[s:s + 5]) for s in range(len(own) - 4))
@@ -187,7 +200,7 @@ def test_decontamination_is_brute_force(spark):
     table, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(table, bench).collect()}
     assert got == expected and len(expected) > 10
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find(table, bench, broadcast_rows=50).collect()} == expected
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(table, bench, broadcast_bytes=20_000).collect()} == expected
     left = decontaminate.remove(table, bench)
     assert left.columns == table.columns
     assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in expected}
@@ -199,7 +212,18 @@ def test_decontamination_judges_each_row_by_its_text(spark):
     item = prose(950, 30)
     rows = [(None, prose(951, 40) + " " + item), (None, prose(952, 60)), (None, None), (None, ""), (5, item), (5, prose(953, 60)), (5, None), (6, prose(954, 60)), (6, prose(954, 60))]
     bench = spark.createDataFrame([(1, item), (2, prose(955, 25))], "item_id long, text string")
-    for rows_at_once in (decontaminate.BROADCAST_ROWS, 30):
-        left = decontaminate.remove(frame(spark, rows), bench, broadcast_rows=rows_at_once)
+    for at_once in (decontaminate.BROADCAST_BYTES, 5000):
+        left = decontaminate.remove(frame(spark, rows), bench, broadcast_bytes=at_once)
         assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(rows[1:4] + rows[5:])
     assert {r.doc_id for r in decontaminate.find(frame(spark, rows), bench).collect()} == {None, 5}
+
+
+def test_decontamination_looks_between_placements(spark):
+    item = [f"i{k}" for k in range(104)]
+    copy = ["a", "b", "c", *item[3:52], *[f"new{k}" for k in range(10)], *item[52:101], "x", "y", "z"]
+    docs = frame(spark, [(1, prose(960, 30) + " " + " ".join(copy) + " " + prose(961, 30)), (2, prose(962, 200))])
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = decontaminate.find(docs, bench).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 7)] and found[0].similarity > 0.75
+    extra = docs.withColumns({"__row": docs.rep, "__id": docs.rep, "__hash": docs.key, "id": docs.rep, "m": docs.key, "starts": docs.key})
+    assert [r.doc_id for r in decontaminate.remove(extra, bench).collect()] == [2]
