@@ -138,7 +138,7 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")") if self.vocab.special else None
         self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         self.signs = {s: b for b, s in tokens.byte_signs().items()}
-        self.units, self.words = tokens.Memory(), tokens.Memory(tokens.KNOWN_BYTES // 2)
+        self.units, self.words = tokens.Memory(tokens.KNOWN_BYTES // 2), tokens.Memory(tokens.KNOWN_BYTES // 4)
 
     def _pieces(self, text: str) -> list[str]:
         """Pre-tokens; characters whose class is not certain go to the library's own splitter."""

@@ -22,7 +22,7 @@ import regex
 from dealsift.llm import textkit as T
 
 #: What a worker remembers: units of at most so many characters, up to so many bytes in all.
-SHORT, KNOWN_BYTES = 64, 64 << 20
+SHORT, KNOWN_BYTES = 64, 128 << 20
 #: About what one entry costs beside its characters and ids: two objects and their place in the dictionary.
 ENTRY_BYTES = 190
 
