@@ -392,12 +392,12 @@ _SORTS = {"price": "coalesce(current_total_cost, -1) DESC", "risk": "risk_score
 
 
 @query("view_sort", f"{SPEC}, {score_sql()} " + " UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{name}' AS sort_name, {KEYS_SQL}, amount FROM scored ORDER BY {order}, {TRAIL})" for name, order in _SORTS.items()))
+    f"SELECT '{name}' AS sort_name, {KEYS_SQL}, amount, row_number() OVER (ORDER BY {order}, {TRAIL}) AS position FROM scored" for name, order in _SORTS.items()))
 def _(spark, sf):
-    scored = hardware.score_hardware(normalized(spark, sf, "spec_src"))
+    scored = hardware.score_hardware(normalized(spark, sf, "spec_src")).select(*ORDER, "current_total_cost", "total_price", "risk_score", "opportunity_score")
     out = None
     for name in _SORTS:
-        part = lifecycle.view_sort(scored, name, *ORDER).select(F.lit(name).alias("sort_name"), *KEYS, "amount")
+        part = lifecycle.view_sort(scored, name, *ORDER, position="position").select(F.lit(name).alias("sort_name"), *KEYS, "amount", "position")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -191,7 +191,7 @@ FROM {events}""",
 # the listings with the captured response of their page: every failure, every site, every kind of time signal
 RECORDS["captured_src"] = """
 SELECT s.listing_no, s.source_name, s.source_url, s.original_title, s.category, s.observed_at, s.part_no, s.supp_no, s.amount,
-  CASE WHEN s.part_no % 13 = 5 THEN NULL ELSE concat(s.original_description, CASE s.part_no % 10 WHEN 0 THEN ' Ends in 5 hours' WHEN 1 THEN ' Closing date: June 9, 2001 4:15 PM MDT' ELSE '' END) END AS original_description,
+  CASE WHEN s.part_no % 13 = 5 THEN NULL ELSE concat(s.original_description, CASE s.part_no % 10 WHEN 0 THEN ' Ends in 5 h' WHEN 1 THEN ' Closing date: June 9, 2001 4:15 PM MDT' ELSE '' END) END AS original_description,
   timestamp '2001-06-01 00:00:00' AS captured_at, (s.supp_no + s.part_no) % 12 = 3 AS timed_out,
   CASE (s.supp_no + s.part_no) % 12 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 200 END AS http_status,
   CASE WHEN (s.supp_no + s.part_no) % 12 = 4 THEN concat('connect error ', cast(s.listing_no AS varchar(20))) END AS error,

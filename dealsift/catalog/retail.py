@@ -49,6 +49,7 @@ def _(spark, sf):
 
 
 @query("source_order", f"""{_SRC}, p AS (SELECT *, CASE source_key WHEN 'newegg' THEN 0 WHEN 'best_buy' THEN 1 WHEN 'micro_center' THEN 2 WHEN 'cdw' THEN 3 WHEN 'provantage' THEN 4 ELSE 99 END AS source_priority FROM retail_result)
-SELECT result_id, source_key, source_priority FROM p""")
+SELECT result_id, source_key, source_priority, row_number() OVER (ORDER BY source_priority, result_id) AS position FROM p""")
 def _(spark, sf):
-    return retail.source_order(results(spark, sf), "source_key", "result_id").select("result_id", "source_key", "source_priority")
+    known = results(spark, sf).select("result_id", "source_key")
+    return retail.source_order(known, "source_key", "result_id", position="position").select("result_id", "source_key", "source_priority", "position")

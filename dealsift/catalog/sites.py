@@ -224,10 +224,10 @@ def _(spark, sf):
     return sites.score_site(normal(spark, sf)).select("hit_no", "preliminary_score", "preliminary_grade", joined("score_reasons"))
 
 
-@query("rank_generic", f"{CLASSED}, {_score_sql('classed')} SELECT hit_no, preliminary_score FROM scored")
+@query("rank_generic", f"{CLASSED}, {_score_sql('classed')} SELECT hit_no, preliminary_score, row_number() OVER (ORDER BY preliminary_score DESC, fetched_at, hit_no) AS position FROM scored")
 def _(spark, sf):
-    ranked = retail.rank_by_score(sites.score_site(normal(spark, sf)), "preliminary_score", *ORDER)
-    return ranked.select("hit_no", "preliminary_score")
+    scored = sites.score_site(normal(spark, sf)).select("preliminary_score", *ORDER)
+    return retail.rank_by_score(scored, "preliminary_score", *ORDER, position="position").select("hit_no", "preliminary_score", "position")
 
 
 @query("site_view", f"{NORM} SELECT hit_no, city FROM norm WHERE contains(lower(coalesce(state, '')), 'tex') AND contains(lower(coalesce(city, '')), 'abilene') AND contains(lower(coalesce(property_type, '')), 'house') AND (land_acres IS NULL OR land_acres >= 20) AND (asking_price_usd IS NULL OR asking_price_usd <= 6000000)")
@@ -236,10 +236,10 @@ def _(spark, sf):
 
 
 @query("listing_priority", f"""{NORM}, p AS (SELECT *, {num(rx('text', rules.FULL_PRICE_PATTERN))} AS price FROM norm)
-SELECT hit_no FROM p ORDER BY CASE WHEN price > 10000000 THEN 1 ELSE 0 END, coalesce(price, 10000000), coalesce(-land_acres, 0), hit_no""")
+SELECT hit_no, row_number() OVER (ORDER BY CASE WHEN price > 10000000 THEN 1 ELSE 0 END, coalesce(price, 10000000), coalesce(-land_acres, 0), hit_no) AS position FROM p""")
 def _(spark, sf):
     links = hits(spark, sf).withColumns({"title": F.col("original_title"), "summary": F.col("original_description")})
-    return sites.listing_priority(links, "hit_no").select("hit_no")
+    return sites.listing_priority(links.select("hit_no", "title", "summary"), "hit_no", position="position").select("hit_no", "position")
 
 
 _TOP = f"""{JUDGED}, {_score_sql("(SELECT * FROM judged WHERE disposition = 'final')")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY preliminary_score DESC, fetched_at, hit_no) AS rank FROM scored)"""

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from dealsift.catalog import history as V
 from dealsift.catalog.hardware import ORDER
 from dealsift.catalog.records import cte, record
-from dealsift.catalog.registry import joined_sql, query, stamp, stamp_sql
+from dealsift.catalog.registry import joined, joined_sql, query, stamp, stamp_sql
 from dealsift.operators.snapshot import price_delta
 from dealsift.session import STATE_STORE, shared_folder
 from dealsift.sources.tables import read_snapshot
@@ -30,25 +30,28 @@ def _stateful(spark) -> None:
 
 @query("stream_change_detection", f"{V._LAG} SELECT opportunity_key, event_id, total_price_usd, listing_status, {joined_sql(V._KINDS)} AS change_types FROM seen WHERE len({V._KINDS}) > 0")
 def _(spark, sf):
-    _stateful(spark)
-    found = changes.stream_change_detection(_source(spark, sf))
-    return flows.run_to_table(spark, found, "changes").select("opportunity_key", "event_id", "total_price_usd", "listing_status", "change_types")
+    folder = shared_folder(spark, "change-stream")
+    flows.run_batches(spark, _source(spark, sf), changes.stream_change_detection(f"{folder}/state", f"{folder}/changes"), folder)
+    found = spark.read.parquet(f"{folder}/changes")
+    return found.select("opportunity_key", "event_id", "total_price_usd", "listing_status", joined("change_types"))
 
 
-_AGED = f"""{V._OBS}, latest AS (SELECT *, CASE WHEN event_id % 4 < 2 THEN observed_at + INTERVAL 1 HOUR * cast(event_id % 100 AS int) END AS end_time FROM (SELECT *, row_number() OVER (PARTITION BY opportunity_key ORDER BY observed_at DESC, event_id DESC) AS rn FROM observation) WHERE rn = 1),
-moves AS (SELECT opportunity_key, end_time - INTERVAL 24 HOUR AS moved, 'ending_soon' AS listing_status FROM latest WHERE end_time IS NOT NULL UNION ALL SELECT opportunity_key, end_time, 'ended' FROM latest WHERE end_time IS NOT NULL
-  UNION ALL SELECT opportunity_key, observed_at + INTERVAL 48 HOUR, 'needs_manual_review' FROM latest WHERE end_time IS NULL AND event_id % 3 = 0)
-SELECT opportunity_key, {stamp_sql('moved')} AS moved_at, listing_status FROM moves WHERE moved <= (SELECT max(observed_at) - INTERVAL 1 HOUR FROM observation)"""
+_AGED = f"""{V._OBS}, kept AS (SELECT opportunity_key, observed_at, lead(observed_at) OVER (PARTITION BY opportunity_key ORDER BY observed_at, event_id) AS until, event_id % 3 = 0 AS unknown,
+  CASE WHEN event_id % 4 < 2 THEN observed_at + INTERVAL 1 HOUR * cast(event_id % 100 AS int) END AS end_time FROM observation),
+moves AS (SELECT opportunity_key, observed_at, until, end_time - INTERVAL 24 HOUR AS moved, 'ending_soon' AS listing_status FROM kept WHERE end_time IS NOT NULL UNION ALL SELECT opportunity_key, observed_at, until, end_time, 'ended' FROM kept WHERE end_time IS NOT NULL
+  UNION ALL SELECT opportunity_key, observed_at, until, observed_at + INTERVAL 48 HOUR, 'needs_manual_review' FROM kept WHERE end_time IS NULL AND unknown)
+SELECT opportunity_key, {stamp_sql('moved')} AS moved_at, listing_status FROM moves WHERE greatest(moved, observed_at) <= (SELECT max(observed_at) - INTERVAL 1 HOUR FROM observation) AND (until IS NULL OR greatest(moved, observed_at) < until)"""
 
 
 @query("stream_status_aging", _AGED)
 def _(spark, sf):
-    _stateful(spark)
     c = F.col
     aging = _source(spark, sf).withColumns({
         "end_time_utc": F.when(c("event_id") % 4 < 2, F.timestamp_add("HOUR", (c("event_id") % 100).cast("int"), c("observed_at"))),
         "listing_status": F.when(c("event_id") % 3 == 0, F.lit("unknown")).otherwise(F.lit("active"))})
-    return flows.run_to_table(spark, changes.stream_status_aging(aging), "aging").select("opportunity_key", stamp("moved_at"), "listing_status")
+    folder = shared_folder(spark, "aging-stream")
+    flows.run_batches(spark, aging, changes.stream_status_aging(f"{folder}/state", f"{folder}/moves"), folder)
+    return spark.read.parquet(f"{folder}/moves").select("opportunity_key", stamp("moved_at"), "listing_status")
 
 
 @query("stream_dedupe", "SELECT count(*) AS keys FROM (SELECT DISTINCT user_id, event_type FROM events)")
@@ -85,7 +88,7 @@ alerts AS (SELECT *, 'price_drop' AS alert_type FROM priced WHERE amount < befor
 SELECT search_id, listing_no, alert_type FROM alerts JOIN searches ON list_has_all(string_split_regex(lower(original_title), '[^\\p{{L}}\\p{{N}}]+'), string_split_regex(lower(query), '[^\\p{{L}}\\p{{N}}]+')) AND (mode <> 1 OR source_name = 'eBay')""")
 def _(spark, sf):
     listed = record(spark, sf, "listing_src")
-    moved = price_delta(listed, "amount", "source_url", "observed_at", tuple(ORDER[1:]), bucket="year").withColumns({
+    moved = price_delta(listed, "amount", "source_url", "observed_at", tuple(ORDER[1:]), bucket="month").withColumns({
         "title": F.col("original_title"), "back_in_stock": F.col("listing_no") % 10 == 0})
     searches = spark.sql(_SEARCHES, nation=spark.read.parquet(f"{sf}/nation.parquet")).withColumn(
         "sources", F.when(F.col("mode") == 1, F.array(F.lit("eBay"))).otherwise(F.array().cast("array<string>")))

@@ -6,6 +6,7 @@ from dealsift import rules
 from dealsift.functions import times
 from dealsift.functions.fence import keep_rows
 from dealsift.functions.text import strings
+from dealsift.operators.positions import ordered
 
 
 def _age(as_of) -> Column:
@@ -83,7 +84,7 @@ def opportunity_view(listings: DataFrame, view: str) -> DataFrame:
     return listings.filter(in_view(view))
 
 
-def view_sort(listings: DataFrame, by: str, *order: str) -> DataFrame:
+def view_sort(listings: DataFrame, by: str, *order: str, position: str | None = None) -> DataFrame:
     """Order of a listing view; missing prices sort as -1, missing end times last."""
     c = F.col
     first = {
@@ -92,7 +93,7 @@ def view_sort(listings: DataFrame, by: str, *order: str) -> DataFrame:
         "auction": F.asc_nulls_last("end_time_utc"),
         "risk": F.desc("risk_score"),
     }.get(by, F.desc("opportunity_score"))
-    return listings.orderBy(first, *[F.asc(o) for o in order])
+    return ordered(listings, [first, *[F.asc(o) for o in order]], position)
 
 
 def site_view(sites: DataFrame, state: str = "", place: str = "", property_type: str = "", min_acres=None,

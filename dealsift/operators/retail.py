@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dealsift import rules
 from dealsift.functions import amount
 from dealsift.functions.text import contains_any
+from dealsift.operators.positions import ordered
 
 
 def mode_radius_filter(results: DataFrame, mode: str = "all", radius: float | None = None) -> DataFrame:
@@ -68,15 +69,15 @@ def score_retail(results: DataFrame, job: str = "job_id", strict: bool = False)
     return scaled.withColumn("recommendation_score", F.round(score, 2)).drop("price_score")
 
 
-def rank_by_score(scored: DataFrame, score: str, *order: str) -> DataFrame:
-    return scored.orderBy(F.desc(score), *[F.asc(o) for o in order])
+def rank_by_score(scored: DataFrame, score: str, *order: str, position: str | None = None) -> DataFrame:
+    return ordered(scored, [F.desc(score), *[F.asc(o) for o in order]], position)
 
 
-def source_order(df: DataFrame, source: str = "source_key", *order: str) -> DataFrame:
+def source_order(df: DataFrame, source: str = "source_key", *order: str, position: str | None = None) -> DataFrame:
     """Rows of known sources first, in the fixed source order; unknown sources count 99."""
     table = F.create_map(*[F.lit(x) for pair in rules.RETAIL_SOURCE_PRIORITY for x in pair])
-    return df.withColumn("source_priority", F.coalesce(F.try_element_at(table, F.col(source)), F.lit(99))).orderBy(
-        "source_priority", *order)
+    known = df.withColumn("source_priority", F.coalesce(F.try_element_at(table, F.col(source)), F.lit(99)))
+    return ordered(known, [F.col(o) for o in ("source_priority", *order)], position)
 
 
 def normalize_retail(cards: DataFrame, source_name: str) -> DataFrame:

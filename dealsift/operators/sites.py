@@ -8,6 +8,7 @@ from dealsift.functions.fence import keep_rows
 from dealsift.functions.text import contains_any, strings, text_of
 from dealsift.operators.classify import site_quality_flags, site_result
 from dealsift.operators.dedupe import mark_first
+from dealsift.operators.positions import ordered
 from dealsift.schemas import SITE_HIT_EXTRAS, with_missing
 
 
@@ -198,7 +199,7 @@ def score_site(listings: DataFrame) -> DataFrame:
     })
 
 
-def listing_priority(df: DataFrame, *order: str, budget: float = 10_000_000.0) -> DataFrame:
+def listing_priority(df: DataFrame, *order: str, budget: float = 10_000_000.0, position: str | None = None) -> DataFrame:
     """Links of a listing page: over-budget ones last, then cheap before dear, then large before small."""
     text = text_of(F.col("title"), F.col("summary"))
     price = amount.number(F.regexp_extract(text, rules.FULL_PRICE_PATTERN, 1))
@@ -208,7 +209,7 @@ def listing_priority(df: DataFrame, *order: str, budget: float = 10_000_000.0) -
         "price_sort": F.coalesce(price, F.lit(budget)),
         "acres_sort": F.coalesce(-acres, F.lit(0.0)),
     })
-    return keyed.orderBy("over_budget", "price_sort", "acres_sort", *order)
+    return ordered(keyed, [F.col(o) for o in ("over_budget", "price_sort", "acres_sort", *order)], position)
 
 
 def utility_candidate(sites: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def change_types(previous: Column, pairs: dict[str, list[tuple[Column, Column]]]
     return strings(F.when(previous.isNull(), F.lit("NEW")), *kinds)
 
 
-_CHANGES = {
+CHANGES = {
     "PRICE_CHANGED": ["total_price", "unit_price", "total_price_usd"],
     "QUANTITY_CHANGED": ["quantity"],
     "STATUS_CHANGED": ["status", "listing_status"],
@@ -51,13 +51,13 @@ _CHANGES = {
 
 
 def _compared(columns) -> list[str]:
-    return [c for names in _CHANGES.values() for c in names if c in columns]
+    return [c for names in CHANGES.values() for c in names if c in columns]
 
 
 def _pairs(columns, before: str) -> dict:
     return {
         kind: [(F.col(c), F.col(f"{before}.{c}")) for c in names if c in columns]
-        for kind, names in _CHANGES.items()
+        for kind, names in CHANGES.items()
     }
 
 

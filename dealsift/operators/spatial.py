@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dealsift import rules
 from dealsift.functions import geo
 from dealsift.operators.dedupe import salted_join
+from dealsift.operators.positions import ordered
 
 # distances are compared after rounding to 3 decimals, so the grid reaches a little further
 _SLACK_MILES = 0.001
@@ -151,9 +152,9 @@ def site_assets(pairs: DataFrame, site_id: str = "site_id", asset_id: str = "ass
     return distance_sort(pairs, site_id, "distance_miles", asset_id)
 
 
-def distance_sort(df: DataFrame, *columns: str) -> DataFrame:
+def distance_sort(df: DataFrame, *columns: str, position: str | None = None) -> DataFrame:
     """Ascending order with missing distances last."""
-    return df.orderBy(*[F.asc_nulls_last(c) for c in columns])
+    return ordered(df, [F.asc_nulls_last(c) for c in columns], position)
 
 
 def anchor_distance(sites: DataFrame, anchors: DataFrame, job: str = "job_id") -> DataFrame:

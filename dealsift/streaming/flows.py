@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dealsift import rules
 from dealsift.operators.dedupe import latest_per_key
@@ -61,18 +61,38 @@ def stream_upsert(snapshot_root: str, history_root: str, overwrite: list[str],
     return handle
 
 
-def match_saved_searches(rows: DataFrame, searches: DataFrame, text: str = "title") -> DataFrame:
+_NO_WORD = r"[^\p{L}\p{N}]+"
+
+
+def _words(text: str) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), _NO_WORD), lambda w: w != ""))
+
+
+def word_counts(rows: DataFrame, searches: DataFrame, text: str = "title") -> DataFrame:
+    """In how many rows each word of the searches occurs: the document frequencies of an inverted index."""
+    asked = searches.select(F.explode(_words("query")).alias("word")).distinct()
+    said = rows.select(F.explode(_words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(said, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def match_saved_searches(rows: DataFrame, searches: DataFrame, text: str = "title", counts: DataFrame | None = None) -> DataFrame:
     """Pairs of listing and standing search whose words all occur in the listing.
 
-    ``searches`` has search_id, query and sources (empty for all).  Each search joins on its
-    longest word only, an equi join; the other words are checked afterwards.
+    ``searches`` has search_id, query and sources (empty for all).  Each search joins on one word only, an equi join; the
+    other words are checked afterwards.  That word is the rarest by ``counts``, which are taken from the rows unless they
+    are a stream; without counts it is the longest.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    asked = F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    standing = searches.withColumn("_tokens", asked).filter(F.size("_tokens") > 0)
-    longest = F.array_max(F.transform("_tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("w"))))["w"]
-    standing = standing.withColumn("_word", longest)
-    spoken = rows.withColumn("_words", words).withColumn("_word", F.explode("_words"))
+    standing = searches.withColumn("_tokens", _words("query")).filter(F.size("_tokens") > 0)
+    if counts is None and not rows.isStreaming:
+        counts = word_counts(rows, searches, text)
+    if counts is None:
+        word = F.array_max(F.transform("_tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("w"))))["w"]
+        standing = standing.withColumn("_word", word)
+    else:
+        named = standing.select("search_id", F.explode("_tokens").alias("word")).join(counts, "word", "left")
+        rarest = named.groupBy("search_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("_word"))
+        standing = standing.join(rarest, "search_id")
+    spoken = rows.withColumn("_words", _words(text)).withColumn("_word", F.explode("_words"))
     pairs = spoken.join(standing, "_word")
     sourced = (F.size("sources") == 0) | F.array_contains("sources", F.col("source_name"))
     return pairs.filter((F.size(F.array_except("_tokens", "_words")) == 0) & sourced).drop("_words", "_word", "_tokens")
