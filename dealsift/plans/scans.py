@@ -8,7 +8,9 @@ from dealsift import rules
 from dealsift.operators import classify, funnel, hardware, retail, sites, snapshot, spatial, suppliers
 from dealsift.operators.dedupe import first_wins, ranked_per_group
 from dealsift.operators.lifecycle import lifecycle_partition
+from dealsift.session import shared_folder
 from dealsift.sources.details import with_details
+from dealsift.sources.tables import read_snapshot, write_snapshot
 
 
 @dataclass
@@ -44,12 +46,17 @@ def hardware_scan(hits: DataFrame, as_of, order: list[str], known: DataFrame | N
     """Classify, keep specific listings, read their detail pages, normalise, apply time rules, keep the first per key,
     compare with the stored snapshot and score.  Shuffles: one per key, one for the snapshot.
 
-    With ``responses`` the hits carry the captured response of their page (see ``with_details``)."""
+    With ``responses`` the hits carry the captured response of their page (see ``with_details``); the unique listings
+    are then written once to the shared folder, so pages are parsed once however many frames of the scan are used."""
     classified = classify.classify_hardware_pages(hits)
     specific = classify.specific_only(classified)
     normalized = classify.status_transition(
         hardware.normalize_hardware(with_details(specific) if responses else specific, as_of), as_of)
     unique = first_wins(normalized, ["opportunity_key"], order)
+    if responses:
+        folder = shared_folder(hits.sparkSession, "scan")
+        write_snapshot(unique, folder, 0)
+        unique = read_snapshot(hits.sparkSession, folder)
     if known is None:
         unique = unique.withColumn("change_types", F.array(F.lit("NEW")))
     else:
