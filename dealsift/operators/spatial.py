@@ -28,10 +28,11 @@ def with_cell(points: DataFrame, radius: float) -> DataFrame:
         "_row": F.floor(F.col("lat") / size), "_col": F.floor(F.col("lon") / size)})
 
 
-def _covering_cells(south: Column, north: Column, west: Column, east: Column, radius: float) -> Column:
-    """Cells of a box widened by the radius, also across the date line."""
-    size = F.lit(_cell_degrees(radius))
-    low, high = south - size, north + size
+def _covering_cells(south: Column, north: Column, west: Column, east: Column, radius: float, side: float | None = None) -> Column:
+    """Cells of a box widened by the radius, also across the date line; their side is the radius unless given."""
+    size = F.lit(_cell_degrees(radius) if side is None else side)
+    widened = F.lit(_cell_degrees(radius))
+    low, high = south - widened, north + widened
     polar = F.least(F.lit(89.9), F.greatest(F.abs(low), F.abs(high)))
     reach = F.lit(_cell_degrees(radius) * 1.01) / F.cos(F.radians(polar))
     left, right = west - reach, east + reach
@@ -175,29 +176,100 @@ def anchor_distance(sites: DataFrame, anchors: DataFrame, job: str = "job_id") -
     }).drop("_a_lat", "_a_lon", "_a_radius")
 
 
+_READING = ["source_name", "asset_type", "lat", "lon", "voltage_kv", "owner"]
+
+
+def _close_cell(tolerance: float) -> float:
+    """Side in degrees of a cell so small that any two points in it lie within the tolerance."""
+    return 0.7 * tolerance / rules.MILES_PER_DEGREE_LAT
+
+
+def _extremes(df: DataFrame, *keys: str) -> DataFrame:
+    names = ["voltage_kv", "owner", "source_name"]
+    have = {f"{end}_{n}": f"{end}_{n}" if f"{end}_{n}" in df.columns else n for n in names for end in ("least", "most")}
+    return df.groupBy(*keys).agg(*[
+        (F.min if name.startswith("least") else F.max)(source).alias(name) for name, source in have.items()])
+
+
+def _cell_verdict(readings: DataFrame) -> DataFrame:
+    """Readings with what their own cell says: whether another source is there, and whether one of those differs.
+
+    A cell is summed up per source by its extremes. Of all sources but one, the extremes are the first or the second best of
+    the cell, so a reading meets a fixed number of values, however many readings the cell has.
+    """
+    cell = ["asset_type", "_row", "_col"]
+    per_source = _extremes(readings.withColumn("_source", F.col("source_name")), *cell, "_source")
+
+    def best_two(name: str, end: str) -> Column:
+        ranked = F.array_sort(F.collect_list(F.when(F.col(f"{end}_{name}").isNotNull(), F.struct(f"{end}_{name}", "_source"))))
+        return F.slice(ranked, 1, 2) if end == "least" else F.slice(F.reverse(ranked), 1, 2)
+
+    names = [(n, e) for n in ("voltage_kv", "owner") for e in ("least", "most")]
+    summary = per_source.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("_sources"), *[best_two(n, e).alias(f"_{e}_{n}") for n, e in names])
+    joined = readings.join(summary, cell, "left")
+
+    def differs(name: str, end: str) -> Column:
+        # of two entries at most one is of the reading's own source
+        others = F.filter(F.col(f"_{end}_{name}"), lambda x: x["_source"] != F.col("source_name"))
+        return F.coalesce(F.get(others, F.lit(0))[f"{end}_{name}"] != F.col(name), F.lit(False))
+
+    return joined.withColumns({
+        "_met": F.coalesce(F.col("_sources") > 1, F.lit(False)),
+        "_contradicted": reduce(Column.__or__, [differs(n, e) for n, e in names]),
+    }).drop("_sources", *[f"_{e}_{n}" for n, e in names])
+
+
+def judged_readings(readings: DataFrame, tolerance_miles: float) -> DataFrame:
+    """Distinct readings with ``verdict``: conflicting, source_confirmed, estimated, or null where distances must decide.
+
+    Cells are so small that all readings in one are at the same place. Null remains where the cells around a reading,
+    as far as the tolerance reaches, hold another source and not one voltage and owner only.
+    """
+    size = _close_cell(tolerance_miles)
+    placed = readings.withColumns({"_row": F.floor(F.col("lat") / size), "_col": F.floor(F.col("lon") / size)})
+    usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in ("source_name", "asset_type", "_row", "_col")])
+    own = _cell_verdict(placed.filter(usable))
+    cells = _extremes(placed.filter(usable), "asset_type", "_row", "_col")
+    south, west = F.col("_row") * size, F.col("_col") * size
+    reached = cells.withColumn("_cell", F.explode(
+        _covering_cells(south, south + size, west, west + size, tolerance_miles, size)))
+    around = _extremes(reached.drop("_row", "_col").select(
+        "*", F.col("_cell.r").alias("_row"), F.col("_cell.c").alias("_col")), "asset_type", "_row", "_col")
+    joined = own.join(around, ["asset_type", "_row", "_col"], "left")
+    alone = F.col("least_source_name") == F.col("most_source_name")
+    # extremes are null where no reading around has a value
+    alike = reduce(Column.__and__, [F.col(f"least_{n}").eqNullSafe(F.col(f"most_{n}")) for n in ("voltage_kv", "owner")])
+    verdict = (F.when(F.col("_contradicted"), F.lit("conflicting")).when(alone, F.lit("estimated"))
+               .when(F.col("_met") & alike, F.lit("source_confirmed")))
+    decided = joined.select(*readings.columns, verdict.alias("verdict"))
+    return decided.unionByName(placed.filter(~usable).select(*readings.columns, F.lit("estimated").alias("verdict")))
+
+
 def source_conflict(assets: DataFrame, tolerance_miles: float, asset_id: str = "asset_id") -> DataFrame:
     """Whether other sources confirm or contradict an asset at its place.
 
-    Copies of the same reading at the same point are collapsed before the join.
+    Copies of a reading at a point count once. Most readings are judged by sums over small cells, linear in the readings of a
+    crowded place; only those near a differing or not yet confirming neighbour cell are measured. The tolerance is positive.
+    Assets without coordinates, source or type are ``estimated`` and say nothing about others.
     """
-    reading = ["source_name", "asset_type", "lat", "lon", "voltage_kv", "owner"]
-    merged = assets.groupBy(*reading).agg(F.min(asset_id).alias("reading_id"))
+    merged = assets.groupBy(*_READING).agg(F.min(asset_id).alias("reading_id"))
+    judged = judged_readings(merged, tolerance_miles)
     others = merged.withColumnsRenamed({
         "source_name": "other_source", "voltage_kv": "other_voltage", "owner": "other_owner",
         "reading_id": "other_id", "asset_type": "other_type"})
-    near = _same_place(merged, others, tolerance_miles)
+    near = _same_place(judged.filter(F.col("verdict").isNull()), others, tolerance_miles)
 
     def differs(a: str, b: str) -> Column:
         return F.coalesce(F.col(a) != F.col(b), F.lit(False))
 
-    verdict = near.groupBy("reading_id").agg(
+    measured = near.groupBy("reading_id").agg(
         F.max(differs("voltage_kv", "other_voltage") | differs("owner", "other_owner")).alias("_contradicted"))
-    joined = merged.join(verdict, "reading_id", "left").withColumn(
-        "verification_status",
-        F.when(F.col("_contradicted").isNull(), F.lit("estimated"))
-        .when(F.col("_contradicted"), F.lit("conflicting")).otherwise(F.lit("source_confirmed")))
-    verdicts = joined.select(*[F.col(c).alias(f"_r_{c}") for c in reading], "verification_status")
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in reading]
+    joined = judged.join(measured, "reading_id", "left").withColumn("verification_status", F.coalesce(
+        "verdict", F.when(F.col("_contradicted").isNull(), F.lit("estimated"))
+        .when(F.col("_contradicted"), F.lit("conflicting")).otherwise(F.lit("source_confirmed"))))
+    verdicts = joined.select(*[F.col(c).alias(f"_r_{c}") for c in _READING], "verification_status")
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in _READING]
     return assets.join(verdicts, reduce(Column.__and__, same)).select(*assets.columns, "verification_status")
 
 

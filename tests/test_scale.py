@@ -119,3 +119,45 @@ def test_split_is_disjoint_and_complete(spark):
     rows = spark.createDataFrame([(i, ["final", "discovery", "duplicate", "irrelevant"][i % 4]) for i in range(40)], "n int, disposition string")
     parts = [{r.n for r in part.collect()} for part in dedupe.split_outputs(rows)]
     assert set().union(*parts) == set(range(40)) and sum(map(len, parts)) == 40
+
+
+def _crowd(seed: int, n: int, spread: float):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        lat, lon = 30 + rng.random() * spread, (179.9995 if seed % 2 else -98.0) + rng.random() * spread
+        rows.append((f"a{i}", rng.choice(["osm", "gis", "eia", None]), rng.choice(["line", "line", "substation", None]), lat if i % 17 else None,
+                     lon - 360 if lon > 180 else lon, rng.choice([None, 138.0, 138.0, 46.0]), rng.choice([None, None, "x", "y"])))
+    return rows + [(f"copy{i}", *rows[i][1:]) for i in range(0, n, 5)]
+
+
+_ASSET = "asset_id string, source_name string, asset_type string, lat double, lon double, voltage_kv double, owner string"
+
+
+def test_source_conflict_equals_brute_force(spark):
+    import math
+
+    def miles(a, b):
+        p, q = math.radians(a[3]), math.radians(b[3])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2
+        return 2 * 3958.7613 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+    def status(a, rows):
+        near = [b for b in rows if None not in (*a[1:5], *b[1:5]) and a[1] != b[1] and a[2] == b[2] and miles(a, b) <= 0.05]
+        other = any(x is not None and y is not None and x != y for b in near for x, y in ((a[5], b[5]), (a[6], b[6])))
+        return "estimated" if not near else "conflicting" if other else "source_confirmed"
+
+    for seed, spread in ((1, 0.002), (2, 0.01), (3, 0.03)):
+        rows = _crowd(seed, 120, spread)
+        found = {r.asset_id: r.verification_status for r in spatial.source_conflict(spark.createDataFrame(rows, _ASSET), 0.05).collect()}
+        assert found == {a[0]: status(a, rows) for a in rows}
+
+
+def test_a_crowded_place_is_judged_without_pairs(spark):
+    rows = [(i, ["osm", "gis"][i % 2], "line", 30 + i * 1e-9, -98.0, 138.0, None) for i in range(3000)]
+    rows += [(5000 + i, ["osm", "gis"][i % 2], "line", 40 + i * 1e-9, -98.0, float(i % 7), None) for i in range(3000)]
+    readings = spark.createDataFrame(rows, _ASSET.replace("asset_id string", "reading_id long"))
+    found = {r.verdict: r["count"] for r in spatial.judged_readings(readings, 0.05).groupBy("verdict").count().collect()}
+    assert found == {"source_confirmed": 3000, "conflicting": 3000}
