@@ -4,9 +4,10 @@ Grades are ordered, 0 (clean) to G - 1. One weight vector serves all thresholds:
 increasing t, and the output is the expected severity, the sum of these probabilities. Features are hashed lower-cased
 words, present or not. From a bounded labelled sample (``per_class`` documents of each label with the smallest hash of
 their id) the words are chosen whose tie to the label is proven: with a chance of 95 %, no word without a tie is among
-them (Bonferroni over all words tested; copies count once). Of more than ``features`` such words the surest are taken.
+them (Bonferroni over all words tested; copies count once). All such words are taken, or the surest ``features`` of them.
 Without any, the surest word is. Weights and thresholds are fitted by gradient descent with the classes at equal weight; the thresholds are then shifted to the share of toxic rows among all labels. A document
-counts as toxic from the score on that separates the sampled labels best.
+counts as toxic from the score on that separates the sampled labels best; its grade is then the likeliest one above 0, and
+0 for all others.
 
 The labels say toxic or not. Severity among toxic documents is taken from how many distinct chosen toxic words a document
 has: grade 1 up to the median, grade 2 above it.
@@ -26,7 +27,6 @@ from dealsift.llm.tables import documents
 
 BITS = 20
 PER_CLASS = 3000
-FEATURES = 512
 LEAST_DOCS = 5
 CHANCE = 0.05  # that any word without a tie to the label is chosen
 
@@ -102,7 +102,7 @@ def _gain(count: list[np.ndarray], total: list[int]) -> np.ndarray:
     return np.sign(of - share) * m * (part(of, share) + part(1 - of, 1 - share))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int | None = None) -> Model | None:
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")))
     shares = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -160,7 +160,7 @@ def _cutoff(z: np.ndarray, toxic: np.ndarray, shares: dict) -> float:
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, expected severity (0 to G - 1), likeliest grade, and whether the document counts as toxic."""
+    """doc_id, expected severity (0 to G - 1), grade, and whether the document counts as toxic."""
     table = documents(docs)
     if model is None:
         return table.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(False).alias("toxic"))
@@ -176,13 +176,14 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 cells = np.unique(doc[at] * (len(m.weights) + 1) + feature[at])
                 z = np.bincount(cells // (len(m.weights) + 1), weights=m.weights[cells % (len(m.weights) + 1) - 1], minlength=len(part))
                 above = 1 / (1 + np.exp(-np.clip(z[:, None] - m.thresholds[None, :], -30, 30)))
+                toxic = z >= m.cutoff
                 p = -np.diff(np.hstack([np.ones((len(part), 1)), above, np.zeros((len(part), 1))]), axis=1)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "severity": pa.array(above.sum(1)), "grade": pa.array(p.argmax(1).astype(np.int32)),
-                    "toxic": pa.array(z >= m.cutoff)})
+                    "doc_id": part.column("doc_id"), "severity": pa.array(above.sum(1)), "toxic": pa.array(toxic),
+                    "grade": pa.array(np.where(toxic, 1 + p[:, 1:].argmax(1), 0).astype(np.int32))})
 
-    return table.mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
+    return table.mapInArrow(run, "doc_id long, severity double, toxic boolean, grade int").select("doc_id", "severity", "grade", "toxic")
 
 
-def grade(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int | None = None) -> DataFrame:
     return score(docs, fit(docs, labels, per_class, features))

@@ -79,12 +79,20 @@ def test_quality_without_labels_or_rows(spark, documents):
     assert quality.judge(frame(spark, []), none).count() == 0
 
 
-def test_toxicity(spark):
-    docs = read(spark, SF, "documents")
-    labels = read(spark, SF, "labels")
-    out = toxicity.grade(docs, labels).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    counts = {(r.label, r.toxic): r["count"] for r in out.groupBy("label", "toxic").count().collect()}
-    assert counts.get((0, True), 0) <= 3 and counts[1, True] > 30
+def test_toxicity_of_documents_not_fitted_on(spark):
+    docs = read(spark, "/root/testdata/sf0.1", "documents")
+    labels = read(spark, "/root/testdata/sf0.1", "labels").withColumn("half", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)))
+    held = labels.filter("half = 1").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    out = toxicity.grade(docs, labels.filter("half = 0")).join(held, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    rows = [(r.label, r.toxic, r.grade, r.text.lower()) for r in out.filter("label IS NOT NULL AND text IS NOT NULL").collect()]
+    assert all((grade > 0) == toxic for _, toxic, grade, _ in rows)
+    wrong = sum(toxic for label, toxic, _, _ in rows if not label)
+    assert wrong <= 0.01 * sum(not label for label, *_ in rows)
+    # the insults that texts labelled toxic have and others never; some toxic labels of the table are on texts without any
+    insults = ("trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron")
+    telling = [toxic for label, toxic, _, text in rows if label and any(w in text for w in insults)]
+    assert len(telling) > 150 and sum(telling) >= 0.97 * len(telling)
+    assert sum(toxic for label, toxic, _, _ in rows if label) >= 0.82 * sum(label == 1 for label, *_ in rows)
 
 
 def test_severity_grows_with_toxic_words(spark):
