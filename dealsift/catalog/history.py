@@ -263,6 +263,37 @@ def _(spark, sf):
         "item_id", "listing_status", "needs_manual_review", "end_time_verification", stamp("verified_at"))
 
 
+_SITE_REVIEWS = """SELECT o_orderkey AS review_id, o_custkey AS site_id, cast(o_orderdate AS timestamp) AS reviewed_at,
+  CASE o_orderstatus WHEN 'O' THEN 'approved' WHEN 'F' THEN 'rejected' ELSE 'watch' END AS review_status, cast(NULL AS varchar(20)) AS notes, o_orderpriority AS verdict FROM {orders}"""
+_SUPPLIER_REVIEWS = """SELECT l_orderkey * 10 + l_linenumber AS review_id, l_suppkey AS supplier_id, cast(l_shipdate AS timestamp) AS reviewed_at,
+  CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' ELSE 'watch' END AS review_status,
+  CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('note ', cast(l_orderkey AS varchar(20))) END AS notes FROM {lineitem}"""
+
+
+def _latest_sql(reviews: str, key: str) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY reviewed_at DESC, review_id DESC) AS rn FROM ({reviews})) WHERE rn = 1"
+
+
+@query("site_review", f"""WITH latest AS ({_latest_sql(_SITE_REVIEWS.format(orders='orders'), 'site_id')})
+SELECT c_custkey AS site_id, coalesce(l.review_status, 'needs_review') AS review_status, CASE WHEN l.site_id IS NOT NULL THEN verdict END AS verdict, {stamp_sql('reviewed_at')} AS reviewed_at FROM customer LEFT JOIN latest l ON l.site_id = c_custkey""")
+def _(spark, sf):
+    items = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("site_id"), F.lit("needs_review").alias("review_status"))
+    reviews = spark.sql(_SITE_REVIEWS, orders=spark.read.parquet(f"{sf}/orders.parquet"))
+    order = ["reviewed_at", "review_id"]
+    reviewed = snapshot.review_overlay(items, reviews, "site_id", order)
+    verified = snapshot.struct_overlay(reviewed, reviews.select("site_id", "verdict", *order), "site_id", order, "data_truth_verification")
+    return verified.select("site_id", "review_status", "data_truth_verification.verdict", stamp("data_truth_verification.reviewed_at", "reviewed_at"))
+
+
+@query("supplier_review", f"""WITH latest AS ({_latest_sql(_SUPPLIER_REVIEWS.format(lineitem='lineitem'), 'supplier_id')})
+SELECT s_suppkey AS supplier_id, coalesce(l.review_status, 'needs_review') AS review_status, coalesce(nullif(l.notes, ''), CASE WHEN s_suppkey % 3 > 0 THEN s_name END) AS notes FROM supplier LEFT JOIN latest l ON l.supplier_id = s_suppkey""")
+def _(spark, sf):
+    items = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        F.col("s_suppkey").alias("supplier_id"), F.lit("needs_review").alias("review_status"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")).alias("notes"))
+    reviews = spark.sql(_SUPPLIER_REVIEWS, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    return snapshot.review_overlay(items, reviews, "supplier_id", ["reviewed_at", "review_id"]).select("supplier_id", "review_status", "notes")
+
+
 _REPORTS = "SELECT item_id AS scan_job_id, 'daily' AS report_type, sha256(manual_status || cast(item_id AS varchar)) AS message_hash, review_id FROM manual_review"
 
 

@@ -4,10 +4,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from dealsift import rules
 from dealsift.catalog.records import cte, record
-from dealsift.catalog.registry import (domain_sql, flags, has, hit, in_list, joined, joined_sql, num, path_sql, q, query, rx,
+from dealsift.catalog.registry import (domain_sql, flags, has, haversine_sql, hit, in_list, joined, joined_sql, num, path_sql, q, query, rx,
                                        url_part)
 from dealsift.functions import url
 from dealsift.operators import classify, discovery, funnel, lifecycle, retail, sites
+from dealsift.operators.dedupe import ranked_per_group
 from dealsift.plans import scans
 
 ORDER = ["fetched_at", "hit_no"]
@@ -219,6 +220,24 @@ def _(spark, sf):
     return joined_facts.select("region_name", "raw_result_count", "final_candidate_count", "status")
 
 
+_ASKED_REGIONS = "SELECT concat('Region ', cast(c_nationkey AS varchar(20))) AS region_name, c_custkey AS query_no FROM {customer} WHERE c_nationkey % 4 <> 3"
+
+
+@query("region_stages", f"""{JUDGED}, {_score_sql("(SELECT * FROM judged WHERE disposition = 'final')")}, best AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY preliminary_score DESC, fetched_at, hit_no) AS rank FROM scored),
+facts AS (SELECT {_REGIONS.replace(', 0 AS power_screened_count', '')} FROM judged WHERE region_name IS NOT NULL GROUP BY region_name), regions AS (SELECT 'Region ' || cast(n_nationkey AS varchar) AS region_name FROM nation),
+asked AS (SELECT region_name, count(*) AS n FROM ({_ASKED_REGIONS.format(customer='customer')}) GROUP BY region_name), screened AS (SELECT region_name, count(*) AS n FROM best WHERE rank <= 20 GROUP BY region_name)
+SELECT r.region_name, coalesce(a.n, 0) AS executed_query_count, coalesce(raw_result_count, 0) AS raw_result_count, coalesce(specific_listing_count, 0) AS specific_listing_count, coalesce(final_candidate_count, 0) AS final_candidate_count,
+  coalesce(s.n, 0) AS power_screened_count, CASE WHEN a.n > 0 THEN 'success' ELSE 'pending' END AS status FROM regions r LEFT JOIN asked a USING (region_name) LEFT JOIN facts f USING (region_name) LEFT JOIN screened s USING (region_name)""")
+def _(spark, sf):
+    regions = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("Region "), "n_nationkey").alias("region_name"))
+    asked = spark.sql(_ASKED_REGIONS, customer=spark.read.parquet(f"{sf}/customer.parquet"))
+    hit_rows = judged(spark, sf)
+    scored = sites.score_site(hit_rows.filter(F.col("disposition") == "final"))
+    # the feature: a search screens its twenty best
+    screened = ranked_per_group(scored, ["job_id"], [F.desc("preliminary_score"), *[F.asc(o) for o in ORDER]], 20)
+    return funnel.region_stages(regions, asked, hit_rows, screened)
+
+
 @query("score_site", f"{CLASSED}, {_score_sql('classed')} SELECT hit_no, preliminary_score, {_GRADE} AS preliminary_grade, {joined_sql(_REASONS)} AS score_reasons FROM scored")
 def _(spark, sf):
     return sites.score_site(normal(spark, sf)).select("hit_no", "preliminary_score", "preliminary_grade", joined("score_reasons"))
@@ -256,3 +275,33 @@ def _(spark, sf):
     return found.select("job_id", "rank", "hit_no", "preliminary_score", "geocoding_status")
 
 
+# the numbered county roads, as a geocoder's reference table has them; one road in five is missing
+_ROADS = """SELECT DISTINCT concat(cast(100 + o_custkey % 900 AS varchar(20)), ' County Road ', cast(o_custkey % 90 + 1 AS varchar(20)), ', Abilene, Texas, 79601') AS address,
+  25.0 + cast(o_custkey % 100 * 6007 % 24000 AS double) / 1000 + cast(o_custkey % 900 % 7 AS double) / 20 AS ref_lat, -70.0 - cast(o_custkey % 100 * 31337 % 50000 AS double) / 1000 - cast(o_custkey % 900 % 9 AS double) / 20 AS ref_lon FROM {orders} WHERE o_custkey % 5 <> 0"""
+_CENTRES = "SELECT n_nationkey AS job_id, cast(30 + n_nationkey % 10 AS double) AS lat, cast(-90 - n_nationkey AS double) AS lon, cast(CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE 300 + 40 * n_nationkey END AS double) AS radius_miles FROM {nation} WHERE n_nationkey % 7 <> 6"
+_GRID = "SELECT * REPLACE (CASE asset_type WHEN 'tower' THEN 'transmission_line' ELSE asset_type END AS asset_type), NOT (asset_type = 'tower' AND asset_id % 2 = 0) AS ring_limited FROM asset"
+_REACH = [10.0, 20.0, 35.0, 50.0]
+_RINGS = "CASE " + " ".join(f"WHEN distance_miles <= {r} THEN {r}" for r in _REACH) + " END"
+_NEAR = f"round({haversine_sql('p.lat', 'p.lon', 'a.lat', 'a.lon')}, 3)"
+_AWAY = f"round({haversine_sql('c.lat', 'c.lon', 'l.lat', 'l.lon')}, 3)"
+
+
+@query("site_search_screened", f"""{_TOP}, roads AS ({_ROADS.format(orders='orders')}), centre AS ({_CENTRES.format(nation='nation')}), {cte('asset')}, grid AS ({_GRID}),
+located AS (SELECT r.job_id, r.rank, r.hit_no, g.ref_lat AS lat, g.ref_lon AS lon, CASE WHEN g.ref_lat IS NOT NULL THEN 'geocoded_address' WHEN {_NO_PLACE} THEN 'address_needs_verification' WHEN {_FULL_PLACE} THEN 'geocoding_failed' ELSE 'partial_address' END AS geocoding_status
+  FROM ranked r LEFT JOIN roads g ON {_FULL_PLACE} AND lower(address_line_1 || ', ' || city || ', ' || state || ', ' || zip_code) = lower(g.address)),
+points AS (SELECT DISTINCT lat, lon FROM located WHERE lat IS NOT NULL), pairs AS (SELECT p.lat, p.lon, a.asset_id, a.asset_type, a.voltage_kv, a.ring_limited, {_NEAR} AS distance_miles FROM points p JOIN grid a ON {_NEAR} <= {max(_REACH)}),
+ringed AS (SELECT *, min(CASE WHEN ring_limited THEN {_RINGS} END) OVER (PARTITION BY lat, lon) AS ring FROM pairs), kept AS (SELECT * FROM ringed WHERE NOT ring_limited OR distance_miles <= ring),
+figures AS (SELECT lat, lon, min(distance_miles) FILTER (asset_type = 'substation') AS nearest_substation_miles, min(distance_miles) FILTER (asset_type = 'transmission_line') AS nearest_line_miles, max(nullif(voltage_kv, 0)) AS known_voltage_kv, count(*) AS asset_count,
+  count(*) FILTER (distance_miles <= 20) AS within_20_mile FROM kept GROUP BY lat, lon)
+SELECT l.job_id, l.rank, l.hit_no, l.geocoding_status, l.lat, l.lon, nearest_substation_miles, nearest_line_miles, known_voltage_kv, coalesce(asset_count, 0) AS asset_count, coalesce(within_20_mile, 0) AS within_20_mile, {_AWAY} AS distance_to_search_anchor_miles,
+  CASE WHEN c.job_id IS NOT NULL AND l.lat IS NULL THEN 'needs_verification: distance_to_search_anchor unknown' END AS anchor_flag FROM located l LEFT JOIN figures f ON f.lat = l.lat AND f.lon = l.lon LEFT JOIN centre c ON c.job_id = l.job_id
+WHERE NOT coalesce(nullif(c.radius_miles, 0) < {_AWAY}, false)""")
+def _(spark, sf):
+    tower = F.col("asset_type") == "tower"
+    grid = record(spark, sf, "asset").withColumn("ring_limited", ~(tower & (F.col("asset_id") % 2 == 0))).withColumn(
+        "asset_type", F.when(tower, "transmission_line").otherwise(F.col("asset_type")))
+    roads = spark.sql(_ROADS, orders=spark.read.parquet(f"{sf}/orders.parquet"))
+    centres = spark.sql(_CENTRES, nation=spark.read.parquet(f"{sf}/nation.parquet"))
+    found = scans.site_search(hits(spark, sf), criteria(spark, sf), grid, ORDER, reference=roads, anchors=centres, radii=_REACH)
+    return found.select("job_id", "rank", "hit_no", "geocoding_status", "lat", "lon", "nearest_substation_miles", "nearest_line_miles", "known_voltage_kv", "asset_count",
+                        "within_20_mile", "distance_to_search_anchor_miles", "anchor_flag")

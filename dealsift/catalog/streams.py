@@ -80,6 +80,13 @@ def _(spark, sf):
     return days.select(F.col("report_day").cast("string").alias("report_day"), "listing_status", "observations")
 
 
+@query("daily_report_counts", f"""{V._OBS} SELECT strftime({_ZONE}, '%Y-%m-%d') AS report_day, listing_status, count(*) AS observations FROM observation GROUP BY ALL""")
+def _(spark, sf):
+    _stateful(spark)
+    days = flows.daily_report_counts(spark, _source(spark, sf), shared_folder(spark, "report-counts"))
+    return days.select(F.col("report_day").cast("string").alias("report_day"), "listing_status", "observations")
+
+
 _SEARCHES = "SELECT n_nationkey AS search_id, concat('Dell PowerEdge R', cast(600 + n_nationkey AS varchar(20)), CASE n_nationkey % 2 WHEN 0 THEN ' tested' ELSE ' refurbished' END) AS query, n_nationkey % 3 AS mode FROM {nation}"
 
 

@@ -1,5 +1,7 @@
 """Counters of a run: funnels, region counts, run and recheck summaries."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dealsift.operators.lifecycle import is_current, is_history, is_in_review
@@ -91,6 +93,25 @@ def region_funnel(rows: DataFrame, region: str = "region_name", keys: tuple[str,
             power_screened_count=screened))
 
 
+def region_stages(regions: DataFrame, queries: DataFrame, judged: DataFrame, screened: DataFrame, region: str = "region_name",
+                  keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every region of a search with its counts at the five stages: queries run, hits, specific ones, final ones, screened.
+
+    The stages are counted in one aggregate. A region is ``success`` once a query ran for it, else ``pending``.
+    """
+    end = F.col("disposition")
+    stages = {
+        "executed_query_count": (queries, F.lit(1)), "raw_result_count": (judged, F.lit(1)),
+        "specific_listing_count": (judged, F.when(end.isin("final", "discovery"), 1)),
+        "final_candidate_count": (judged, F.when(end == "final", 1)), "power_screened_count": (screened, F.lit(1))}
+    sources = {id(frame): frame for frame, _ in stages.values()}
+    rows = [frame.filter(F.col(region).isNotNull()).select(*keys, region, *[
+        (mark if of is frame else F.lit(None)).cast("int").alias(name) for name, (of, mark) in stages.items()])
+        for frame in sources.values()]
+    counted = reduce(DataFrame.unionByName, rows).groupBy(*keys, region).agg(*[F.count(name).alias(name) for name in stages])
+    return region_fact_join(regions, counted, region, keys)
+
+
 def region_fact_join(regions: DataFrame, facts: DataFrame, region: str = "region_name", keys: tuple[str, ...] = ()) -> DataFrame:
     """Region sub-jobs with their counts; missing counts are zero and the status follows them."""
     counts = [c for c in facts.columns if c not in (region, *keys)]

@@ -80,6 +80,10 @@ def source_order(df: DataFrame, source: str = "source_key", *order: str, positio
     return ordered(known, [F.col(o) for o in ("source_priority", *order)], position)
 
 
+def source_key(source_name: str) -> str:
+    return source_name.lower().replace(" ", "_")
+
+
 def normalize_retail(cards: DataFrame, source_name: str) -> DataFrame:
     """Product cards as retail results."""
     title = F.concat_ws(" ", F.col("title"), F.col("title"))

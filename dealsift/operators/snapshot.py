@@ -217,6 +217,14 @@ def review_overlay(items: DataFrame, reviews: DataFrame, key: str, order: list[s
     }).drop("_status", "_notes")
 
 
+def struct_overlay(items: DataFrame, reviews: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """The latest review of an item as one struct column ``name``; an item without review keeps what it has there."""
+    latest = latest_per_key(reviews, key, order)
+    found = latest.select(key, F.struct(*[c for c in latest.columns if c != key]).alias("_found"))
+    joined = items.join(found, key, "left")
+    return joined.withColumn(name, F.coalesce("_found", name) if name in items.columns else F.col("_found")).drop("_found")
+
+
 def delivery_dedupe(reports: DataFrame, log: DataFrame) -> DataFrame:
     """Reports not yet sent with the same job, type and message hash."""
     keys = ["scan_job_id", "report_type", "message_hash"]

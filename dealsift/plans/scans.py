@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from dealsift import rules
 from dealsift.operators import classify, funnel, hardware, retail, sites, snapshot, spatial, suppliers
-from dealsift.operators.dedupe import first_wins, ranked_per_group
+from dealsift.operators.dedupe import first_wins, ranked_per_group, union_sources
 from dealsift.operators.lifecycle import lifecycle_partition
 from dealsift.session import shared_folder
 from dealsift.sources.details import with_details
+from dealsift.sources.pages import html_card_scan
 from dealsift.sources.tables import read_snapshot, write_snapshot
 
 
@@ -86,17 +87,23 @@ def site_candidates(hits: DataFrame, criteria: DataFrame, order: list[str], job:
 
 def site_search(hits: DataFrame, criteria: DataFrame, assets: DataFrame, order: list[str], job: str = "job_id",
                 site_id: str = "hit_no", reference: DataFrame | None = None, anchors: DataFrame | None = None,
-                max_candidates: int | None = None) -> DataFrame:
+                max_candidates: int | None = None, radii=None) -> DataFrame:
     """Ranked candidates per search, screened for power and checked against the anchor.
 
-    All candidates are kept unless ``max_candidates`` is given; screening is one join for all of them.
+    All candidates are kept unless ``max_candidates`` is given; screening is one join for all of them. With a reference
+    table of addresses the ranked candidates are first written to the shared folder.
     """
     judged = site_candidates(hits, criteria, order, job)
     scored = sites.score_site(judged.filter(F.col("disposition") == "final"))
     best = ranked_per_group(scored, [job], [F.desc("preliminary_score"), *[F.asc(o) for o in order]], max_candidates)
     if "lat" not in best.columns:
         best = best.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
-    result = power_screen(best, assets, reference, site_id=site_id)
+    if reference is not None:
+        # addresses, points and results each read the candidates: judge them once
+        folder = shared_folder(hits.sparkSession, "candidates")
+        write_snapshot(best, folder, 0)
+        best = read_snapshot(hits.sparkSession, folder)
+    result = power_screen(best, assets, reference, radii, site_id=site_id)
     if anchors is None:
         return result
     return spatial.anchor_distance(result, anchors, job).filter(~F.col("outside_radius")).drop("outside_radius")
@@ -123,6 +130,27 @@ def retail_search(results: DataFrame, mode: str = "all", radius: float | None =
     return retail.rank_by_score(retail.score_retail(kept, job), "recommendation_score", *order)
 
 
+def retail_page_search(captured: dict[str, DataFrame], mode: str = "all", radius: float | None = None, page_id: str = "page_id",
+                       job: str = "job_id", top: int | None = None) -> DataFrame:
+    """From captured shop pages, one frame per shop, to ranked results per search.
+
+    Cards are read and normalised per shop, shops follow each other in the fixed source order, then constraints, score and
+    rank; equal scores keep the source order.
+    """
+    priority = dict(rules.RETAIL_SOURCE_PRIORITY)
+    shops = sorted(captured, key=lambda shop: priority.get(retail.source_key(shop), 99))
+
+    def cards(shop: str) -> DataFrame:
+        pages = captured[shop].withColumn("_page", F.struct(F.col(page_id).alias("page"), F.col(job).alias("job")))
+        read = html_card_scan(pages, shop, "_page")
+        return read.withColumns({page_id: F.col("_page.page"), job: F.col("_page.job")}).drop("_page")
+
+    found = [retail.normalize_retail(cards(shop), shop) for shop in shops]
+    kept = retail.mode_radius_filter(union_sources(*found), mode, radius)
+    order = [F.desc("recommendation_score"), "source_ord", "pos", page_id]
+    return ranked_per_group(retail.score_retail(kept, job), [job], order, top)
+
+
 def bulk_recheck(existing: DataFrame, fetched: DataFrame, as_of, order: list[str], limit: int | None = None) -> DataFrame:
     """Merge re-fetched rows into the listings that are due, and apply the time rules."""
     due = snapshot.recheck_candidates(existing, order, limit)

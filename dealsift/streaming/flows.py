@@ -27,6 +27,32 @@ def daily_report_window(observations: DataFrame, time: str = "observed_at", late
         F.to_date("_day.start").alias("report_day"), *keys, "observations")
 
 
+def write_updates(root: str) -> Callable:
+    """Batch handler for a stream in update mode: the changed rows of a batch in a folder named by its number, so that a
+    repeated batch writes the same rows again."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return handle
+
+
+def current_values(updates: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The newest value per key of rows written by ``write_updates``."""
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_newest"))
+    return newest.select(*keys, "_newest.*")
+
+
+def daily_report_counts(spark: SparkSession, observations: DataFrame, folder: str, keys: tuple[str, ...] = ("listing_status",),
+                        lateness: str = "2 hours", **days) -> DataFrame:
+    """Counts of all report days, unfinished ones too: a later row corrects the count of its day until it is too late.
+
+    Takes what the source holds now; called again with the same folder, it goes on from there.
+    """
+    counts = daily_report_window(observations, lateness=lateness, keys=keys, **days)
+    run_batches(spark, counts, write_updates(f"{folder}/updates"), folder, mode="update")
+    return current_values(spark.read.parquet(f"{folder}/updates"), ["report_day", *keys], ["observations"])
+
+
 def stream_upsert(snapshot_root: str, history_root: str, overwrite: list[str],
                   key: str = "opportunity_key", order: tuple[str, ...] = ("observed_at", "event_id")) -> Callable:
     """Batch handler for ``foreachBatch``: diff against the snapshot, append history, write the next version.
@@ -116,10 +142,10 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_batches(spark: SparkSession, stream: DataFrame, handler: Callable, folder: str) -> None:
+def run_batches(spark: SparkSession, stream: DataFrame, handler: Callable, folder: str, mode: str = "append") -> None:
     """Run a stream with a batch handler over what its source holds now."""
     query = (
-        stream.writeStream.foreachBatch(handler).option("checkpointLocation", f"{folder}/checkpoint")
+        stream.writeStream.foreachBatch(handler).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start())
     query.awaitTermination()
 

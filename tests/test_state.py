@@ -5,8 +5,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dealsift.functions import times
-from dealsift.operators import requests as R
+from dealsift.operators import funnel, requests as R, snapshot
 from dealsift.operators.positions import with_position
+from dealsift.plans import scans
+from dealsift.session import STATE_STORE
 from dealsift.sources.details import with_details
 from dealsift.streaming import changes, flows
 
@@ -109,3 +111,66 @@ def test_round_robin_takes_sources_in_turn(spark):
     assert every.count() == R.hardware_grid(asked, ["id"]).count()
     one = [r.source_ord for r in sorted((r for r in few if r.id == 1 and r.category == few[0].category), key=lambda r: r.pick)]
     assert one == [0, 1, 2]
+
+
+def _file_stream(spark, tmp_path, rows, files):
+    """A stream that reads the rows file by file."""
+    for i in range(files):
+        spark.createDataFrame(rows[i::files], "observed_at string, listing_status string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema("observed_at string, listing_status string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    return source.withColumn("observed_at", F.to_timestamp("observed_at"))
+
+
+def test_open_report_days_are_counted_and_corrected(spark, tmp_path):
+    import zoneinfo
+
+    # around both clock changes of the zone; the last day is not finished; one order of time within the lateness
+    start = [dt.datetime(2026, 3, 7, 12), dt.datetime(2026, 10, 31, 12)]
+    times_ = [s + dt.timedelta(minutes=37 * i) for s in start for i in range(90)]
+    rows = [(t.strftime("%Y-%m-%d %H:%M:%S"), "active" if i % 3 else "ended") for i, t in enumerate(times_)]
+    zone, want = zoneinfo.ZoneInfo("America/Los_Angeles"), {}
+    for text, status in rows:
+        local = dt.datetime.fromisoformat(text).replace(tzinfo=dt.timezone.utc).astimezone(zone).replace(tzinfo=None)
+        key = ((local - dt.timedelta(hours=8)).date(), status)
+        want[key] = want.get(key, 0) + 1
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    for files in (1, 4):
+        source = _file_stream(spark, tmp_path / str(files), rows, files)
+        found = flows.daily_report_counts(spark, source, str(tmp_path / f"out{files}"), lateness="400 days").collect()
+        assert {(r.report_day, r.listing_status): r.observations for r in found} == want
+        assert len(found) == len(want)
+
+
+def test_a_repeated_update_batch_changes_nothing(spark, tmp_path):
+    handle = flows.write_updates(str(tmp_path))
+    for number, rows in ((0, [("d1", 3), ("d2", 1)]), (1, [("d2", 5)]), (1, [("d2", 5)])):
+        handle(spark.createDataFrame(rows, "day string, n int"), number)
+    found = flows.current_values(spark.read.parquet(str(tmp_path)), ["day"], ["n"])
+    assert sorted(map(tuple, found.collect())) == [("d1", 3), ("d2", 5)]
+
+
+def test_reviews_replace_what_they_say(spark):
+    items = spark.createDataFrame([(1, "needs_review", "own", ("a", 1)), (2, "needs_review", None, None), (3, "watch", "own", ("b", 2))],
+                                  "id int, review_status string, notes string, verification struct<verdict:string,no:int>")
+    reviews = spark.createDataFrame([(1, "approved", "", 1), (1, "rejected", "", 2), (2, "approved", "new", 1), (9, "approved", "x", 1)], "id int, review_status string, notes string, no int")
+    found = snapshot.review_overlay(items, reviews, "id", ["no"])
+    assert sorted((r.id, r.review_status, r.notes) for r in found.collect()) == [(1, "rejected", "own"), (2, "approved", "new"), (3, "watch", "own")]
+    truth = snapshot.struct_overlay(items, reviews.select("id", F.col("review_status").alias("verdict"), "no"), "id", ["no"], "verification")
+    assert sorted((r.id, r.verification.verdict) for r in truth.collect()) == [(1, "rejected"), (2, "approved"), (3, "b")]
+
+
+def test_region_stages_count_each_stage(spark):
+    regions = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "region_name string")
+    asked = spark.createDataFrame([("r1",), ("r1",), ("r2",), (None,)], "region_name string")
+    judged = spark.createDataFrame([("r1", "final"), ("r1", "discovery"), ("r1", None), ("r3", "irrelevant"), (None, "final")], "region_name string, disposition string")
+    rows = {r.region_name: tuple(r)[1:] for r in funnel.region_stages(regions, asked, judged, judged.filter("disposition = 'final'")).collect()}
+    assert rows == {"r1": (2, 3, 2, 1, 1, "success"), "r2": (1, 0, 0, 0, 0, "success"), "r3": (0, 1, 0, 0, 0, "pending")}
+
+
+def test_shop_pages_become_one_ranking(spark):
+    newegg = '<div class="item-cell"><a class="item-title" href="https://n.com/1">Dell disk</a><li class="price-current">$20.00</li>Add to cart</div>'
+    best = '<li class="sku-item"><a class="sku-title" href="/site/2.p">HPE disk</a><div class="priceView-customer-price"><span>$10.00</span></div>Add to Cart Shipping</li>'
+    captured = {shop: spark.createDataFrame([(1, 7, html), (2, 8, ""), (3, 9, None)], "page_id int, job_id int, html string") for shop, html in (("Best Buy", best), ("Newegg", newegg))}
+    rows = scans.retail_page_search(captured).orderBy("rank").collect()
+    assert [(r.job_id, r.rank, r.source, r.brand, r.price) for r in rows] == [(7, 1, "Best Buy", "HPE", 10.0), (7, 2, "Newegg", "Dell", 20.0)]
+    assert scans.retail_page_search(captured, mode="local").count() == 0
