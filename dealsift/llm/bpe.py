@@ -26,7 +26,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 from dealsift.llm import textkit as T, tokens
 from dealsift.llm.tables import documents
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+UNIT_BYTES = 16 << 20  # what a worker remembers; its executor also holds the workers of earlier stages
 
 
 class Vocabulary:
@@ -138,7 +139,7 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")") if self.vocab.special else None
         self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         self.signs = {s: b for b, s in tokens.byte_signs().items()}
-        self.units, self.words = tokens.Memory(tokens.KNOWN_BYTES // 2), tokens.Memory(tokens.KNOWN_BYTES // 4)
+        self.units, self.words = tokens.Memory(UNIT_BYTES), tokens.Memory(UNIT_BYTES // 2)
 
     def _pieces(self, text: str) -> list[str]:
         """Pre-tokens; characters whose class is not certain go to the library's own splitter."""
