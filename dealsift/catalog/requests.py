@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from dealsift import rules
-from dealsift.catalog.records import cte, record
+from dealsift.catalog.records import cte, load, record
 from dealsift.catalog.registry import distinct_list, flags, has, joined, joined_sql, label_list, num, q, query, rx
 from dealsift.operators import requests as R
 
@@ -122,7 +122,7 @@ def _grid(spark, sf) -> DataFrame:
     """Hardware requests."""
     k = F.col("c_custkey") % 3
     names = F.when(k == 0, F.array(F.lit("tx"), F.lit(" Nowhere "))).when(k == 1, F.array(F.lit("OH"))).otherwise(F.array().cast("array<string>"))
-    return spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("request_id"), names.alias("state_names"))
+    return load(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), names.alias("state_names"))
 
 
 @query("query_grid", f"{_GRID} SELECT request_id, pos, category, source_group, query FROM grid")

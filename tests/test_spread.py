@@ -1,0 +1,100 @@
+"""Heavy work is dealt to all tasks and done once, however few row groups the tables lie in."""
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from dealsift.catalog import hardware as H, records
+from dealsift.catalog.registry import QUERIES
+from dealsift.operators import funnel, lifecycle, spatial
+from dealsift.sources import pages
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _steps(df, text):
+    """Steps of the plan that work out something with the text in it."""
+    return sum(text in line for line in _plan(df).splitlines())
+
+
+def _parts(tmp_path, n=50):
+    pq.write_table(pa.table({"p_partkey": list(range(n)), "p_name": ["lot"] * n}), tmp_path / "part.parquet")
+    return str(tmp_path)
+
+
+def test_one_row_group_is_dealt_to_all_tasks(spark, tmp_path):
+    folder = _parts(tmp_path)
+    read = records.load(spark, folder, "part")
+    assert read.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r.p_partkey for r in read.collect()) == list(range(50))
+    # a filter on a computed column is not moved to the reading task
+    plan = _plan(read.withColumn("low", F.lower("p_name")).filter(F.col("low") == "lot"))
+    assert plan.index("lower(p_name") < plan.index("Repartition")
+
+
+def test_large_tables_stay_as_their_files_split_them(spark, tmp_path):
+    read = spark.read.parquet(_parts(tmp_path) + "/part.parquet")
+    assert records.dealt(read, 1 << 40) is read
+
+
+def test_pages_are_read_once(spark):
+    html = '<div class="item-cell"><a class="item-title" href="/a">Card</a><li class="price-current">$5</li></div>'
+    shop = spark.createDataFrame([(1, html), (2, "<p>empty</p>"), (3, None)], "page_id int, html string")
+    cards = pages.html_card_scan(shop, "Newegg")
+    assert _steps(cards, "item-cell") == 1
+    assert [(r.page_id, r.title) for r in cards.collect()] == [(1, "Card")]
+    found = pages.html_result_scan(shop)
+    assert _steps(found, "result__snippet") == 1
+    assert found.count() == 0
+
+
+def test_lines_are_dealt_before_their_cells(spark):
+    vertices = [(30.0, -98.0), (31.5, -95.0)]
+    lines = spark.createDataFrame([(1, "transmission_line", 30.7, -96.5, vertices)],
+                                  "asset_id int, asset_type string, lat double, lon double, vertices array<struct<lat:double,lon:double>>")
+    sites = spark.createDataFrame([(1, 30.75, -96.5), (2, 35.0, -96.5), (3, 30.1, -98.1)], "site_id int, lat double, lon double")
+    pairs = spatial.radius_join(sites, lines, 25.0)
+    assert "Repartition" in _plan(pairs)
+    assert sorted(r.site_id for r in pairs.collect()) == [1, 3]
+
+
+def test_cells_of_a_box_are_worked_out_once(spark):
+    box = spark.createDataFrame([(30.0, 30.1, -179.9, -179.8)], "s double, n double, w double, e double")
+    cells = box.select(spatial._covering_cells(F.col("s"), F.col("n"), F.col("w"), F.col("e"), 25.0).alias("c"))
+    assert _plan(cells).count("radians") + _plan(cells).count("RADIANS") == 1
+    got = {(c.r, c.c) for c in cells.first().c}
+    side = spatial._cell_degrees(25.0)
+    assert (int(30.05 // side), int(-179.85 // side)) in got
+    assert (int(30.05 // side), int(179.9 // side)) in got  # across the date line
+
+
+def test_views_are_scored_once(spark, monkeypatch):
+    seen, sort = [], lifecycle.view_sort
+
+    def watched(listings, *args, **kwargs):
+        seen.append(listings.inputFiles())
+        return sort(listings, *args, **kwargs)
+
+    monkeypatch.setattr(H.lifecycle, "view_sort", watched)
+    QUERIES["view_sort"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and seen[0] == seen[1] == seen[2]
+    assert all("/scored-" in f for f in seen[0])
+
+
+def test_funnel_reads_each_input_once(spark, tmp_path):
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    raw = stored("raw", [("specific_listing",), ("specific_listing",), ("irrelevant",)], "page_type string")
+    listings = stored("listings", [("active", False, ["NEW"], 70.0, None, None)],
+                      "listing_status string, needs_manual_review boolean, change_types array<string>, opportunity_score double, "
+                      "last_status_check_at timestamp, first_seen_at timestamp")
+    runs = stored("runs", [("failed",), ("success",)], "status string")
+    counted = funnel.hardware_funnel(raw, listings, runs, "2001-06-01 00:00:00")
+    assert _plan(counted).count("Relation") == 3
+    got = {r.metric: r.value for r in counted.collect()}
+    assert (got["normalized_listings"], got["duplicates_removed"], got["failed_sources"], got["high_score_opportunities"]) == (2, 1, 1, 1)
+    assert "deduplicated" not in got
