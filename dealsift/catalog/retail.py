@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from dealsift import rules
-from dealsift.catalog.records import cte, record
+from dealsift.catalog.records import cte, load, record
 from dealsift.catalog.registry import q, query, rx
 from dealsift.catalog.sources import _CARD, _SKU
 from dealsift.operators import retail
@@ -62,7 +62,7 @@ bounded AS (SELECT *, min(price) OVER (PARTITION BY job_id) AS lo, max(price) OV
 scored AS (SELECT *, round(CASE inventory_status WHEN 'Available' THEN 40 ELSE 20 END + CASE WHEN lo = hi THEN 1 ELSE 1 - (price::double - lo::double) / (hi::double - lo::double) END * 30 + 12 + CASE WHEN promotion THEN 10 ELSE 0 END, 2)::double AS recommendation_score FROM bounded)
 SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY recommendation_score DESC, source_ord, i) AS rank, source, title AS product_name, {_BRAND} AS brand, {_MODEL} AS model, price::double AS price, inventory_status, product_url, recommendation_score FROM scored""")
 def _(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
+    part = load(spark, sf, "part")
     shops = {"Best Buy": spark.sql(_SKU, part=part), "Newegg": spark.sql(_CARD, part=part)}
     captured = {shop: pages.withColumn("job_id", F.col("page_id")) for shop, pages in shops.items()}
     return scans.retail_page_search(captured).select("job_id", "rank", "source", "product_name", "brand", "model", "price", "inventory_status", "product_url", "recommendation_score")
