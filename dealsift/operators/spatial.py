@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dealsift import rules
 from dealsift.functions import geo
+from dealsift.functions.text import once
 from dealsift.operators.dedupe import salted_join
 from dealsift.operators.positions import ordered
 
@@ -32,20 +33,27 @@ def _covering_cells(south: Column, north: Column, west: Column, east: Column, ra
     """Cells of a box widened by the radius, also across the date line; their side is the radius unless given."""
     size = F.lit(_cell_degrees(radius) if side is None else side)
     widened = F.lit(_cell_degrees(radius))
-    low, high = south - widened, north + widened
-    polar = F.least(F.lit(89.9), F.greatest(F.abs(low), F.abs(high)))
-    reach = F.lit(_cell_degrees(radius) * 1.01) / F.cos(F.radians(polar))
-    left, right = west - reach, east + reach
-    rows = F.sequence(F.floor(low / size), F.floor(high / size))
+    none = F.array().cast("array<bigint>")
 
-    def columns(shift: float) -> Column:
-        return F.sequence(F.floor((left + shift) / size), F.floor((right + shift) / size))
+    # each step names its results, else every cell would compute the box again
+    def around(box: Column) -> Column:
+        polar = F.least(F.lit(89.9), F.greatest(F.abs(box["low"]), F.abs(box["high"])))
+        reach = F.lit(_cell_degrees(radius) * 1.01) / F.cos(F.radians(polar))
+        return once(reach, lambda x: once(F.struct((box["west"] - x).alias("left"), (box["east"] + x).alias("right")), lambda sides: cells(box, sides)))
 
-    none = F.array().cast("array<bigint>")
-    cols = F.concat(
-        columns(0.0), F.when(left < -180, columns(360.0)).otherwise(none),
-        F.when(right > 180, columns(-360.0)).otherwise(none))
-    return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("r"), c.alias("c")))))
+    def cells(box: Column, sides: Column) -> Column:
+        left, right = sides["left"], sides["right"]
+        rows = F.sequence(F.floor(box["low"] / size), F.floor(box["high"] / size))
+
+        def columns(shift: float) -> Column:
+            return F.sequence(F.floor((left + shift) / size), F.floor((right + shift) / size))
+
+        cols = F.concat(
+            columns(0.0), F.when(left < -180, columns(360.0)).otherwise(none),
+            F.when(right > 180, columns(-360.0)).otherwise(none))
+        return once(cols, lambda cs: F.flatten(F.transform(rows, lambda r: F.transform(cs, lambda c: F.struct(r.alias("r"), c.alias("c"))))))
+
+    return once(F.struct((south - widened).alias("low"), (north + widened).alias("high"), west.alias("west"), east.alias("east")), around)
 
 
 def _line_cells(vertices: Column, radius: float) -> Column:
@@ -57,14 +65,15 @@ def _line_cells(vertices: Column, radius: float) -> Column:
 
     def cells(a: Column, b: Column) -> Column:
         dy, dx = b["lat"] - a["lat"], b["lon"] - a["lon"]
-        pieces = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dy), F.abs(dx)) / size).cast("int"))
+        count = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dy), F.abs(dx)) / size).cast("int"))
 
-        def piece(i: Column) -> Column:
+        def piece(i: Column, pieces: Column) -> Column:
             at, to = i / pieces, (i + 1) / pieces
-            y0, y1, x0, x1 = a["lat"] + dy * at, a["lat"] + dy * to, a["lon"] + dx * at, a["lon"] + dx * to
-            return _covering_cells(F.least(y0, y1), F.greatest(y0, y1), F.least(x0, x1), F.greatest(x0, x1), radius)
+            ends = F.struct((a["lat"] + dy * at).alias("y0"), (a["lat"] + dy * to).alias("y1"), (a["lon"] + dx * at).alias("x0"), (a["lon"] + dx * to).alias("x1"))
+            return once(ends, lambda e: _covering_cells(
+                F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"]), F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"]), radius))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), piece))
+        return once(count, lambda pieces: F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: piece(i, pieces))))
 
     return F.array_distinct(F.flatten(F.zip_with(starts, ends, cells)))
 
@@ -90,6 +99,9 @@ def radius_join(sites: DataFrame, assets: DataFrame, radius: float, site_id: str
     located_sites = sites.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     spot = _covering_cells(F.col("asset_lat"), F.col("asset_lat"), F.col("asset_lon"), F.col("asset_lon"), radius)
     if has_lines:
+        # few rows with long work each: a line covers hundreds of cells
+        spark = assets.sparkSession
+        assets = assets.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         line = (F.col("asset_type") == "transmission_line") & (F.size("vertices") > 0)
         spot = F.when(line, _line_cells(F.col("vertices"), radius)).otherwise(spot)
     reach = assets.withColumnsRenamed({"lat": "asset_lat", "lon": "asset_lon"})
