@@ -4,10 +4,12 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from dealsift.catalog import hardware as H, records
+from dealsift.catalog import hardware as H, history, records  # noqa: F401
 from dealsift.catalog.registry import QUERIES
 from dealsift.operators import funnel, lifecycle, spatial
+from dealsift.plans import scans
 from dealsift.sources import pages
+from dealsift.streaming import flows
 
 
 def _plan(df):
@@ -98,3 +100,18 @@ def test_funnel_reads_each_input_once(spark, tmp_path):
     got = {r.metric: r.value for r in counted.collect()}
     assert (got["normalized_listings"], got["duplicates_removed"], got["failed_sources"], got["high_score_opportunities"]) == (2, 1, 1, 1)
     assert "deduplicated" not in got
+
+
+def test_scan_carries_only_the_columns_asked_for(spark):
+    page = "<html><title>Detail lot</title><p>Current Bid: $640 Closing date: 06/01/2001 11:15 PM EST</p></html>"
+    hits = spark.createDataFrame(
+        [(i, "Dealer", "https://a.example.com/lot/7/", "Lot of 5 Dell PowerEdge R640 server tested", "Current bid: $10", "servers", 200, page) for i in range(3)],
+        "no int, source_name string, source_url string, original_title string, original_description string, category string, http_status int, body string")
+    hits = hits.withColumns({"domain": F.lit("a.example.com"), "captured_at": F.lit("2001-06-01 00:00:00").cast("timestamp"),
+                             "timed_out": F.lit(False), "error": F.lit(None).cast("string")})
+    known = spark.createDataFrame([("other", 1.0)], "opportunity_key string, total_price double")
+    narrow = scans.hardware_scan(hits, "2001-06-01 00:00:00", ["no"], known, responses=True, columns=["end_time_utc"]).listings
+    whole = scans.hardware_scan(hits, "2001-06-01 00:00:00", ["no"], known, responses=True).listings
+    assert "body" in whole.columns and not {"body", "raw_description"} & set(narrow.columns)
+    assert narrow.collect() == whole.select(narrow.columns).collect()
+    assert [(r.no, r.end_time_utc is None, r.total_price) for r in narrow.collect()] == [(0, False, 640.0)]
