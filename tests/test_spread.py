@@ -115,3 +115,23 @@ def test_scan_carries_only_the_columns_asked_for(spark):
     assert "body" in whole.columns and not {"body", "raw_description"} & set(narrow.columns)
     assert narrow.collect() == whole.select(narrow.columns).collect()
     assert [(r.no, r.end_time_utc is None, r.total_price) for r in narrow.collect()] == [(0, False, 640.0)]
+
+
+def test_dashboard_finds_its_listings_once(spark, monkeypatch, tmp_path):
+    n = 6
+    pq.write_table(pa.table({"p_partkey": list(range(n)), "p_name": ["lot"] * n, "p_size": [40] * n}), tmp_path / "part.parquet")
+    pq.write_table(pa.table({
+        "l_orderkey": list(range(n)), "l_linenumber": [1] * n, "l_suppkey": [0] * n, "l_partkey": list(range(n)), "l_quantity": [5.0] * n,
+        "l_returnflag": ["A"] * n, "l_extendedprice": [100.0] * n, "l_linestatus": ["O"] * 4 + ["F"] * 2, "l_shipdate": ["1997-01-01"] * n}), tmp_path / "lineitem.parquet")
+    seen = []
+    for name in ("dashboard_rollup", "dashboard_totals"):
+        def watched(listings, *args, kept=getattr(funnel, name), **kwargs):
+            seen.append(listings.inputFiles())
+            return kept(listings, *args, **kwargs)
+
+        monkeypatch.setattr(funnel, name, watched)
+    rows = QUERIES["dashboard_rollup"](spark, str(tmp_path)).collect()
+    assert len(seen) == 2 and seen[0] == seen[1]
+    assert all("/dashboard-" in f for f in seen[0])
+    assert {r.list_name: r.opportunity_key for r in rows if r.list_name.startswith("total_")} == {
+        "total_seen": "6", "total_active": "4", "total_history": "2", "total_review": "0"}
