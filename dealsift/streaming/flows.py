@@ -8,7 +8,7 @@ from dealsift import rules
 from dealsift.operators.dedupe import latest_per_key
 from dealsift.operators.snapshot import change_types
 from dealsift.session import shared_folder
-from dealsift.sources.tables import history_append, read_snapshot, upsert_sink
+from dealsift.sources.tables import history_append, read_snapshot, upsert_sink, write_snapshot
 
 
 def stream_dedupe(observations: DataFrame, keys: list[str], time: str = "observed_at", lookback: str = "2 days") -> DataFrame:
@@ -118,6 +118,11 @@ def match_saved_searches(rows: DataFrame, searches: DataFrame, text: str = "titl
         named = standing.select("search_id", F.explode("_tokens").alias("word")).join(counts, "word", "left")
         rarest = named.groupBy("search_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("_word"))
         standing = standing.join(rarest, "search_id")
+    if not rows.isStreaming:
+        # stored, so that their size is known: a few searches are broadcast, and the words of the rows stay where they are
+        folder = shared_folder(rows.sparkSession, "searches")
+        write_snapshot(standing, folder, 0)
+        standing = read_snapshot(rows.sparkSession, folder)
     spoken = rows.withColumn("_words", _words(text)).withColumn("_word", F.explode("_words"))
     pairs = spoken.join(standing, "_word")
     sourced = (F.size("sources") == 0) | F.array_contains("sources", F.col("source_name"))
@@ -129,6 +134,11 @@ def saved_search_match(changes: DataFrame, searches: DataFrame, text: str = "tit
     kinds = F.array_compact(F.array(
         F.when(F.col("price_drop"), F.lit("price_drop")), F.when(F.col("back_in_stock"), F.lit("back_in_stock"))))
     alerting = changes.withColumn("alert_type", F.explode(kinds))
+    if not changes.isStreaming:
+        # words are counted and matched: find the alerts once
+        folder = shared_folder(changes.sparkSession, "alerts")
+        write_snapshot(alerting.select(row_id, text, "source_name", "alert_type"), folder, 0)
+        alerting = read_snapshot(changes.sparkSession, folder)
     return match_saved_searches(alerting, searches, text).select("search_id", row_id, "alert_type")
 
 

@@ -135,3 +135,17 @@ def test_dashboard_finds_its_listings_once(spark, monkeypatch, tmp_path):
     assert all("/dashboard-" in f for f in seen[0])
     assert {r.list_name: r.opportunity_key for r in rows if r.list_name.startswith("total_")} == {
         "total_seen": "6", "total_active": "4", "total_history": "2", "total_review": "0"}
+
+
+def test_saved_searches_find_their_alerts_once(spark):
+    changes = spark.createDataFrame(
+        [(i, f"Dell PowerEdge lot {'zx' if i % 7 == 0 else 'server'} {i}", "eBay", i % 2 == 0, i % 5 == 0) for i in range(50)],
+        "listing_no int, title string, source_name string, price_drop boolean, back_in_stock boolean")
+    searches = spark.createDataFrame([(1, "poweredge ZX", []), (2, "dell", ["Other"])], "search_id int, query string, sources array<string>")
+    found = flows.saved_search_match(changes, searches)
+    assert all("/alerts-" in f or "/searches-" in f for f in found.inputFiles())
+    found.collect()
+    # the words of the rows are not shuffled to meet a few searches
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    want = [(1, i, a) for i in range(0, 50, 7) for a, on in (("price_drop", i % 2 == 0), ("back_in_stock", i % 5 == 0)) if on]
+    assert sorted((r.search_id, r.listing_no, r.alert_type) for r in found.collect()) == sorted(want)
