@@ -13,7 +13,7 @@ from dealsift import rules
 from dealsift.functions import geo
 from dealsift.functions.text import once
 from dealsift.operators.dedupe import salted_join
-from dealsift.operators.positions import ordered
+from dealsift.operators.positions import ordered, with_position_in_groups
 
 # distances are compared after rounding to 3 decimals, so the grid reaches a little further
 _SLACK_MILES = 0.001
@@ -87,18 +87,10 @@ def asset_distance(site_lat: Column, site_lon: Column, assets_have_lines: bool)
     return F.when(line, geo.point_to_polyline_miles(site_lat, site_lon, F.col("vertices"))).otherwise(point)
 
 
-def radius_join(sites: DataFrame, assets: DataFrame, radius: float, site_id: str = "site_id",
-                asset_id: str = "asset_id", rows_per_task: int = 200_000) -> DataFrame:
-    """All site-asset pairs within the radius, with the distance in miles (3 decimals).
-
-    The rounded distance decides, except for assets marked ``ring_limited = false``
-    (imported line sets), where the exact one does.  Sites need ``lat`` and ``lon``;
-    assets also ``asset_type`` and may have ``vertices``.
-    """
-    has_lines = "vertices" in assets.columns
-    located_sites = sites.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+def _reach(assets: DataFrame, radius: float) -> DataFrame:
+    """A row per asset and cell within reach of it."""
     spot = _covering_cells(F.col("asset_lat"), F.col("asset_lat"), F.col("asset_lon"), F.col("asset_lon"), radius)
-    if has_lines:
+    if "vertices" in assets.columns:
         # few rows with long work each: a line covers hundreds of cells
         spark = assets.sparkSession
         assets = assets.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -106,16 +98,56 @@ def radius_join(sites: DataFrame, assets: DataFrame, radius: float, site_id: str
         spot = F.when(line, _line_cells(F.col("vertices"), radius)).otherwise(spot)
     reach = assets.withColumnsRenamed({"lat": "asset_lat", "lon": "asset_lon"})
     reach = reach.filter(F.col("asset_lat").isNotNull() & F.col("asset_lon").isNotNull())
-    reach = reach.withColumn("_cell", F.explode(spot)).withColumns(
+    return reach.withColumn("_cell", F.explode(spot)).withColumns(
         {"_row": F.col("_cell.r"), "_col": F.col("_cell.c")}).drop("_cell")
-    pairs = salted_join(with_cell(located_sites, radius), reach, ["_row", "_col"], site_id, asset_id, rows_per_task)
+
+
+def _located(sites: DataFrame, radius: float) -> DataFrame:
+    return with_cell(sites.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()), radius)
+
+
+def _within(exact: Column, rounded: Column, radius: float, assets: DataFrame) -> Column:
+    if "ring_limited" in assets.columns:
+        return F.when(F.col("ring_limited"), rounded <= radius).otherwise(exact <= radius)
+    return rounded <= radius
+
+
+def radius_join(sites: DataFrame, assets: DataFrame, radius: float, site_id: str = "site_id",
+                asset_id: str = "asset_id", rows_per_task: int = 200_000, pairs_per_task: int | None = None) -> DataFrame:
+    """All site-asset pairs within the radius, with the distance in miles (3 decimals).
+
+    The rounded distance decides, except for assets marked ``ring_limited = false``
+    (imported line sets), where the exact one does.  Sites need ``lat`` and ``lon``;
+    assets also ``asset_type`` and may have ``vertices``.
+    """
+    pairs = salted_join(_located(sites, radius), _reach(assets, radius), ["_row", "_col"], site_id, asset_id, rows_per_task, pairs_per_task)
     pairs = pairs.drop("_row", "_col").withColumn(
-        "distance_exact", asset_distance(F.col("lat"), F.col("lon"), has_lines))
+        "distance_exact", asset_distance(F.col("lat"), F.col("lon"), "vertices" in assets.columns))
     pairs = pairs.withColumn("distance_miles", F.round("distance_exact", 3))
-    near = F.col("distance_miles") <= radius
-    if "ring_limited" in assets.columns:
-        near = F.when(F.col("ring_limited"), near).otherwise(F.col("distance_exact") <= radius)
-    return pairs.filter(near)
+    return pairs.filter(_within(F.col("distance_exact"), F.col("distance_miles"), radius, assets))
+
+
+def radius_left_join(sites: DataFrame, assets: DataFrame, radius: float, site_id: str = "site_id", asset_id: str = "asset_id",
+                     pairs_per_task: int = 20_000_000) -> DataFrame:
+    """Site, asset and distance of all pairs within the radius, and a row without asset for every other site.
+
+    The rows are those of a left join of the sites with ``radius_join`` by the site id, but no pair is shuffled: of an id
+    found in n rows each row is repeated n times before the search, and sites without asset come from a semi join that
+    stops at a site's first asset.
+    """
+    copies = sites.groupBy(site_id).agg(F.count(F.lit(1)).alias("_copies"))
+    repeated = sites.join(copies, site_id).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("_copies", "_copy")
+    near = radius_join(repeated, assets, radius, site_id, asset_id, pairs_per_task=pairs_per_task).select(site_id, asset_id, "distance_miles")
+    at, reach = _located(sites, radius).alias("at"), _reach(assets, radius).withColumnsRenamed({"_row": "_asset_row", "_col": "_asset_col"})
+    if site_id in reach.columns:
+        reach = reach.drop(site_id)
+    exact = asset_distance(F.col("at.lat"), F.col("at.lon"), "vertices" in assets.columns)
+    meets = (F.col("_row") == F.col("_asset_row")) & (F.col("_col") == F.col("_asset_col")) & _within(exact, F.round(exact, 3), radius, assets)
+    served = at.join(reach, meets, "left_semi").select(site_id).distinct()
+    kinds = near.schema
+    alone = sites.select(site_id).join(served, site_id, "left_anti").select(
+        site_id, *[F.lit(None).cast(kinds[c].dataType).alias(c) for c in (asset_id, "distance_miles")])
+    return near.unionByName(alone)
 
 
 def bbox_prefilter(sites: DataFrame, radius: float) -> DataFrame:
@@ -165,8 +197,14 @@ def site_assets(pairs: DataFrame, site_id: str = "site_id", asset_id: str = "ass
     return distance_sort(pairs, site_id, "distance_miles", asset_id)
 
 
-def distance_sort(df: DataFrame, *columns: str, position: str | None = None) -> DataFrame:
-    """Ascending order with missing distances last."""
+def distance_sort(df: DataFrame, *columns: str, position: str | None = None, few_values: bool = False, rows_per_task: int = 2_000_000) -> DataFrame:
+    """Ascending order with missing distances last.
+
+    ``few_values`` says that the first column has far fewer values than there are rows, as rounded distances of one
+    radius do; positions then cost one shuffle and no written rows.
+    """
+    if few_values and position is not None:
+        return with_position_in_groups(df, columns[0], [F.asc_nulls_last(c) for c in columns[1:]], position, rows_per_task)
     return ordered(df, [F.asc_nulls_last(c) for c in columns], position)
 
 
