@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from dealsift import rules
 from dealsift.functions import address, times, url
-from dealsift.functions.text import capture
+from dealsift.functions.text import capture, squeeze
+from dealsift.operators import classify
+from dealsift.sources import details, pages
 
 _URLS = [None, "", "https://", "http://a.com", "https://www.A.com/x;p=1/y;q/?a=1", "http://a.com?x=/1", "https://a.com/p?x=1?y=2", "https://u@www.www.b.com:80/p//", "HTTP://A.com/x",
          "//a.com/x?y", "a.com/x", "https://a.com/x#f?q", "https://a.com/x?q#f/g", "https://a.com/é中?é=1", "manual://x", "https:///p", "https://?q", "https://a.com/x\n?y\n", "mailto:a@b"]
@@ -34,3 +36,34 @@ def test_times_are_tried_where_their_words_occur(spark):
     assert rows.filter(times.countdown_raw(t).isNotNull()).count() > 1
     assert "contains" in rows.select(times.countdown_raw(t))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert [r[0] for r in spark.createDataFrame([("in texas or OH",), ("Ohioan",), ("new york, NY",)], "t string").select(address.hardware_state(t)).collect()] == ["TX", None, "NY"]
+
+
+def test_white_space_and_rare_blocks_are_as_by_the_plain_patterns(spark):
+    texts = ["a b", "a  b", "a\tb", " a\n\n b ", "a\u00a0 b\r", "", "  ", None, "x\x0b\x0cy"]
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert rows.filter(~squeeze(t).eqNullSafe(F.trim(F.regexp_replace(t, r"\s+", " ")))).collect() == []
+    html = ["<p>a</p><script>x</script>b", "<!-- c --><p>d</p>", "<STYLE a>s</STYLE >e", "<p>f<Template>g</template>h", "<script>var a = '<style>';</script>i<style>j</style>", None, "plain"]
+    shown = spark.createDataFrame([(x,) for x in html], "t string").select(pages.visible_text(t)).collect()
+    assert [r[0] for r in shown] == ["a b", "d", "e", "f h", "i", None, "plain"]
+
+
+def test_outcome_follows_from_the_parse_status(spark):
+    rows = [(200, "ok", False, None), (404, "captcha", False, None), (503, None, None, None), (None, "Robot Check", None, None), (200, "CAPTCHA", None, None), (None, None, True, None),
+            (404, None, None, "broken"), (None, None, None, None), (200, None, True, "e")]
+    c = F.col
+    got = spark.createDataFrame(rows, "s int, b string, t boolean, e string").select(classify.http_outcome(c("s"), c("b"), c("t"), c("e")).alias("o")).select("o.*").collect()
+    assert [tuple(r) for r in got] == [
+        (None, None, False, "checked"), ("removed", "HTTP 404", False, "http_unavailable"), ("unavailable", "HTTP 503", False, "http_unavailable"),
+        ("needs_manual_review", "captcha_or_access_challenge", False, "blocked_or_challenged"), ("needs_manual_review", "captcha_or_access_challenge", True, "blocked_or_challenged"),
+        ("needs_manual_review", "detail_page_timeout", True, "timeout"), ("needs_manual_review", "broken", True, "parse_error"), (None, None, False, "checked"),
+        ("needs_manual_review", "detail_page_timeout", True, "timeout")]
+
+
+def test_unread_columns_of_a_hit_do_not_pass_the_detail_steps(spark):
+    hits = spark.createDataFrame([("t", None, "https://www.publicsurplus.com/x?auc=1", 200, "<p>Time Left: 2 d 3 h</p>", False, None, None, "u")],
+                                 "original_title string, original_description string, source_url string, http_status int, body string, timed_out boolean, error string, captured_at timestamp, unread string")
+    read = details.with_details(hits)
+    assert read.first().unread == "u" and read.first().detail.countdown_raw_text == "Time Left: 2 d 3 h".split(": ")[1]
+    plan = read.select("original_title", "detail")._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Project" in line and "unread" in line] == []
