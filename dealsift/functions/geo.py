@@ -18,9 +18,8 @@ def _segment_miles(lat: Column, lon: Column, a: Column, b: Column) -> Column:
     sy = F.lit(rules.MILES_PER_DEGREE_LAT)
     ax, ay = (a["lon"] - lon) * sx, (a["lat"] - lat) * sy
     dx, dy = (b["lon"] - a["lon"]) * sx, (b["lat"] - a["lat"]) * sy
-    squared = dx * dx + dy * dy
-    along = F.when(squared == 0, F.lit(0.0)).otherwise(
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(-(ax * dx + ay * dy), squared))))
+    # without length the quotient is null, which counts as the start; no branch, so compiled code works out each part once
+    along = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy)))
     return F.hypot(ax + along * dx, ay + along * dy)
 
 
@@ -35,6 +34,19 @@ def point_to_polyline_miles(lat: Column, lon: Column, vertices: Column) -> Colum
     )
 
 
+def segments(vertices: Column) -> Column:
+    """The pieces of a polyline as (a, b) structs; a single vertex is a piece without length."""
+    count = F.size(vertices)
+    starts = F.slice(vertices, F.lit(1), F.greatest(count - 1, F.lit(1)))
+    ends = F.when(count > 1, F.slice(vertices, F.lit(2), F.greatest(count - 1, F.lit(1)))).otherwise(starts)
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def segment_miles(lat: Column, lon: Column, piece: Column) -> Column:
+    """Planar distance to one of the segments; null for none."""
+    return _segment_miles(lat, lon, piece["a"], piece["b"])
+
+
 def polyline_center(vertices: Column) -> Column:
     """Mean latitude and longitude of the vertices; null for an empty line."""
     def mean(field: str) -> Column:

@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dealsift import rules
 from dealsift.functions import geo
+from dealsift.functions.fence import keep_rows
 from dealsift.functions.text import once
 from dealsift.operators.dedupe import salted_join
 from dealsift.operators.positions import ordered, with_position_in_groups
 
 # distances are compared after rounding to 3 decimals, so the grid reaches a little further
 _SLACK_MILES = 0.001
+# candidate pairs of sites and lines that one task measures
+_LINE_PAIRS_PER_TASK = 5_000_000
+# segments of a line near one cell that are measured in compiled code
+_FEW_SEGMENTS = 4
 
 
 def _cell_degrees(radius: float) -> float:
@@ -56,12 +61,9 @@ def _covering_cells(south: Column, north: Column, west: Column, east: Column, ra
     return once(F.struct((south - widened).alias("low"), (north + widened).alias("high"), west.alias("west"), east.alias("east")), around)
 
 
-def _line_cells(vertices: Column, radius: float) -> Column:
-    """Cells within reach of a polyline.  Long segments are cut into cell-sized pieces first."""
+def _segment_cells(segments: Column, radius: float) -> Column:
+    """Per segment of a polyline the cells within its reach.  Long segments are cut into cell-sized pieces first."""
     size = F.lit(_cell_degrees(radius))
-    count = F.size(vertices)
-    starts = F.slice(vertices, F.lit(1), F.greatest(count - 1, F.lit(1)))
-    ends = F.when(count > 1, F.slice(vertices, F.lit(2), F.greatest(count - 1, F.lit(1)))).otherwise(starts)
 
     def cells(a: Column, b: Column) -> Column:
         dy, dx = b["lat"] - a["lat"], b["lon"] - a["lon"]
@@ -73,33 +75,69 @@ def _line_cells(vertices: Column, radius: float) -> Column:
             return once(ends, lambda e: _covering_cells(
                 F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"]), F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"]), radius))
 
-        return once(count, lambda pieces: F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: piece(i, pieces))))
+        # as one number each, for which distinct values are found by hash
+        numbered = once(count, lambda pieces: F.transform(
+            F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: piece(i, pieces))), _cell_number))
+        return F.array_distinct(numbered)
 
-    return F.array_distinct(F.flatten(F.zip_with(starts, ends, cells)))
+    return F.transform(segments, lambda s: cells(s["a"], s["b"]))
 
 
-def asset_distance(site_lat: Column, site_lon: Column, assets_have_lines: bool) -> Column:
-    """Polylines by planar segment distance, all other assets by great circle."""
+def _cell_number(cell: Column) -> Column:
+    return F.shiftleft(cell["r"], 32) + cell["c"]
+
+
+def _cell_of(number: Column) -> tuple[Column, Column]:
+    """Row and column of a cell number; both may be negative."""
+    half = F.lit(1 << 31)
+    column = (number + half).bitwiseAND(F.lit((1 << 32) - 1)) - half
+    return F.shiftright(number - column, 32), column
+
+
+def few_segments_distance(site_lat: Column, site_lon: Column) -> Column:
+    """Distance to a line with few segments near; no lambda, which compiled code cannot enter. Missing segments are null and do not count."""
+    return F.least(*[geo.segment_miles(site_lat, site_lon, F.get("_near", F.lit(i))) for i in range(_FEW_SEGMENTS)])
+
+
+def asset_distance(site_lat: Column, site_lon: Column, assets_have_lines: bool, few: Column | None = None) -> Column:
+    """Polylines by planar segment distance, all other assets by great circle; expects the columns of ``_reach``.
+
+    ``few`` is the distance to lines with few segments, if a column has it already."""
     point = geo.haversine_miles(site_lat, site_lon, F.col("asset_lat"), F.col("asset_lon"))
     if not assets_have_lines:
         return point
-    line = (F.col("asset_type") == "transmission_line") & (F.size("vertices") > 0)
-    return F.when(line, geo.point_to_polyline_miles(site_lat, site_lon, F.col("vertices"))).otherwise(point)
+    count = F.size("_near")
+    many = F.array_min(F.transform("_near", lambda s: geo.segment_miles(site_lat, site_lon, s)))
+    single = geo.point_to_polyline_miles(site_lat, site_lon, F.slice("vertices", 1, 1))
+    few = few_segments_distance(site_lat, site_lon) if few is None else few
+    return F.when(count.between(1, _FEW_SEGMENTS), few).when(count > 0, many).when(_is_line(), single).otherwise(point)
+
+
+def _is_line() -> Column:
+    return (F.col("asset_type") == "transmission_line") & (F.size("vertices") > 0)
 
 
 def _reach(assets: DataFrame, radius: float) -> DataFrame:
-    """A row per asset and cell within reach of it."""
+    """A row per asset and cell within reach of it; of a line the row also has the segments within reach of the cell.
+
+    The other segments are farther from every site of the cell than the radius, so the nearest one is among them.
+    """
     spot = _covering_cells(F.col("asset_lat"), F.col("asset_lat"), F.col("asset_lon"), F.col("asset_lon"), radius)
-    if "vertices" in assets.columns:
-        # few rows with long work each: a line covers hundreds of cells
-        spark = assets.sparkSession
-        assets = assets.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        line = (F.col("asset_type") == "transmission_line") & (F.size("vertices") > 0)
-        spot = F.when(line, _line_cells(F.col("vertices"), radius)).otherwise(spot)
     reach = assets.withColumnsRenamed({"lat": "asset_lat", "lon": "asset_lon"})
     reach = reach.filter(F.col("asset_lat").isNotNull() & F.col("asset_lon").isNotNull())
-    return reach.withColumn("_cell", F.explode(spot)).withColumns(
-        {"_row": F.col("_cell.r"), "_col": F.col("_cell.c")}).drop("_cell")
+    if "vertices" not in assets.columns:
+        return reach.withColumn("_cell", F.explode(spot)).withColumns({"_row": F.col("_cell.r"), "_col": F.col("_cell.c")}).drop("_cell")
+    # few rows with long work each: a line covers hundreds of cells
+    spark = assets.sparkSession
+    reach = reach.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    reach = reach.withColumn("_segments", F.when(_is_line(), geo.segments(F.col("vertices"))))
+    reach = reach.withColumn("_cells", _segment_cells(F.col("_segments"), radius))
+    covered = F.when(_is_line(), F.array_distinct(F.flatten("_cells"))).otherwise(F.transform(spot, _cell_number))
+    reach = reach.withColumn("_cell", F.explode(covered))
+    near = F.filter("_segments", lambda s, i: F.array_contains(F.get("_cells", i), F.col("_cell")))
+    row, column = _cell_of(F.col("_cell"))
+    # a single vertex is measured by great circle
+    return reach.withColumns({"_near": F.when(F.size("vertices") > 1, near), "_row": row, "_col": column}).drop("_segments", "_cells", "_cell")
 
 
 def _located(sites: DataFrame, radius: float) -> DataFrame:
@@ -120,9 +158,19 @@ def radius_join(sites: DataFrame, assets: DataFrame, radius: float, site_id: str
     (imported line sets), where the exact one does.  Sites need ``lat`` and ``lon``;
     assets also ``asset_type`` and may have ``vertices``.
     """
+    has_lines = "vertices" in assets.columns
+    if has_lines and pairs_per_task is None:
+        # a line meets thousands of sites, so few bytes of input make very many pairs
+        pairs_per_task = _LINE_PAIRS_PER_TASK
     pairs = salted_join(_located(sites, radius), _reach(assets, radius), ["_row", "_col"], site_id, asset_id, rows_per_task, pairs_per_task)
-    pairs = pairs.drop("_row", "_col").withColumn(
-        "distance_exact", asset_distance(F.col("lat"), F.col("lon"), "vertices" in assets.columns))
+    pairs = pairs.drop("_row", "_col")
+    lat, lon = F.col("lat"), F.col("lon")
+    if has_lines:
+        # measured once; most candidates are dropped before they are rounded, which costs more than the distance
+        pairs = pairs.withColumn("_few", few_segments_distance(lat, lon)).withColumn("distance_exact", asset_distance(lat, lon, True, F.col("_few")))
+        pairs = keep_rows(pairs, F.col("distance_exact") <= radius + _SLACK_MILES).drop("_near", "_few")
+    else:
+        pairs = pairs.withColumn("distance_exact", asset_distance(lat, lon, False))
     pairs = pairs.withColumn("distance_miles", F.round("distance_exact", 3))
     return pairs.filter(_within(F.col("distance_exact"), F.col("distance_miles"), radius, assets))
 

@@ -149,3 +149,32 @@ def test_saved_searches_find_their_alerts_once(spark):
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
     want = [(1, i, a) for i in range(0, 50, 7) for a, on in (("price_drop", i % 2 == 0), ("back_in_stock", i % 5 == 0)) if on]
     assert sorted((r.search_id, r.listing_no, r.alert_type) for r in found.collect()) == sorted(want)
+
+
+def test_lines_are_measured_by_the_segments_near_a_cell(spark):
+    bent = [(30.0 + i * 0.3, -98.0 + (i % 3) * 0.4 + i * 0.05) for i in range(9)]
+    crowded = [(32.0 + (i % 2) * 0.05, -97.0 + i * 0.01) for i in range(12)]
+    shapes = [(1, bent), (2, crowded), (3, [(31.0, -97.5)]), (4, [(30.0, -99.0), (30.0, -99.0), (30.5, -99.2)])]
+    lines = spark.createDataFrame([(i, "transmission_line", v[0][0], v[0][1], v) for i, v in shapes] + [(5, "tower", 30.4, -98.1, None), (6, "transmission_line", 31.2, -97.4, [])],
+                                  "asset_id int, asset_type string, lat double, lon double, vertices array<struct<lat:double,lon:double>>")
+    sites = spark.range(900).selectExpr("id AS site_id", "29.5 + (id % 30) * 0.11 AS lat", "-99.5 + floor(id / 30) * 0.11 AS lon")
+    exact = F.when((F.col("asset_type") == "transmission_line") & (F.size("vertices") > 0), spatial.geo.point_to_polyline_miles(F.col("lat"), F.col("lon"), F.col("vertices"))).otherwise(
+        spatial.geo.haversine_miles(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon")))
+    brute = sites.crossJoin(lines.withColumnsRenamed({"lat": "a_lat", "lon": "a_lon"})).select("site_id", "asset_id", F.round(exact, 3).alias("d")).filter("d <= 25")
+    got = spatial.radius_join(sites, lines, 25.0).select("site_id", "asset_id", "distance_miles")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.collect()))
+    # a cell has the segments that reach it, not the whole line
+    reach = spatial._reach(lines.filter("asset_id = 1"), 25.0).select(F.size("_near").alias("n"), "_row", "_col").collect()
+    assert len({(r._row, r._col) for r in reach}) == len(reach) and max(r.n for r in reach) < 8
+    near = spatial._reach(lines.filter("asset_id = 2"), 25.0).select(F.max(F.size("_near"))).first()[0]
+    assert near > spatial._FEW_SEGMENTS  # more than compiled code measures
+
+
+def test_pairs_of_lines_decide_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_LINE_PAIRS_PER_TASK", 50)
+    line = spark.createDataFrame([(1, "transmission_line", 30.0, -98.0, [(30.0, -98.0), (30.2, -98.0)])],
+                                 "asset_id int, asset_type string, lat double, lon double, vertices array<struct<lat:double,lon:double>>")
+    sites = spark.range(2000).selectExpr("id AS site_id", "30.0 + (id % 40) * 0.005 AS lat", "-98.0 + floor(id / 40) * 0.005 AS lon")
+    pairs = spatial.radius_join(sites, line, 25.0)
+    assert "hashpartitioning(_row" in pairs._jdf.queryExecution().executedPlan().toString() and ", 40)" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 2000
